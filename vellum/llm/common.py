@@ -31,22 +31,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def gapless_rank(df: DataFrame, keys: list[str], spread: Column, order: list[Column], name: str, spreads: int = 64, total: str | None = None) -> DataFrame:
+def gapless_rank(df: DataFrame, keys: list[str], spread: Column, order: list[Column], name: str, spreads: int = 64, bounded: bool = False) -> DataFrame:
     """Adds `name`, numbers from 0 without gaps inside each combination of keys.
 
     A key's rows are dealt to `spreads` groups by `spread` (an expression that tells rows apart, such as a hash of the id) and numbered
     in each, so a key with a third of all rows isn't sorted by one task; each group's start is the sum of the counts before it, over a
-    table of at most keys x spreads rows. df is read twice: pass a materialized one. `order` must be a total order for stable numbers.
+    table of at most keys x spreads rows (bounded: the number of keys has a proven bound, so that table is broadcast). df is read twice: pass
+    a materialized one. `order` must be a total order for stable numbers.
     """
     bucket, start, own = "__bucket", "__start", "__own"
     dealt = df.withColumn(bucket, F.pmod(F.xxhash64(spread, F.lit(name)), F.lit(spreads)).cast("int"))
     counts = dealt.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("__n"))
-    starts = counts.select(*keys, bucket, (F.sum("__n").over(Window.partitionBy(*keys).orderBy(bucket)) - F.col("__n")).alias(start), *([F.sum("__n").over(Window.partitionBy(*keys)).alias(total)] if total else []))
+    starts = counts.select(*keys, bucket, (F.sum("__n").over(Window.partitionBy(*keys).orderBy(bucket)) - F.col("__n")).alias(start))
+    starts = F.broadcast(starts) if bounded else starts
     numbered = dealt.withColumn(own, F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)) - 1)
     on = reduce(lambda a, b: a & b, [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, bucket]])
     return (
         numbered.alias("n").join(starts.alias("s"), on)
-        .select(*[F.col(f"n.{c}") for c in df.columns], (F.col(f"n.{own}") + F.col(f"s.{start}")).cast("long").alias(name), *([F.col(f"s.{total}")] if total else []))
+        .select(*[F.col(f"n.{c}") for c in df.columns], (F.col(f"n.{own}") + F.col(f"s.{start}")).cast("long").alias(name))
     )
 
 
