@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from vellum.llm.decontaminate import op7_decontaminate
+from vellum.llm.langid import op4_language
+from vellum.llm.packing import op6_packing
 from vellum.llm.simhash import op9_simhash
 
-QUERIES = {"op9_simhash": op9_simhash}
+QUERIES = {
+    "op4_language": op4_language,
+    "op6_packing": op6_packing,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_simhash": op9_simhash,
+}
 
 ORACLE_SQL: dict[str, str] = {}
