@@ -141,7 +141,7 @@ LABELLED = [
     """<html><body><div><a href="/a">Home</a> | <a href="/b">About</a> | <a href="/c">Contact</a></div><div><main-text><h2>How to plant a tree</h2><p>Dig a hole that is twice as wide as the roots and just as deep, then fill it with water and let it drain.</p><p>Set the tree upright, fill in the soil around it, and press it down with your foot so that no air is left.</p><p>Water it every week during the first summer, and put straw around the stem to keep the ground wet and cool.</p></main-text></div><div><a href="/x">Older posts</a> <a href="/y">Newer posts</a></div><div>All rights reserved</div></body></html>""",
     """<html><body><div>Menu</div><div><a href="/1">One</a></div><div><a href="/2">Two</a></div><div><main-text><p>In the north of the country the winters are long, and people spend most of the dark months indoors with their families.</p><p>When the sun returns in spring there is a feast in every village, and everyone brings something to eat and to drink.</p></main-text></div><div>Contact us</div><div><a href="/p">Privacy</a></div></body></html>""",
     """<html><body><div id="cookie-notice"><p>We use cookies to give you the best experience on our site. By going on you agree to that.</p></div><div class="content"><main-text><h1>Soup</h1><p>Cut.</p><p>Boil the water, add the onions and wait for ten minutes.</p></main-text></div><div class="sidebar"><p>Our cook has written four books about soups, and they are sold in every good shop of the country.</p></div></body></html>""",
-    """<html><body><article><main-text><p>One.</p><p>The second paragraph has a <a href="/l">link inside</a> its text and goes on after it for some words.</p><p><a href="/m">A line that is a link</a></p></main-text></article><nav><a href="/q">Next article in this series about the sea and the land</a></nav></body></html>""",
+    """<html><body><article><main-text><p>One.</p><p>Then came a paragraph that was long enough to stand before others and to say something of its own.</p><p>The second paragraph has a <a href="/l">link inside</a> its text and goes on after it for some words.</p><p><a href="/m">A line that is a link</a></p><p>Thus ended the story of the sea and the land and all that they had been through together in those long years before the war came to the coast.</p><p>Read on.</p></main-text><div class="related"><a href="/r">Another story about the sea</a></div></article><nav><a href="/q">Next article in this series about the sea and the land</a></nav></body></html>""",
     """<html><body><p><main-text>The harvest of this year was poor, since it had rained for weeks and the fields stood under water until late in June.</main-text></p><main-text><p>Many farmers sold their cattle and went to the towns to look for work in the mills and on the railway.</p><p>Few came back.</p><p>Those who stayed built new dykes along the river, so that their children would have dry fields and full barns again.</p></main-text><div><a href="/1">Back to the list of all the stories of this year</a></div></body></html>""",
     """<html><body><div><a href="/">Start</a></div><div><main-text>Glass is made of sand, soda and lime, which are melted together at great heat and then blown or cast.</main-text></div><div><main-text>Who found out how to make it?</main-text></div><div><main-text>Nobody knows, but beads of glass were already worn on the Nile in very old times, and later in Rome.</main-text></div><div>Page 1 of 3</div><div><a href="/2">More about the history of glass and other old crafts</a></div><div>Imprint</div></body></html>""",
 ]
