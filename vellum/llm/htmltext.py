@@ -124,13 +124,13 @@ def blocks_of(page: str | None) -> list[Block]:
 
 
 def features(blocks: list[Block]) -> list[tuple[float, ...]]:
-    """For each block: words and link density of the one before, itself and the next; whether it is furniture, content, a heading; whether
-    the page marks content at all."""
+    """For each block: whether it is furniture, content; whether the page marks content at all; whether it is a heading; words and link
+    density of the one before, itself and the next."""
     marked = float(any(b.content and not b.furniture for b in blocks))
     none = Block("", 0, 0.0, False, False, False)
     rows = []
     for before, b, after in zip([none, *blocks], blocks, [*blocks[1:], none], strict=False):
-        rows.append((before.words, before.linked, b.words, b.linked, after.words, after.linked, float(b.furniture), float(b.content), float(b.heading), marked))
+        rows.append((float(b.furniture), float(b.content), marked, float(b.heading), before.words, before.linked, b.words, b.linked, after.words, after.linked))
     return rows
 
 
@@ -144,6 +144,9 @@ LABELLED = [
     """<html><body><article><main-text><p>One.</p><p>Then came a paragraph that was long enough to stand before others and to say something of its own.</p><p>The second paragraph has a <a href="/l">link inside</a> its text and goes on after it for some words.</p><p><a href="/m">A line that is a link</a></p><p>Thus ended the story of the sea and the land and all that they had been through together in those long years before the war came to the coast.</p><p>Read on.</p></main-text><div class="related"><a href="/r">Another story about the sea</a></div></article><nav><a href="/q">Next article in this series about the sea and the land</a></nav></body></html>""",
     """<html><body><p><main-text>The harvest of this year was poor, since it had rained for weeks and the fields stood under water until late in June.</main-text></p><main-text><p>Many farmers sold their cattle and went to the towns to look for work in the mills and on the railway.</p><p>Few came back.</p><p>Those who stayed built new dykes along the river, so that their children would have dry fields and full barns again.</p></main-text><div><a href="/1">Back to the list of all the stories of this year</a></div></body></html>""",
     """<html><body><div><a href="/">Start</a></div><div><main-text>Glass is made of sand, soda and lime, which are melted together at great heat and then blown or cast.</main-text></div><div><main-text>Who found out how to make it?</main-text></div><div><main-text>Nobody knows, but beads of glass were already worn on the Nile in very old times, and later in Rome.</main-text></div><div>Page 1 of 3</div><div><a href="/2">More about the history of glass and other old crafts</a></div><div>Imprint</div></body></html>""",
+    """<html><body><div>Welcome to the pages of our club, where you can find all the news about games and players of the season.</div><p>Our members meet on the first Sunday of every month at the old mill, and guests are welcome to join.</p><div class="content"><main-text><h2>Results</h2><p>We won.</p><p><a href="/g">The report of the game</a></p><p>The second half was the best that we have seen for years, and the goalkeeper saved three shots in the last minutes.</p><p>So did they.</p><p><a href="/t">Table</a></p><ul><li>First: the club from the hill, which has not lost a game since the autumn and will hardly lose one now</li><li><a href="/s">Second</a></li></ul></main-text></div><p>Write to us if you have lost your card, and bring a picture and the fee when you come to the desk.</p><div>Fonts by a friend of the house</div></body></html>""",
+    """<html><body><main-text><h1>On walking</h1><p>There is no better way to see a country than on foot, with a stick in the hand and bread in the bag.</p><p>He who walks sees the small things, and it is the small things that one remembers when the years have gone.</p></main-text></body></html>""",
+    """<html><body><div><main-text>Salt was once worth as much as silver, and whole towns lived from the roads on which it was carried to the south.</main-text></div><div><a href="/b">Back</a></div><div><main-text>Today it is so cheap that nobody gives it a thought when it stands on the table next to the pepper and the oil.</main-text></div></body></html>""",
 ]
 
 
