@@ -9,6 +9,7 @@ from vellum.llm.packing import op6_packing
 from vellum.llm.pii import op3_pii
 from vellum.llm.sharding import op10_sharding
 from vellum.llm.simhash import op9_simhash
+from vellum.llm.unigram import op8_token_counts
 
 QUERIES = {
     "op3_pii": op3_pii,
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_html": op5_html,
     "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
+    "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
 }
