@@ -6,6 +6,7 @@ from vellum.llm.decontaminate import op7_decontaminate
 from vellum.llm.htmltext import op5_html
 from vellum.llm.langid import op4_language
 from vellum.llm.licenses import op2_licenses
+from vellum.llm.neighbours import op1_neighbours
 from vellum.llm.packing import op6_packing
 from vellum.llm.pii import op3_pii
 from vellum.llm.sharding import op10_sharding
@@ -13,6 +14,7 @@ from vellum.llm.simhash import op9_simhash
 from vellum.llm.unigram import op8_token_counts
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op2_licenses": op2_licenses,
     "op3_pii": op3_pii,
     "op4_language": op4_language,
