@@ -40,15 +40,27 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.array([digest(line[s:e], SEED) for s, e in zip(start[: len(found) - k + 1].tolist(), end[k - 1 :].tolist(), strict=True)], dtype="<u8")
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Bit i is 1 if it is set in over half of the hashes; zero without words."""
-    h = shingle_hashes(text, words)
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Another, independent looking hash for each hash."""
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: bit i is 1 if it is set in over half of them."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, words: int) -> int:
+    """The fingerprint of a text's shingles; zero without words."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long): the fingerprint of every whole text. Null and empty texts have fingerprint zero."""
 
@@ -64,13 +76,23 @@ def signed(x: int) -> int:
 
 
 def ball_variants(fps: DataFrame) -> DataFrame:
-    """(variant, fp): each projection of fp and all its variants within one bit."""
-    pairs = []
-    for lo, hi in BLOCKS:
+    """(variant, code) of each projection of fp and all its variants within one bit. code holds, from its lowest bit on, the bits left out,
+    the bit flipped plus 1 (0: none) and the block's number; with the variant it gives fp again, in few bytes."""
+    rows = []
+    for k, (lo, hi) in enumerate(BLOCKS):
         keep = ((1 << 64) - 1) ^ (((1 << hi) - 1) ^ ((1 << lo) - 1))
-        pairs += [(signed(keep), signed(flip)) for flip in [0, *(1 << i for i in range(64) if keep >> i & 1)]]
-    ball = F.array(*[F.struct(F.lit(k).cast("long").alias("keep"), F.lit(f).cast("long").alias("flip")) for k, f in pairs])
-    return fps.select("fp", F.explode(ball).alias("x")).select(F.col("fp").bitwiseAND(F.col("x.keep")).bitwiseXOR(F.col("x.flip")).alias("variant"), "fp")
+        rows += [(signed(keep), signed(flip), lo, (1 << hi - lo) - 1, (k << 29) | (at << 22)) for at, flip in [(0, 0), *((i + 1, 1 << i) for i in range(64) if keep >> i & 1)]]
+    ball = F.array(*[F.struct(*[F.lit(x).cast("long" if i < 2 else "int").alias(n) for i, (n, x) in enumerate(zip(("keep", "flip", "lo", "mask", "tag"), r, strict=True))]) for r in rows])
+    variant = F.col("fp").bitwiseAND(F.col("x.keep")).bitwiseXOR(F.col("x.flip"))
+    code = F.expr("cast(shiftrightunsigned(fp, x.lo) & cast(x.mask as bigint) as int) | x.tag")
+    return fps.select("fp", F.explode(ball).alias("x")).select(variant.alias("variant"), code.alias("code"))
+
+
+def decoded(variant: np.ndarray, code: np.ndarray) -> np.ndarray:
+    code = code.astype(np.int64)
+    flip, block = (code >> 22) & 127, code >> 29
+    low = np.array([lo for lo, _ in BLOCKS], dtype=np.int64)[block]
+    return variant ^ np.where(flip > 0, np.left_shift(np.int64(1), np.maximum(flip - 1, 0)), 0) | ((code & ((1 << 22) - 1)) << low)
 
 
 def forest(members: np.ndarray) -> list[tuple[int, int]]:
@@ -89,7 +111,7 @@ def forest(members: np.ndarray) -> list[tuple[int, int]]:
 
 
 def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified links (a, b) from rows (variant, fp) sorted by variant."""
+    """Verified links (a, b) from rows (variant, code) sorted by variant."""
     key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -108,7 +130,8 @@ def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(once[0], pa.int64()), pa.array(once[1], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        key, fp = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([fp, batch.column(1).to_numpy()])
+        variant = batch.column(0).to_numpy()
+        key, fp = np.concatenate([key, variant]), np.concatenate([fp, decoded(variant, batch.column(1).to_numpy())])
         if len(key) and (whole := int(np.searchsorted(key, key[-1]))):
             yield links(key[:whole], fp[:whole])
             key, fp = key[whole:], fp[whole:]
@@ -116,11 +139,15 @@ def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(key, fp)
 
 
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b): links between distinct rows (fp) that connect all that are within RADIUS bits."""
+    return ball_variants(fps).repartition("variant").sortWithinPartitions("variant").mapInArrow(bucket_links, "a long, b long").distinct()
+
+
 def linked(fps: DataFrame) -> DataFrame:
     """(fp, component_id) of rows (doc_id, fp): the smallest doc_id in the component of each distinct fingerprint."""
     own = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    edges = ball_variants(own.select("fp")).repartition("variant").sortWithinPartitions("variant").mapInArrow(bucket_links, "a long, b long")
-    rooted = own.join(components(edges), own.fp == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = own.join(components(links(own.select("fp"))), own.fp == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")
 
@@ -136,6 +163,46 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return fps.join(linked(fps), "fp").select("doc_id", "fp", "component_id")
 
 
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, first, second): a hash of the text and two fingerprints of its distinct words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.unique(shingle_hashes(t, 1)) for t in batch.column(2).to_pylist()]
+            found = [[majority(h) for h in hashes], [majority(mixed(h)) for h in hashes]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(f, pa.int64()) for f in found]], ["doc_id", "own", "first", "second"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text").mapInArrow(run, "doc_id long, own long, first long, second long")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies, all columns: the one with the smallest doc_id.
+
+    Near copies share 0.8 of their five-word shingles or more. At that similarity fingerprints of five-word shingles lie about 10 bits apart,
+    out of a ball's reach; those of distinct words lie within 3 bits. So documents link if one of two independent fingerprints of their
+    distinct words differs in RADIUS bits at most. Null and empty texts are copies of each other, and so are repeated rows; a null id counts
+    as the smallest. An empty table stays empty.
+    """
+    rows = materialize(signatures(docs)).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows)
+    edges = None
+    for name in ("first", "second"):
+        own = materialize(rows.groupBy(F.col(name).alias("fp")).agg(F.min("row").alias("low")))
+        found = links(own.select("fp")).join(own.select(F.col("fp").alias("a"), F.col("low").alias("u")), "a").join(own.select(F.col("fp").alias("b"), F.col("low").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        same = rows.join(own, rows[name] == own.fp).where(F.col("row") != F.col("low")).select(F.col("row").alias("a"), F.col("low").alias("b"))
+        edges = found.union(same) if edges is None else edges.union(found).union(same)
+    group = rows.join(components(edges), F.col("row") == F.col("node"), "left").withColumn("group", F.coalesce("root", "row"))
+    keep = group.groupBy("group").agg(F.min(F.struct("doc_id", "own")).alias("k")).select(F.col("k.doc_id").alias("__vellum_id"), F.col("k.own").alias("__vellum_own"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__vellum_id")) & (F.col("__vellum_text") == F.col("__vellum_own"))
+    kept = docs.withColumn("__vellum_text", F.xxhash64("text")).join(materialize(keep), same, "left_semi")
+    return kept.dropDuplicates(["doc_id", "__vellum_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return deduplicate(docs)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), 3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
