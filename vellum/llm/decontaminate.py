@@ -91,7 +91,7 @@ def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     unit = np.r_[False, number[:-1]] & (flags & UNIT > 0)
     name = ((flags & CAP > 0) & np.r_[False, flags[:-1] & STOP == 0] | (flags & GIVEN > 0)) & ~number & ~unit
     token = np.where(number, PLACE[NUMBER], np.where(unit, PLACE[UNIT], np.where(name, PLACE[CAP], value)))
-    keep = np.flatnonzero(~(name & np.r_[False, name[:-1]]))
+    keep = np.flatnonzero(~(name & np.r_[False, name[:-1] & (flags[:-1] & STOP == 0)]))
     return token[keep].astype(np.uint64), np.add.reduceat(value, keep), word[keep]
 
 
@@ -146,8 +146,11 @@ class Index:
             for p, size in [*sorted(windows), (len(its) + WINDOW + 1, 0)]:
                 if run and p > run[-1][0] + run[-1][1]:
                     a, b = run[0][0], run[-1][0] + run[-1][1]
-                    if np.array_equal(its[a:b], token[a + shift : b + shift]) and consistent(its[a:b], was[a:b], value[a + shift : b + shift]):
-                        covered[a:b] = True
+                    # a name before or after the passage may have merged with its first or last slot
+                    for c, d in ((a, b), (a + 1, b), (a, b - 1), (a + 1, b - 1)):
+                        if np.array_equal(its[c:d], token[c + shift : d + shift]) and consistent(its[c:d], was[c:d], value[c + shift : d + shift]):
+                            covered[c:d] = True
+                            break
                     run = []
                 run.append((p, size))
             n = int(covered.sum())
