@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vellum.functions.text import NUMBER
+from vellum.operators.grouped import map_groups
 
 #: Tokens to join stand at most so many places apart; punctuation that numbers don't end with.
 NEIGHBOURS, ENDS = 2, ".,/:%-"
@@ -93,12 +94,15 @@ def anchor_pages(readings: DataFrame, source: DataFrame, policy: str = "replace"
     """(page_id, ord, text, kinds) of readings(page_id, region, ord, text) anchored in source(page_id, region, ord, text), page by page in
     order; kinds lists what happened to its numbers."""
 
-    def run(pages, sources) -> pd.DataFrame:
-        pool = Pool([(int(r.region), x.rstrip(ENDS)) for r in sources.sort_values("ord").itertuples() for x in re.findall(NUMBER, r.text, flags=re.ASCII)])
+    def run(page: list) -> list[tuple]:
+        pool = Pool([(int(r.region), x.rstrip(ENDS)) for r in page if not r.reads for x in re.findall(NUMBER, r.text, flags=re.ASCII)])
         rows = []
-        for r in pages.sort_values("ord").itertuples():
-            text, events = anchor(r.text, int(r.region), pool, policy)
-            rows.append((r.page_id, r.ord, text, ",".join(e[0] for e in events)))
-        return pd.DataFrame(rows, columns=["page_id", "ord", "text", "kinds"])
-
-    return readings.groupBy("page_id").cogroup(source.groupBy("page_id")).applyInPandas(run, "page_id long, ord long, text string, kinds string")
+        for r in page:
+            if r.reads:
+                text, events = anchor(r.text, int(r.region), pool, policy)
+                rows.append((r.page_id, r.ord, text, ",".join(e[0] for e in events)))
+        return rows
+
+    columns = ["page_id", "region", "ord", "text"]
+    both = source.select(*columns, F.lit(False).alias("reads")).union(readings.select(*columns, F.lit(True).alias("reads")))
+    return map_groups(both, "page_id", ["reads", "ord"], run, "page_id long, ord long, text string, kinds string")

@@ -6,10 +6,10 @@ import re
 from itertools import pairwise
 from statistics import fmean, median
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from vellum.functions.text import PLAIN_BULLET
+from vellum.operators.grouped import map_groups
 
 #: Lowest confidence of a word, row share and gutter in word heights, smallest gap of a cut in line heights.
 LEAST_CONF, ROW_SHARE, GUTTER, CUT_GAP, NO_HEIGHT = 0.2, 0.6, 1.6, 1.2, 12.0
@@ -59,12 +59,11 @@ def segments_of(words: list[tuple[str, Box, float]]) -> list[tuple[str, Box, flo
 def line_segments(words: DataFrame) -> DataFrame:
     """(page_id, seg, text, x0, y0, x1, y1, conf) from words(page_id, text, x0, y0, x1, y1, conf, ord)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        found = segments_of([(w.text, (w.x0, w.y0, w.x1, w.y1), w.conf) for w in pdf.itertuples()])
-        return pd.DataFrame([(pdf.page_id.iloc[0], i, s, *b, c) for i, (s, b, c) in enumerate(found)], columns=["page_id", "seg", "text", "x0", "y0", "x1", "y1", "conf"])
+    def run(page: list) -> list[tuple]:
+        found = segments_of([(w.text, (w.x0, w.y0, w.x1, w.y1), w.conf) for w in page])
+        return [(page[0].page_id, i, s, *b, c) for i, (s, b, c) in enumerate(found)]
 
-    return words.groupBy("page_id").applyInPandas(run, "page_id long, seg long, text string, x0 double, y0 double, x1 double, y1 double, conf double")
+    return map_groups(words, "page_id", ["ord"], run, "page_id long, seg long, text string, x0 double, y0 double, x1 double, y1 double, conf double")
 
 
 def widest_gap(spans: list[tuple[float, float, int]]) -> tuple[float, list[int]]:
@@ -97,12 +96,11 @@ def cut_order(boxes: list[Box], least: float) -> list[int]:
 def reading_order(boxes: DataFrame) -> DataFrame:
     """(page_id, box_id, place) from boxes(page_id, box_id, x0, y0, x1, y1, line_height)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("box_id").reset_index(drop=True)
-        order = cut_order(list(zip(pdf.x0, pdf.y0, pdf.x1, pdf.y1, strict=True)), CUT_GAP * pdf.line_height.iloc[0])
-        return pd.DataFrame({"page_id": pdf.page_id.iloc[0], "box_id": pdf.box_id.iloc[order].to_numpy(), "place": range(len(order))})
+    def run(page: list) -> list[tuple]:
+        order = cut_order([(r.x0, r.y0, r.x1, r.y1) for r in page], CUT_GAP * page[0].line_height)
+        return [(page[0].page_id, page[i].box_id, place) for place, i in enumerate(order)]
 
-    return boxes.groupBy("page_id").applyInPandas(run, "page_id long, box_id long, place long")
+    return map_groups(boxes, "page_id", ["box_id"], run, "page_id long, box_id long, place long")
 
 
 def area(b: Box) -> float:
@@ -135,9 +133,7 @@ def suppressed(regions: list[tuple[str, float, Box]], container=("image", "figur
 def dedupe_regions(regions: DataFrame) -> DataFrame:
     """(page_id, region_id) of the regions that stay, from regions(page_id, region_id, label, score, x0, y0, x1, y1)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("region_id").reset_index(drop=True)
-        kept = suppressed([(r.label, r.score, (r.x0, r.y0, r.x1, r.y1)) for r in pdf.itertuples()])
-        return pd.DataFrame({"page_id": pdf.page_id.iloc[0], "region_id": pdf.region_id.iloc[kept].to_numpy()})
+    def run(page: list) -> list[tuple]:
+        return [(page[0].page_id, page[i].region_id) for i in suppressed([(r.label, r.score, (r.x0, r.y0, r.x1, r.y1)) for r in page])]
 
-    return regions.groupBy("page_id").applyInPandas(run, "page_id long, region_id long")
+    return map_groups(regions, "page_id", ["region_id"], run, "page_id long, region_id long")

@@ -9,11 +9,11 @@ from math import cbrt, exp, inf, sqrt
 from statistics import fmean, median
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as t
+from vellum.operators.grouped import map_groups
 
 
 def parse_kv_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -409,12 +409,10 @@ def interpret_regions(segments: DataFrame) -> DataFrame:
     """
     voted = segments.withColumn("vote", t.cell_vote(F.col("text"))).select("region_id", "seg", "text", "x0", "y0", "x1", "y1", F.col("vote.v").alias("v"), F.col("vote.strong").alias("strong"), "line_height", "pitch", "page_width")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
-        segs = [Seg(i, r.text, r.x0, r.y0, r.x1, r.y1, r.v, bool(r.strong)) for i, r in enumerate(pdf.itertuples())]
-        first = pdf.iloc[0]
+    def run(region: list) -> list[tuple]:
+        segs = [Seg(i, r.text, r.x0, r.y0, r.x1, r.y1, r.v, bool(r.strong)) for i, r in enumerate(region)]
+        first = region[0]
         best, other, pairs = interpret(segs, first.line_height, first.pitch, first.page_width, plain_vote)
-        rows = [(first.region_id, best.kind, best.layout, best.score, other, p.label, p.value, c) for p, c in pairs] or [(first.region_id, best.kind, best.layout, best.score, other, None, None, None)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in PAIRS.split(", ")])
+        return [(first.region_id, best.kind, best.layout, best.score, other, p.label, p.value, c) for p, c in pairs] or [(first.region_id, best.kind, best.layout, best.score, other, None, None, None)]
 
-    return voted.groupBy("region_id").applyInPandas(run, PAIRS)
+    return map_groups(voted, "region_id", ["seg"], run, PAIRS)
