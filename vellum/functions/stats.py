@@ -39,7 +39,7 @@ def sigma(v: Column, k: float) -> Column:
 
 def map_margin(m: Column) -> Column:
     """A margin from 1 up to a confidence from 0 to 1; no rival at all (null) gives 1."""
-    return F.coalesce(1 - 1 / F.pow(F.greatest(F.lit(1.0), m), F.lit(2.0)), F.lit(1.0))
+    return F.when(m.isNull(), 1.0).otherwise(1 - 1 / F.pow(F.greatest(F.lit(1.0), m), F.lit(2.0)))
 
 
 def pair_confidence(plausibility: Column, assigned: Column, interpreted: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators import anchoring, layout, markup, pairing
+from vellum.operators import anchoring, assembly, layout, markup, pairing, scoring
 
 QUERIES: dict = {}
 
@@ -94,3 +94,26 @@ def cell_dialect_grids(spark, sf_dir):
 @query
 def repeats_cut(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(markup.without_repeats_udf()(F.col("text"))).alias("n_left"))
+
+
+@query
+def assembled_blocks(spark, sf_dir):
+    """Blocks of the pages that line_segments builds."""
+    return assembly.assemble_pages(layout.line_segments(words(spark, sf_dir)).withColumn("page_width", F.lit(1275.0)))
+
+
+@query
+def pair_outcomes(spark, sf_dir):
+    """Customers as pages of two true pairs; every third prediction has its values exchanged, every fifth lacks one."""
+    c = table(spark, sf_dir, "customer")
+    key, name, segment = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+
+    def item(role: str, n: int, label, value):
+        return F.struct(F.lit(role).alias("role"), F.lit(n).alias("ord"), label.alias("label"), value.alias("value"))
+
+    swapped = key % 3 == 0
+    items = F.array(
+        item("true", 0, F.lit("Name"), name), item("true", 1, F.lit("Segment"), segment), item("fields", 2, F.lit("id"), name), item("text", 3, F.lit(""), F.concat_ws(" ", name, segment)),
+        item("predicted", 4, F.lit("Name:"), F.when(swapped, segment).otherwise(name)), item("predicted", 5, F.when(key % 5 == 0, "Other").otherwise("Segment"), F.when(swapped, name).otherwise(segment)),
+    )
+    return scoring.score_pages(c.select(key.alias("page_id"), F.explode(items).alias("i")).select("page_id", "i.role", "i.ord", "i.label", "i.value"))
