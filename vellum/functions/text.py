@@ -109,6 +109,11 @@ def is_sentence_shaped(c: Column) -> Column:
     return (F.size(parts) >= 8) & (share(F.size(F.filter(parts, lambda w: w.rlike("^[a-z]"))), F.size(parts)) >= 0.4)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a name for an expression that body uses several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
@@ -122,27 +127,28 @@ def cell_vote(c: Column, in_lexicon: Column | None = None) -> Column:
     """struct(v, strong): how much a text looks like a label (1) or a value (-1), and whether its form alone says so.
 
     A colon at the end and value shapes are strong and average; else length, case, markers, digits, punctuation and the lexicon add up."""
-    t = trimmed(c)
-    colon = t.rlike(r":\z") & (F.length(t) > 1)
-    body = trimmed(F.regexp_replace(t, r":\z", ""))
-    value = is_date_shaped(body) | is_id_shaped(body) | is_measurement_shaped(body) | is_name_shaped(body) | is_sentence_shaped(body)
-    parts = words_of(body)
-    n = F.size(parts)
-    markers = F.size(F.filter(parts, lambda w: w.rlike(MARKER)))
-    alnum, digit = F.length(F.regexp_replace(body, "[^A-Za-z0-9]", "")), F.length(F.regexp_replace(body, r"\D", ""))
-    last = F.coalesce(F.get(parts, n - 1), F.lit(""))
-    lone = (markers == n) & (n == 1)
-    v = (
-        F.when(n <= 2, 0.4).when(n <= 4, 0.15).when(n <= 7, -0.3).otherwise(-0.6)
-        + F.when(body.rlike("^[a-z]"), -0.25).when(F.forall(parts, lambda w: w.rlike("^[A-Z0-9(]")), 0.3).otherwise(0.0)
-        + F.when((markers == n) & (n >= 2), -0.3).when(lone | (alnum == 0), 0.0).otherwise(-0.8 * F.least(F.lit(1.0), share(2.0 * digit, alnum)))
-        + F.when(body.rlike(r"[.,;]\z") & ~(body.rlike(r"\.\z") & (F.length(last) <= 4)), -0.3).otherwise(0.0)
-        + (F.when(in_lexicon, 0.5).otherwise(0.0) if in_lexicon is not None else F.lit(0.0))
-    )
-    strong = colon | value
-    told = F.when(colon & value, 0.0).when(colon, 1.0).otherwise(-1.0)
-    nothing = F.coalesce(t == "", F.lit(True))
-    return F.struct(F.when(nothing, 0.0).when(strong, told).otherwise(clamp(v, -1.0, 1.0)).alias("v"), (~nothing & strong).alias("strong"))
+
+    def scored(t: Column, body: Column, parts: Column, compact: Column) -> Column:
+        colon = t.rlike(r":\z") & (F.length(t) > 1)
+        value = is_date_shaped(body) | is_id_shaped(body) | is_measurement_shaped(body) | is_name_shaped(body) | is_sentence_shaped(body)
+        n = F.size(parts)
+        markers = F.size(F.filter(parts, lambda w: w.rlike(MARKER)))
+        alnum, digit = F.length(compact), F.length(F.regexp_replace(body, r"\D", ""))
+        last = F.coalesce(F.get(parts, n - 1), F.lit(""))
+        lone = (markers == n) & (n == 1)
+        v = (
+            F.when(n <= 2, 0.4).when(n <= 4, 0.15).when(n <= 7, -0.3).otherwise(-0.6)
+            + F.when(body.rlike("^[a-z]"), -0.25).when(F.forall(parts, lambda w: w.rlike("^[A-Z0-9(]")), 0.3).otherwise(0.0)
+            + F.when((markers == n) & (n >= 2), -0.3).when(lone | (alnum == 0), 0.0).otherwise(-0.8 * F.least(F.lit(1.0), share(2.0 * digit, alnum)))
+            + F.when(body.rlike(r"[.,;]\z") & ~(body.rlike(r"\.\z") & (F.length(last) <= 4)), -0.3).otherwise(0.0)
+            + (F.when(in_lexicon, 0.5).otherwise(0.0) if in_lexicon is not None else F.lit(0.0))
+        )
+        told = F.when(colon & value, 0.0).when(colon, 1.0).otherwise(-1.0)
+        strong = F.coalesce(colon | value, F.lit(False))
+        return let(strong, lambda sure: F.struct(F.when(t == "", 0.0).when(sure, told).otherwise(clamp(v, -1.0, 1.0)).alias("v"), ((t != "") & sure).alias("strong")))
+
+    whole = F.coalesce(trimmed(c), F.lit(""))
+    return let(whole, lambda t: let(trimmed(F.regexp_replace(t, r":\z", "")), lambda body: let(words_of(body), lambda parts: scored(t, body, parts, F.regexp_replace(body, "[^A-Za-z0-9]", "")))))
 
 
 def vote_weight(vote: Column) -> Column:
