@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vellum.functions import geometry as g
 from vellum.functions import stats as st
 from vellum.functions import text as t
-from vellum.operators import anchoring, assembly, audit, calibration, evaluation, layout, markup, pairing, review, scoring, spatial, tensors
+from vellum.operators import alignment, anchoring, assembly, audit, calibration, document, evaluation, layout, markup, pairing, review, scoring, spatial, tensors
 from vellum.sources import contracts
 
 
@@ -170,3 +170,22 @@ def test_contracts(spark, tmp_path):
     files = spark.createDataFrame([("a.pdf", 10), ("b.png", 0), ("c.exe", 5)], "path string, length long")
     taken, skipped = contracts.ingest(files, 4)
     assert [(r.path, r.kind, r.ord) for r in taken.collect()] == [("a.pdf", "pdf", 4)] and sorted(r.reason for r in skipped.collect()) == ["empty", "unknown type"]
+
+
+def test_character_labels():
+    assert alignment.common("kitten", "sitting") == [False, True, True, True, False, True, False]
+    assert alignment.common("a–b", "A-b") == [True] * 3 and alignment.common("", "x") == [False] and alignment.common("x", "") == []
+
+
+def test_documents_from_regions():
+    row = lambda y, *xs: [(x, (84 + 400 * i, y, 184 + 400 * i, y + 16)) for i, x in enumerate(xs)]
+    items = document.Region("t", 1, "table", (80, 140, 900, 260), row(150, "Item", "Price", "Day") + row(190, "Tea", "12.50", "Mon") + row(230, "Rice", "7.25", "Tue"))
+    title = document.Region("h", 0, "title", (300, 20, 900, 60), [("Order list", (300, 20, 900, 60))])
+    text = document.Region("p", 2, "text", (80, 300, 900, 330), [("The list was made by hand and was not checked by anyone so far", (84, 305, 880, 321))])
+    pages = document.page_blocks([text, items, title], [("stray line", (84, 600, 200, 616))], 1275)
+    assert [r.key for r, _ in pages] == ["h", "t", "p", "orphan-0"]
+    blocks, events = document.with_readings(pages, {"t": "| Tea | 12.51 |", "p": "not used"})
+    assert [b.kind for b in blocks] == ["heading", "table", "paragraph", "paragraph"] and events == ["replaced"] and blocks[1].text == "| Tea | 12.50 |"
+    assert document.table_of(row(150, "a", "b") + [("c", (484, 168, 584, 184))], 16) == [["a", "b c"]]
+    near = document.coalesced([text, text._replace(key="q", box=(80, 335, 900, 350)), text._replace(key="r", box=(80, 600, 900, 620))], 16)
+    assert [len(r.lines) for r in near] == [2, 1]

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from vellum.operators import anchoring, assembly, layout, markup, pairing, scoring
+from vellum.operators import alignment, anchoring, assembly, document, layout, markup, pairing, scoring
 
 QUERIES: dict = {}
 
@@ -117,3 +118,29 @@ def pair_outcomes(spark, sf_dir):
         item("predicted", 4, F.lit("Name:"), F.when(swapped, segment).otherwise(name)), item("predicted", 5, F.when(key % 5 == 0, "Other").otherwise("Segment"), F.when(swapped, name).otherwise(segment)),
     )
     return scoring.score_pages(c.select(key.alias("page_id"), F.explode(items).alias("i")).select("page_id", "i.role", "i.ord", "i.label", "i.value"))
+
+
+@query
+def deep_documents(spark, sf_dir):
+    """Each order's lines as a page: a table region of its items, a text region, orphans, and a reading of the table with an error."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    n, key = F.col("l_linenumber"), F.col("o_orderkey")
+    region = F.when(n <= 4, "items").when(n <= 6, "note")
+    price = F.col("l_extendedprice").cast("decimal(12,2)").cast("string")
+    x, y = ((n - 1) % 2 * 400 + 84).cast("double"), (F.floor((n - 1) / 2) * 40 + 150).cast("double")
+    items = F.concat(F.lit("| Price | Status |\n| --- | --- |\n| "), F.max(F.when(n == 1, price)).over(Window.partitionBy(key)), F.lit("1 | open |"))
+    box = [F.when(region == "items", v).otherwise(w).cast("double") for v, w in ((80, 80), (140, 220), (700, 700), (215, 320))]
+    lines = rows.select(
+        key.alias("page_id"), n.cast("long").alias("ord"), region.alias("region_key"), F.when(region == "items", 0).otherwise(1).alias("rank"), F.when(region == "items", "table").otherwise("text").alias("region_kind"),
+        *[b.alias(c) for b, c in zip(box, ("rx0", "ry0", "rx1", "ry1"), strict=True)], price.alias("text"), x.alias("x0"), y.alias("y0"), (x + 120).alias("x1"), (y + 16).alias("y1"), F.lit(1275.0).alias("page_width"),
+        F.when(region == "items", items).alias("reading"),
+    )
+    return document.documents(lines)
+
+
+@query
+def char_labels(spark, sf_dir):
+    """Part names read with a letter exchanged, labelled against the true ones."""
+    p = table(spark, sf_dir, "part")
+    read = F.translate("p_name", "aeo", "@eo")
+    return alignment.char_labels(p.select(F.col("p_partkey").alias("line_id"), read.alias("text"), F.col("p_name").alias("truth"), F.transform(F.filter(F.split(read, ""), lambda c: c != ""), lambda c, i: (F.lit(1.0) - i * 0.01)).alias("char_conf")))
