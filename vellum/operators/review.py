@@ -79,3 +79,45 @@ def grid_to_gfm(cells: Column) -> Column:
 
 def page_status(items: Column) -> Column:
     return F.when(items > 0, "needs-review").otherwise("done")
+
+
+def annotations(items: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(page_id, number, item_id, uid): worklist items with their place as number and the block they are shown at.
+
+    items(page_id, place, item_id, own_uid, y); blocks(page_id, uid, block_idx, y0). An item whose own block is gone is shown at the last
+    block in order that begins no lower than it, or at the first block; items of pages without blocks are absent, their numbers stay used.
+    """
+    pairs = items.join(blocks, "page_id")
+    own = F.max(F.when(F.col("uid") == F.col("own_uid"), F.col("uid")))
+    above = F.max_by("uid", F.when(F.col("y0") <= F.col("y"), F.col("block_idx")))
+    first = F.min_by("uid", "block_idx")
+    return pairs.groupBy("page_id", "place", "item_id").agg(F.coalesce(own, above, first).alias("uid")).select("page_id", F.col("place").alias("number"), "item_id", "uid")
+
+
+def session_events(events: DataFrame, sessions: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The events that still hold: those of pages whose blocks have the hash that the session began with, without what was undone.
+
+    sessions(page_id, base_hash, undone: how many last events are taken back); hashes(page_id, hash) of the blocks as they are now.
+    """
+    live = sessions.join(hashes, "page_id").where(F.col("base_hash") == F.col("hash")).select("page_id", "undone")
+    w = Window.partitionBy("page_id").orderBy(F.desc("seq"))
+    own = events.join(live, "page_id").withColumn("__back", F.row_number().over(w))
+    return own.where(F.col("__back") > F.col("undone")).drop("__back", "undone")
+
+
+def block_hashes(blocks: DataFrame) -> DataFrame:
+    """(page_id, hash) over a page's blocks in order: whether corrections still meet the blocks they were made for."""
+    rows = F.array_sort(F.collect_list(F.struct("place", "uid", "markdown")))
+    return blocks.groupBy("page_id").agg(F.sha2(F.to_json(rows), 256).alias("hash"))
+
+
+def tau_in_bounds(tau: Column) -> Column:
+    return F.greatest(F.lit(TAU_LOW), F.least(F.lit(TAU_HIGH), tau))
+
+
+def swapped_reading(markdown: Column, own: Column, other: Column) -> Column:
+    """The text with one reading instead of the other, null unless the first stands there once and not inside a longer number."""
+    parts = F.split(markdown, F.concat(F.lit(r"\Q"), own, F.lit(r"\E")), -1)
+    before, after = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    inside = before.rlike(r"\d\z") & own.rlike(r"^\d") | after.rlike(r"^\d") & own.rlike(r"\d\z")
+    return F.when((F.size(parts) == 2) & (own != "") & ~inside, F.concat(before, other, after))
