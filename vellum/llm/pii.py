@@ -25,19 +25,32 @@ KEY = "vellum"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 WORD = r"\p{Lu}\p{Ll}+"
-GIVEN = "|".join(sorted(n for names in GIVEN_BY_CLASS.values() for n in names))
+
+
+def alternation(words: list[str]) -> str:
+    """A pattern for any of the words, by their first letters: an alternation of all would try each at each place."""
+    heads = sorted({w[0] for w in words})
+    return "(?:" + "|".join(f"{h}(?:{'|'.join(sorted((w[1:] for w in words if w[0] == h), key=lambda w: (-len(w), w)))})" for h in heads) + ")"
+
+
+GIVEN = [n for names in GIVEN_BY_CLASS.values() for n in names]
+HEADS = "".join(sorted({w[0] for w in [*GIVEN, *TITLES]}))
 PATTERNS = {
-    "secret": r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_-]{16,}+""",
+    "secret": r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?=[A-Za-z+/_-]*\d)(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9+/_-]{16,}+""",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
     "ip": rf"(?<![\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?!\p{{N}}|\.\p{{N}})",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?|\d{1,4}[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?!\p{N})",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "card": r"(?<!\d\.)(?<![\p{L}\p{N}])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES)})\.? {WORD}(?:[ -]{WORD}){{0,2}}|(?:{GIVEN}) {WORD}(?:-{WORD})?)(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?=[{HEADS}])(?<![\p{{L}}\p{{N}}])(?:{alternation(TITLES)}\.? {WORD}(?:[ -]{WORD}){{0,2}}|{alternation(GIVEN)} {WORD}(?:-{WORD})?)(?![\p{{L}}\p{{N}}])",
 }
 ENTITY = "|".join(PATTERNS.values())
+#: All but names hold a digit or an at sign, and few texts do: a scan for one character comes first.
+TELLING, NUMERIC = "[0-9@]", "|".join(p for k, p in PATTERNS.items() if k != "name")
+#: Names have a title or given name before a space and a capital: a scan for the latter comes first.
+NAMED = rf" (?=\p{{Lu}})(?<=(?:{alternation(TITLES)}\.?|{alternation(GIVEN)}) )"
 
-ROW, FOUND, MAP = "__vellum_row", "__vellum_found", "__vellum_map"
+ROW, KEYED, FOUND, MAP = "__vellum_row", "__vellum_key", "__vellum_found", "__vellum_map"
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 SYLLABLES = {
     "latin": [c + v for c in "b d f g k l m n p r s t v".split() for v in "a e i o u".split()],
@@ -174,12 +187,13 @@ def pseudonymize(docs: DataFrame, key: str = KEY, count: str | None = None) -> D
     All rows and columns stay. Null texts stay null, and texts without an entity, empty ones included, stay as they are; repeated rows
     change alike; ids aren't used. An empty table stays empty. Names beginning with __vellum_ are reserved.
     """
-    hit = F.coalesce(F.col("text").rlike(ENTITY), F.lit(False))
+    text = F.col("text")
+    hit = F.coalesce((text.rlike(TELLING) & text.rlike(NUMERIC)) | (text.rlike(NAMED) & text.rlike(PATTERNS["name"])), F.lit(False))
     dirty = materialize(docs.where(hit).withColumn(ROW, F.monotonically_increasing_id()).withColumn(FOUND, F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))))
     seen = dirty.select(F.col(ROW).alias("row"), F.explode(F.array_distinct(FOUND)).alias("surface"))
     changes = materialize(surface_map(seen.select("surface").distinct(), key))
     maps = seen.join(changes, "surface").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("surface", "replacement"))).alias(MAP))
-    both = dirty.join(maps, F.col(ROW) == F.col("row"))
+    both = dirty.join(maps.withColumnRenamed("row", KEYED), F.col(ROW) == F.col(KEYED))
     gaps = F.split("text", ENTITY, -1)
     new = F.array_join(F.transform(gaps, lambda gap, i: F.when(i < F.size(FOUND), F.concat(gap, F.element_at(F.col(MAP), F.get(FOUND, i)))).otherwise(gap)), "")
     n_chars = [F.length(new).cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
