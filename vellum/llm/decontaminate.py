@@ -10,6 +10,8 @@ number of items; a block's index has a bounded size and goes to all executors, a
 from __future__ import annotations
 
 import re
+import string
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -43,31 +45,55 @@ NUMBER_WORDS = set("zero one two three four five six seven eight nine ten eleven
 TOKEN = re.compile(r"\d[\d.,]*\d|\d|[^\W\d_]+|%")
 CAP, STOP, NUMBER, UNIT, GIVEN = 1, 2, 4, 8, 16
 PLACE = {NUMBER: 1, UNIT: 2, CAP: 3}
+MEANING = dict.fromkeys(GIVEN_NAMES, GIVEN) | dict.fromkeys(UNITS, UNIT) | dict.fromkeys(NUMBER_WORDS, NUMBER)
+#: Signs that may stand around a word, that may follow the end of a sentence, and that end one.
+AROUND, CLOSING, ENDS = string.punctuation.replace("%", "") + "“”„‘’«»…", "\"'”’»)]*_", tuple(".!?:…")
+hashed = xxhash.xxh64_intdigest
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words(dict):
-    """Codes of white-space delimited words; tokens of a code: hash, flags."""
+    """Codes of white-space delimited words; tables give a code's tokens: where they begin, how many there are, their hashes and flags."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.parts: list[tuple[tuple[int, int], ...]] = []
-
-    def __missing__(self, word: str) -> tuple[tuple[int, int], ...]:
-        if len(self) >= MEMORY:
-            self.clear()
-        found = []
-        for token in TOKEN.findall(word):
+        self.start, self.count, self.value, self.flags = array("q"), array("q"), array("Q"), array("B")
+
+    def __missing__(self, word: str) -> int:
+        bare = word.strip(AROUND)
+        tokens = (bare,) if bare.isalpha() else TOKEN.findall(word)
+        self.start.append(len(self.value))
+        self.count.append(len(tokens))
+        for token in tokens:
             low = token.lower()
-            flags = NUMBER if token[0].isdigit() or low in NUMBER_WORDS else 0
-            flags |= UNIT * (low in UNITS)
-            flags |= CAP * (token[0].isupper() and any(c.islower() for c in token))
-            flags |= GIVEN * (bool(flags & CAP) and low in GIVEN_NAMES)
-            found.append((xxhash.xxh64_intdigest(low.encode("utf-8", "replace")), flags))
-        if found and word.rstrip("\"'”’»)]*_")[-1:] in ".!?:…":
-            found[-1] = (found[-1][0], found[-1][1] | STOP)
-        self[word] = own = tuple(found)
-        return own
+            flags = MEANING.get(low, 0) or NUMBER * token[0].isdigit()
+            if token[0].isupper() and not token.isupper():
+                flags |= CAP
+            else:
+                flags &= ~GIVEN
+            self.value.append(hashed(low.encode("utf-8", "replace")))
+            self.flags.append(flags)
+        if tokens and word.rstrip(CLOSING)[-1:] in ENDS:
+            self.flags[-1] |= STOP
+        self[word] = code = len(self.start) - 1
+        return code
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(value, flags, word): the tokens of a text's words, and which word each is of."""
+        if not words:
+            return np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64)
+        if len(self) >= MEMORY:  # between texts, so that no code of this one is lost
+            self.clear()
+            for table in (self.start, self.count, self.value, self.flags):
+                del table[:]
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        count = np.frombuffer(self.count, np.int64)[codes]
+        word = np.repeat(np.arange(len(words)), count)
+        if not len(word):
+            return np.empty(0, np.uint64), np.empty(0, np.uint8), word
+        inside = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(np.frombuffer(self.start, np.int64)[codes], count) + inside
+        return np.frombuffer(self.value, np.uint64)[at], np.frombuffer(self.flags, np.uint8)[at], word
 
 
 WORDS = Words()
@@ -77,16 +103,11 @@ def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token, value, word): canonical tokens (placeholders are 1 to 3), hashes of what stands there, and the index of the word it begins in.
 
     Number words and digits are numbers; a unit is one only after a number; a name is a capitalised word inside a sentence or a known given
-    name, and neighbouring names are one.
+    name, and neighbouring names inside a sentence are one.
     """
-    parts = list(map(WORDS.__getitem__, (text or "").split()))
-    flat = [x for own in parts for x in own]
-    if not flat:
-        none = np.empty(0, np.uint64)
-        return none, none, np.empty(0, np.int64)
-    pairs = np.array(flat, dtype=np.uint64)
-    value, flags = pairs[:, 0], pairs[:, 1].astype(np.uint8)
-    word = np.repeat(np.arange(len(parts)), [len(own) for own in parts])
+    value, flags, word = WORDS.of((text or "").split())
+    if not len(value):
+        return value, value, word
     number = flags & NUMBER > 0
     unit = np.r_[False, number[:-1]] & (flags & UNIT > 0)
     name = ((flags & CAP > 0) & np.r_[False, flags[:-1] & STOP == 0] | (flags & GIVEN > 0)) & ~number & ~unit
