@@ -357,6 +357,39 @@ def test_deduplication_keeps_one_of_each_group(spark):
     assert simhash.deduplicate(documents(spark, [])).count() == 0
 
 
+def test_deduplication_is_jaccard_of_five_word_shingles(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    texts = [None, "", " \t", "one two", "One  two", "one two three"]
+    for _ in range(12):
+        base = rng.sample(words, 120)
+        texts.append(" ".join(base))
+        for changes in (1, 2, 2, 3, 3, 4, 5):
+            at = rng.sample(range(120), changes)
+            texts.append(" ".join(rng.choice(words) if i in at else w for i, w in enumerate(base)))
+        # the same words in another order share no shingle
+        texts.append(" ".join(rng.sample(base, 120)))
+    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+    def shingles(text):
+        found = (text or "").lower().split()
+        return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+    sets, group = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            low, high = sorted((find(i), find(j)))
+            group[high] = low
+    kept = simhash.deduplicate(documents(spark, texts)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({find(i) for i in range(len(texts))})
+
+
 # op10
 
 

@@ -25,6 +25,12 @@ RADIUS = 3
 BLOCKS = ((0, 22), (22, 43), (43, 64))
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
+#: Near copies of the pipeline: runs of so many words, and the share of them (a fraction) that two texts have in common.
+SHINGLE, SIMILAR = 5, (4, 5)
+#: A pair at similarity s shares no band key with probability (1 - s**BAND_ROWS)**BANDS: 5e-8 at 0.8.
+BANDS, BAND_ROWS = 32, 4
+MULTIPLY, ADD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+MULTIPLY |= np.uint64(1)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -163,35 +169,86 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return fps.join(linked(fps), "fp").select("doc_id", "fp", "component_id")
 
 
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of hashes, each of BAND_ROWS of its minima under random maps; all texts without words share theirs."""
+    least = np.full(len(MULTIPLY), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(h), 1 << 11):
+        least = np.minimum(least, (MULTIPLY[:, None] * h[None, at : at + (1 << 11)] + ADD[:, None]).min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for own in least.reshape(BANDS, BAND_ROWS).T:
+        key = mixed(key ^ own)
+    return key
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, own, first, second): a hash of the text and two fingerprints of its distinct words."""
+    """(doc_id, own, bands): a hash of the text and the band keys of its set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [band_keys(np.unique(shingle_hashes(t, SHINGLE))) for t in batch.column(2).to_pylist()]
+            flat = pa.array(np.concatenate(keys).view("<i8") if keys else [], pa.int64())
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands], ["doc_id", "own", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text").mapInArrow(run, "doc_id long, own long, bands array<long>")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of hashes (sorted, distinct) share SIMILAR of their union or more, in whole numbers; two empty sets do."""
+    if not len(x) or not len(y):
+        return len(x) == len(y)
+    if min(len(x), len(y)) * SIMILAR[1] < max(len(x), len(y)) * SIMILAR[0]:
+        return False
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return both * SIMILAR[1] >= (len(x) + len(y) - both) * SIMILAR[0]
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of pairs(a, b) whose texts(own, text) are similar by their real sets of shingles."""
+    needed = pairs.select(F.col("a").alias("own")).union(pairs.select(F.col("b").alias("own"))).distinct()
+    texts = materialize(texts.join(needed, "own", "left_semi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, np.empty(0, "<u8")
         for batch in batches:
-            hashes = [np.unique(shingle_hashes(t, 1)) for t in batch.column(2).to_pylist()]
-            found = [[majority(h) for h in hashes], [majority(mixed(h)) for h in hashes]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(f, pa.int64()) for f in found]], ["doc_id", "own", "first", "second"])
+            keep = []
+            for a, x, y in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], strict=True):
+                if a != last:
+                    last, left = a, np.unique(shingle_hashes(x, SHINGLE))
+                keep.append(similar(left, np.unique(shingle_hashes(y, SHINGLE))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text").mapInArrow(run, "doc_id long, own long, first long, second long")
+    right = pairs.join(texts.select(F.col("own").alias("b"), F.col("text").alias("y")), "b")
+    both = right.join(texts.select(F.col("own").alias("a"), F.col("text").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, all columns: the one with the smallest doc_id.
 
-    Near copies share 0.8 of their five-word shingles or more. At that similarity fingerprints of five-word shingles lie about 10 bits apart,
-    out of a ball's reach; those of distinct words lie within 3 bits. So documents link if one of two independent fingerprints of their
-    distinct words differs in RADIUS bits at most. Null and empty texts are copies of each other, and so are repeated rows; a null id counts
-    as the smallest. An empty table stays empty.
+    Near copies share 0.8 of the union of their five-word shingles or more; groups are the connected components of these pairs. Candidates
+    are texts with an equal band key, and every link is verified on the real sets. Of a bucket its smallest member is compared with all
+    others; then the pairs of members that are still in different components are compared, so each pair of a bucket is either verified
+    or linked by others. Null and empty texts are copies of each other, and so are repeated rows; a null id counts as the smallest. An empty
+    table stays empty.
     """
-    rows = materialize(signatures(docs)).withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(rows)
-    edges = None
-    for name in ("first", "second"):
-        own = materialize(rows.groupBy(F.col(name).alias("fp")).agg(F.min("row").alias("low")))
-        found = links(own.select("fp")).join(own.select(F.col("fp").alias("a"), F.col("low").alias("u")), "a").join(own.select(F.col("fp").alias("b"), F.col("low").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
-        same = rows.join(own, rows[name] == own.fp).where(F.col("row") != F.col("low")).select(F.col("row").alias("a"), F.col("low").alias("b"))
-        edges = found.union(same) if edges is None else edges.union(found).union(same)
-    group = rows.join(components(edges), F.col("row") == F.col("node"), "left").withColumn("group", F.coalesce("root", "row"))
+    rows = materialize(signatures(docs))
+    own = materialize(rows.groupBy("own").agg(F.min(F.struct("doc_id")).alias("k"), F.first("bands").alias("bands")).select("own", F.col("k.doc_id").alias("doc_id"), "bands"))
+    texts = docs.select(F.xxhash64("text").alias("own"), "text").dropDuplicates(["own"])
+    member = own.select("own", F.explode("bands").alias("band"))
+    lead = member.groupBy("band").agg(F.min("own").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
+    member = materialize(member.join(lead, "band"))
+    stars = materialize(member.where("own != a").select("a", F.col("own").alias("b")).distinct())
+    edges = materialize(verified(stars, texts))
+    known = member.join(components(edges), F.col("own") == F.col("node"), "left").select("band", "a", "own", F.coalesce("root", "own").alias("root"))
+    known = materialize(known)
+    open_bands = known.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("band")
+    left = known.join(open_bands, "band", "left_semi")
+    x, y = left.select("band", F.col("own").alias("u"), F.col("root").alias("r")), left.select("band", "a", F.col("own").alias("v"), F.col("root").alias("s"))
+    # pairs with a bucket's smallest member have been verified
+    rest = x.join(y, "band").where("u < v AND r != s AND u != a").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    edges = edges.union(verified(materialize(rest.join(stars, ["a", "b"], "left_anti")), texts))
+    group = own.join(components(edges), F.col("own") == F.col("node"), "left").withColumn("group", F.coalesce("root", "own"))
     keep = group.groupBy("group").agg(F.min(F.struct("doc_id", "own")).alias("k")).select(F.col("k.doc_id").alias("__vellum_id"), F.col("k.own").alias("__vellum_own"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__vellum_id")) & (F.col("__vellum_text") == F.col("__vellum_own"))
     kept = docs.withColumn("__vellum_text", F.xxhash64("text")).join(materialize(keep), same, "left_semi")
