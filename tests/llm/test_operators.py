@@ -412,6 +412,21 @@ def test_sharding_balances_and_numbers(spark):
     assert sharding.shard(sharding.materialize(sharding.measured(documents(spark, []))), 8).count() == 0
 
 
+@pytest.mark.parametrize("hot", [None, "", "one short text"])
+def test_sharding_splits_a_group_of_many_short_rows(spark, hot):
+    rng = random.Random(7)
+    texts = [" ".join(str(rng.random()) for _ in range(rng.randint(1, 20))) for _ in range(3000)] + [hot] * 1500
+    out = sharding.shard(sharding.materialize(sharding.measured(documents(spark, texts))), 8).collect()
+    size, count, where = Counter(), Counter(), defaultdict(set)
+    for r in out:
+        size[r.shard] += r.size
+        count[r.shard] += 1
+        where[texts[r.doc_id]].add(r.shard)
+    assert len(out) == len(texts) and len(size) == 8
+    assert max(size.values()) < 1.02 * min(size.values()) and max(count.values()) < 1.05 * min(count.values())
+    assert all(len(s) == 1 for t, s in where.items() if t != hot)
+
+
 def test_pack_vectors_prefers_residual_capacity():
     place = sharding.pack_vectors(np.array([[4.0, 0.0], [0.0, 4.0], [4.0, 0.0], [0.0, 4.0]]), 2)
     assert sorted([place[0], place[2]]) == [0, 1] == sorted([place[1], place[3]])

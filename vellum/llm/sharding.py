@@ -2,8 +2,8 @@
 
 Rows of equal text form a group and stay together. Groups that weigh much are packed one by one; the others are gathered in cells by a hash
 of their text, so the driver plans over a number of vectors that depends on the number of shards alone. From the heaviest down, each vector
-goes to the shard where its dot product with what is left of the shard's capacity is highest. A group of more bytes than a shard can hold is
-the one kind that is split, into parts by a hash of the id.
+goes to the shard where its dot product with what is left of the shard's capacity is highest. A group of more bytes, tokens or rows than a
+shard can hold is the one kind that is split, into parts by a hash of the id.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from vellum.llm.common import gapless_rank, materialize, table
 SHARDS = 24
 #: Cells a shard; a group with more than a CELLS-th of a shard's capacity in any dimension is a vector of its own.
 CELLS = 512
-#: Parts of a group too large for a shard hold about so much of a shard's bytes.
+#: Parts of a group too large for a shard hold about so much of a shard's capacity in the dimension the group takes most of.
 PART = 1 / 16
 #: Bytes that a row takes besides its text.
 OVERHEAD = 8
@@ -50,7 +50,7 @@ def measured(docs: DataFrame) -> DataFrame:
 def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """rows(doc_id, size, tokens, grp, …) with shard int and slot long (gapless from 0 in its shard) added. Pass a materialized table.
 
-    Rows with equal grp go to one shard, unless their bytes exceed a shard's share. Null ids and repeated rows are rows like any other.
+    Rows with equal grp go to one shard, unless their bytes, tokens or number exceed a shard's share. Null ids and repeated rows are rows like any other.
     An empty table gives none.
     """
     spark = rows.sparkSession
@@ -66,11 +66,12 @@ def shard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     heavy = groups.where(heavy_if).collect()
     cells = shards * CELLS
     light = groups.where(~heavy_if).groupBy(F.pmod("grp", F.lit(cells)).alias("cell")).agg(*[F.sum(n).alias(n) for n in names]).collect()
-    # parts of the groups that no shard can hold: fewer than shards x (1 + 1 / PART)
-    split = spark.createDataFrame([(r["grp"], int(np.ceil(r["size"] / (capacity["size"] * PART)))) for r in heavy if r["size"] > capacity["size"]], "grp long, parts int")
+    # shards that a group would fill; parts of those that no shard can hold: fewer than 3 x shards x (1 + 1 / PART)
+    fills = {r["grp"]: max(r[n] / capacity[n] for n in names if capacity[n]) for r in heavy}
+    split = spark.createDataFrame([(g, int(np.ceil(f / PART))) for g, f in fills.items() if f > 1], "grp long, parts int")
     dealt = rows.join(F.broadcast(split), "grp", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts"))).otherwise(0).cast("int"))
     parts = dealt.where(F.col("parts").isNotNull()).groupBy("grp", "part").agg(*measures).collect()
-    whole = [r for r in heavy if r["size"] <= capacity["size"]]
+    whole = [r for r in heavy if fills[r["grp"]] <= 1]
     own = sorted([(r["grp"], 0, r) for r in whole] + [(r["grp"], r["part"], r) for r in parts], key=lambda x: x[:2])
     cells_of = sorted([(r["cell"], r) for r in light], key=lambda x: x[0])
     weights = [[r[n] for n in names] for *_, r in [*own, *cells_of]]
