@@ -254,6 +254,14 @@ def test_reparameterised_questions_are_found(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_literal_windows_count_where_slots_clash():
+    item = "Mary has 12 apples and 7 pears in a basket that she keeps under the old wooden table near the door of her kitchen, and she pays 1 dollar for 12 apples and 3 dollars for 7 pears when Mary goes to the market in the morning."
+    index = decontaminate.Index([(1, item)])
+    for edited in (item, item.replace("for 12 apples", "for 7 apples"), item.replace("when Mary", "when Nina"), item.replace("3 dollars", "3 dollar")):
+        (found,) = index.find("It was late. " + edited + " And so on.")
+        assert found[2] >= 24
+
+
 def test_decontamination_finds_all_contained_items(spark):
     tok = lambda t: " " + " ".join(w.lower() for w in re.findall(r"[^\W_]+", t or "")) + " "
     docs = {r.doc_id: tok(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -3,7 +3,8 @@
 Texts become sequences of canonical tokens: numbers, names and units turn into typed placeholders, other words are lower-cased. Windows of
 canonical tokens of the benchmark are indexed by hash, and every document's windows are looked up in that index, so a question whose numbers
 or names were exchanged still meets its original. Matched windows on one diagonal form runs; in a run the slots must be consistent: equal
-values of the item stand for equal values in the document and different ones for different ones. The benchmark is taken in blocks of a fixed
+values of the item stand for equal values in the document and different ones for different ones; where they don't, only windows whose values
+are those of the item count. The benchmark is taken in blocks of a fixed
 number of items; a block's index has a bounded size and goes to all executors, and every document meets every block.
 """
 
@@ -172,6 +173,9 @@ class Index:
                         if np.array_equal(its[c:d], token[c + shift : d + shift]) and consistent(its[c:d], was[c:d], value[c + shift : d + shift]):
                             covered[c:d] = True
                             break
+                    else:
+                        for c, d in literal_spans(was[a:b] == value[a + shift : b + shift], run[-1][1]):
+                            covered[a + c : a + d] = True
                     run = []
                 run.append((p, size))
             n = int(covered.sum())
@@ -194,6 +198,12 @@ def consistent(token: np.ndarray, was: np.ndarray, now: np.ndarray) -> bool:
     return True
 
 
+def literal_spans(same: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Where `size` or more neighbouring values are the same: they are a copy whatever the slots around them hold."""
+    edges = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8))).reshape(-1, 2)
+    return [(a, b) for a, b in edges.tolist() if b - a >= size]
+
+
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's rows in blocks of BLOCK_ITEMS; the driver holds one block at a time."""
     block: list[tuple[int, str]] = []
