@@ -262,6 +262,23 @@ def test_literal_windows_count_where_slots_clash():
         assert found[2] >= 24
 
 
+def test_short_and_slot_rich_items_are_found():
+    items = ["What is 12 + 7?", "Compute 3 + 5 - 9", "Find the sum of all even primes.", "the quick brown fox jumps over the lazy dog while a cat sleeps near"]
+    index = decontaminate.Index(list(enumerate(items)))
+    for k, item in enumerate(items):
+        for text in (item, "so we ask. " + item + " Yes", "so we ask " + item):
+            assert [r[0] for r in index.find(text)] == [k], (item, text)
+    assert index.find("What is 13 + 8?") == [] == index.find("Compute 4 + 6 - 2")
+    words = items[3].split() + ["barn", "now"]
+    for n in (15, 16):
+        index = decontaminate.Index([(1, " ".join(words[:n]))])
+        for at in range(n):
+            edited = " ".join([*words[:at], "edited", *words[at + 1 : n]])
+            assert [(r[0], r[2]) for r in index.find("before it " + edited + " after it")] == [(1, n - 1)], (n, at)
+        assert index.find(" ".join(w if i % 4 else "edited" for i, w in enumerate(words[:n]))) == []
+    assert decontaminate.Index([(1, "12 7 3 9"), (2, "Anna Tom. 5 6 7")]).find("nothing of this is here") == []
+
+
 def test_decontamination_finds_all_contained_items(spark):
     tok = lambda t: " " + " ".join(w.lower() for w in re.findall(r"[^\W_]+", t or "")) + " "
     docs = {r.doc_id: tok(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

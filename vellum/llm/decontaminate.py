@@ -127,45 +127,61 @@ def window_hashes(token: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def window_size(n: int) -> int:
+    """Tokens of a window of an item of n: so few that one is left whole by as many exchanged words as a short item may have."""
+    need = int(np.ceil(SHARE * n))
+    return WINDOW if need > ENOUGH else int(np.ceil(need / (n - need + 1)))
+
+
 class Index:
-    """Windows of a block of items: for each window size, sorted hashes with item and position."""
+    """Windows of a block of items: for each window size, sorted hashes with item and position; windows poor in literals by their values."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.items: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
-        rows: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        rows: dict[tuple[int, bool], list[tuple[int, int, int]]] = defaultdict(list)
         for k, (item, text) in enumerate(items):
             token, value, _ = canonical(text)
             if len(token) < LEAST:
                 continue
             self.items[k] = (item, token, value)
-            size = min(WINDOW, len(token))
+            size = window_size(len(token))
             literal = np.convolve(token > 3, np.ones(size, int), "valid")
-            rows[size] += [(int(h), k, p) for p, h in enumerate(window_hashes(token, size)) if literal[p] >= min(LITERALS, size)]
-        self.sizes = {}
-        for size, own in rows.items():
+            for p, (h, v) in enumerate(zip(window_hashes(token, size).tolist(), window_hashes(value, size).tolist(), strict=True)):
+                if literal[p] >= LITERALS:
+                    rows[size, False].append((h, k, p))
+                # the first word of a whole item may be taken for a name in a document, so the first window is also known by its values
+                if literal[p] < LITERALS or p == 0:
+                    rows[size, True].append((v, k, p))
+        self.tables = {}
+        for key, own in rows.items():
             own.sort()
-            self.sizes[size] = (np.array([r[0] for r in own], np.uint64), np.array([r[1:] for r in own], np.int64).reshape(-1, 2))
+            hashes = np.array([r[0] for r in own], np.uint64)
+            there = np.zeros(1 << 20, bool)
+            there[hashes >> np.uint64(44)] = True
+            self.tables[key] = (hashes, there, np.array([r[1:] for r in own], np.int64))
 
     def find(self, text: str | None) -> list[tuple]:
         """Rows (item_id, coverage, tokens, first word, last word, places, exact) of a text, one for each item found in it."""
         token, value, word = canonical(text)
-        diagonals: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for size, (hashes, where) in self.sizes.items():
-            own = window_hashes(token, size)
-            low = np.searchsorted(hashes, own)
-            at = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own)
-            for d in at.tolist():
-                j = int(low[d])
-                while j < len(hashes) and hashes[j] == own[d]:
-                    k, p = where[j].tolist()
-                    diagonals[k, d - p].append((p, size))
-                    j += 1
+        diagonals: dict[tuple[int, int], list[tuple[int, int, bool]]] = defaultdict(list)
+        for (size, raw), (hashes, there, where) in self.tables.items():
+            own = window_hashes(value if raw else token, size)
+            at = np.flatnonzero(there[own >> np.uint64(44)])
+            low, high = np.searchsorted(hashes, own[at]), np.searchsorted(hashes, own[at], "right")
+            for d, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
+                for k, p in where[a:b].tolist():
+                    diagonals[k, d - p].append((p, size, raw))
         best: dict[int, tuple] = {}
         for (k, shift), windows in diagonals.items():
             item, its, was = self.items[k]
             covered = np.zeros(len(its), bool)
             run: list[tuple[int, int]] = []
-            for p, size in [*sorted(windows), (len(its) + WINDOW + 1, 0)]:
+            for p, size, raw in [*sorted(windows), (len(its) + WINDOW + 1, 0, True)]:
+                if raw:
+                    if size and np.array_equal(was[p : p + size], value[p + shift : p + shift + size]):
+                        covered[p : p + size] = True
+                    if size:
+                        continue
                 if run and p > run[-1][0] + run[-1][1]:
                     a, b = run[0][0], run[-1][0] + run[-1][1]
                     # a name before or after the passage may have merged with its first or last slot
@@ -178,6 +194,8 @@ class Index:
                             covered[a + c : a + d] = True
                     run = []
                 run.append((p, size))
+            if covered.any():
+                extend(covered, its, was, token, value, shift)
             n = int(covered.sum())
             if n and n >= min(ENOUGH, SHARE * len(its)):
                 a, b = np.flatnonzero(covered)[[0, -1]].tolist()
@@ -198,6 +216,32 @@ def consistent(token: np.ndarray, was: np.ndarray, now: np.ndarray) -> bool:
     return True
 
 
+def extend(covered: np.ndarray, its: np.ndarray, was: np.ndarray, token: np.ndarray, value: np.ndarray, shift: int) -> None:
+    """Adds to covered what matches beside it on the diagonal, over single mismatches: equal tokens, and slots that keep to the map of those
+    covered. After a mismatch the next token has to be the same literally."""
+    low, high = max(0, -shift), min(len(its), len(token) - shift)
+    there, back = {}, {}
+    for i in np.flatnonzero(covered & (its <= 3)).tolist():
+        kind = int(its[i])
+        there.setdefault((kind, int(was[i])), int(value[i + shift]))
+        back.setdefault((kind, int(value[i + shift])), int(was[i]))
+    for step in (1, -1):
+        for start in np.flatnonzero(covered).tolist():
+            i, missed = start + step, False
+            while low <= i < high and not covered[i]:
+                kind, a, b = int(its[i]), int(was[i]), int(value[i + shift])
+                fits = a == b if missed or its[i] != token[i + shift] else kind > 3 or there.get((kind, a), b) == b and back.get((kind, b), a) == a
+                if fits:
+                    covered[i] = True
+                    if kind <= 3 and its[i] == token[i + shift]:
+                        there.setdefault((kind, a), b)
+                        back.setdefault((kind, b), a)
+                elif missed:
+                    break
+                missed = not fits
+                i += step
+
+
 def literal_spans(same: np.ndarray, size: int) -> list[tuple[int, int]]:
     """Where `size` or more neighbouring values are the same: they are a copy whatever the slots around them hold."""
     edges = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8))).reshape(-1, 2)
