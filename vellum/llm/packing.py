@@ -10,6 +10,7 @@ the pieces of its length.
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ END = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries of a worker's memory of space-delimited words; it starts anew when full.
 MEMORY = 300_000
+#: Longer words aren't remembered.
+LONGEST = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -50,21 +53,32 @@ class Encoder(dict):
 
     def __init__(self, definition: str):
         super().__init__()
-        alphabet = byte_alphabet()
-        added = {t["content"] for t in json.loads(definition).get("added_tokens", [])}
-        ranks = {bytes(alphabet[c] for c in token): rank for token, rank in json.loads(definition)["model"]["vocab"].items() if token not in added}
+        alphabet, read = byte_alphabet(), json.loads(definition)
+        self.added = {t["content"]: struct.pack("<I", t["id"]) for t in read.get("added_tokens", [])}
+        if any(t.get(flag) for t in read.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take white space with them or stand for whole words only aren't supported")
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
+        ranks = {bytes(alphabet[c] for c in token): rank for token, rank in read["model"]["vocab"].items() if token not in self.added}
         self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace():
             raise self.Whole
-        if len(self) >= MEMORY:
-            self.clear()
         ids = self.encode(" " + word)
-        self[word] = found = struct.pack(f"<{len(ids)}I", *ids)
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= LONGEST:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[word] = found
         return found
 
     def ids(self, text: str) -> bytes:
+        """The ids of a text; a string of an added token in it is that token, and what stands between them is encoded by itself."""
+        if any(token in text for token in self.added):
+            return b"".join(self.added.get(part) or self.plain(part) for part in self.split(text) if part)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         first, *words = text.split(" ")
         try:
             start = self.encode(first)
@@ -114,7 +128,16 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths of one sequence) and how many sequences follow each. Every counted length is used exactly as often as counted."""
+    """Patterns (lengths of one sequence) and how many sequences follow each. Every counted length is used exactly as often as counted.
+
+    Combinations of up to three lengths that fill a gap exactly may use up the short lengths that best fit would need elsewhere, so it is
+    planned with combinations of up to three, two, one and no lengths; the plan of fewest sequences is taken, of equal ones the first.
+    """
+    return min((planned(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(times for _, times in p))
+
+
+def planned(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan with exact combinations of up to `most` lengths for each gap, then best-fit decreasing; with none, best fit alone."""
     have = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         have[length] = n
@@ -144,10 +167,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         if not gap:
             take((first,))
             continue
-        take((first, gap))
-        for a, b in pair(gap):
+        if most >= 1:
+            take((first, gap))
+        for a, b in pair(gap) if most >= 2 else ():
             take((first, a, b))
-        for a in range(gap - 2, 0, -1):
+        for a in range(gap - 2, 0, -1) if most >= 3 else ():
             if not have[first]:
                 break
             if have[a]:
@@ -211,14 +235,18 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:
+    """The packed pieces of docs(doc_id, text) with a CRC-32 of their ids. Null and empty texts, null ids, repeated rows and empty tables: see
+    tokenized_pieces and pack; other columns aren't read."""
     pieces = tokenized_pieces(docs, public_tokenizers.path(TOKENIZER))
     digest = materialize(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return pack(digest).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """packed_digest of all documents: a row for each piece."""
     return packed_digest(table(spark, sf_dir, "documents"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """packed_digest of the documents that the stages before kept."""
     return packed_digest(docs)
