@@ -7,14 +7,15 @@ The margin is the share of bytes it saves against the runner-up: where it is nar
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.llm.common import table
 
@@ -27,11 +28,14 @@ LEVEL = 6
 #: Below this margin the two best languages can't be told apart.
 NARROW = 0.005
 UNKNOWN = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Letters and the marks on them: many scripts write vowels as marks.
+NOT_LETTERS, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def letters(text: str | None) -> bytes:
-    return NOT_LETTERS.sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
+    """A text's letters in lower case, runs of anything else as one space; empty where there is no letter."""
+    own = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    return own.encode("utf-8", "replace") if LETTER.search(own) else b""
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -83,16 +87,17 @@ def classify(text: str | None, model: tuple[tuple[str, bytes], ...]) -> tuple[st
     return model[best][0], 1.0 if second is None else 1 - sizes[best] / second
 
 
-def identify(docs: DataFrame, model: list[tuple[str, bytes]]) -> DataFrame:
-    """docs with lang_pred string, margin double and rejected boolean added.
+def identify(docs: DataFrame, model: list[tuple[str, bytes]], prefix: str = "") -> DataFrame:
+    """docs with lang_pred string, margin double and rejected boolean added, their names after `prefix`.
 
     A null or empty text, or one without a letter, is `und` with margin 0 and rejected; a text whose margin is under NARROW keeps its best
     language in lang_pred and is rejected. All rows of docs stay, repeated ones too, with all columns (own columns of these names are
     replaced). A null id is classified like any other. Without a model every text is `und`.
     """
     learned = tuple(model)
-    docs = docs.drop("lang_pred", "margin", "rejected")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, lang_pred string, margin double, rejected boolean"
+    names = [prefix + n for n in ("lang_pred", "margin", "rejected")]
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema, *[T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,18 +105,20 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]]) -> DataFrame:
             found = [classify(t, learned) for t in batch.column(at).to_pylist()]
             rejected = [lang == UNKNOWN or margin < NARROW for lang, margin in found]
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "lang_pred", "margin", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify on all documents, learned from those that aren't held out; a row for each row, repeated ones too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify(docs.select("doc_id", "text"), fit(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("margin").alias("score"), "rejected")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language is known; those that identify rejects go. Columns as they came."""
-    found = identify(docs, fit(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    """The documents whose language is known; those that identify rejects go, null and empty texts among them. Columns as they came, whatever
+    their names; repeated rows stay or go alike."""
+    found = identify(docs, fit(docs), "__vellum_")
+    return found.where(~F.col("__vellum_rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
