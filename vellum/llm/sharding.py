@@ -36,12 +36,14 @@ def pack_vectors(weights: np.ndarray, shards: int) -> np.ndarray:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, tokens, text_crc32, grp): a row for each document; tokens are runs of anything but white space."""
+    """(doc_id, size, tokens, text_crc32, grp): a row for each row of docs(doc_id, text), repeated ones and null ids too; tokens are runs of
+    anything but white space. A null text counts like an empty one: no token. Other columns aren't read."""
     text = F.coalesce("text", F.lit(""))
+    bare = F.trim(F.translate(text, "\t\n\r\x0b\x0c", "     "))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        F.size(F.split(F.trim(F.translate(text, "\t\n\r\x0b\x0c", "     ")), " +")).cast("long").alias("tokens"),
+        F.when(bare == "", 0).otherwise(F.size(F.split(bare, " +"))).cast("long").alias("tokens"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("grp"),
     )
@@ -89,10 +91,14 @@ def order(rows: DataFrame) -> list[Column]:
 
 
 def write_shards(docs: DataFrame, path: str, salts: int = 16) -> None:
-    """Writes docs with a column shard as one folder a shard; a shard is dealt to `salts` files so that none is written by one task."""
+    """Writes docs with a column shard as one folder a shard; a shard is dealt to `salts` files so that none is written by one task.
+
+    All rows and other columns are written, null ids (all to one of a shard's files) and repeated rows too. An empty table writes no shard.
+    """
     docs.repartition(F.col("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).write.partitionBy("shard").parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document under the law `bytes`; see shard."""
     rows = materialize(measured(table(spark, sf_dir, "documents")))
     return shard(rows).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
