@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import table
+from vellum.llm.common import in_slices, table
 from vellum.llm.names import GIVEN_NAMES
 
 WINDOW = 8
@@ -32,8 +32,8 @@ LITERALS = 3
 ENOUGH, SHARE, LEAST = 13, 0.8, 4
 #: Items of one index.
 BLOCK_ITEMS = 5000
-#: Entries of a worker's memory of words.
-MEMORY = 200_000
+#: Entries and characters of a worker's memory of words.
+MEMORY, MEMORY_CHARS = 150_000, 4_000_000
 
 #: Units, as they stand after a number.
 UNITS = set(
@@ -59,6 +59,7 @@ class Words(dict):
     def __init__(self) -> None:
         super().__init__()
         self.start, self.count, self.value, self.flags = array("q"), array("q"), array("Q"), array("B")
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
         bare = word.strip(AROUND)
@@ -77,14 +78,16 @@ class Words(dict):
         if tokens and word.rstrip(CLOSING)[-1:] in ENDS:
             self.flags[-1] |= STOP
         self[word] = code = len(self.start) - 1
+        self.chars += len(word)
         return code
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(value, flags, word): the tokens of a text's words, and which word each is of."""
         if not words:
             return np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64)
-        if len(self) >= MEMORY:  # between texts, so that no code of this one is lost
+        if len(self) >= MEMORY or self.chars >= MEMORY_CHARS:  # between texts, so that no code of this one is lost
             self.clear()
+            self.chars = 0
             for table in (self.start, self.count, self.value, self.flags):
                 del table[:]
         codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -279,7 +282,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             index = shipped.value
-            for batch in batches:
+            for batch in in_slices(batches):
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if found := index.find(text):
@@ -301,7 +304,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             index = shipped.value
-            for batch in batches:
+            for batch in in_slices(batches):
                 yield batch.filter(pa.array([not index.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)

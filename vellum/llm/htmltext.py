@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import table
+from vellum.llm.common import in_slices, table
 
 NAME = re.compile(r"[a-z][a-z0-9:-]*", re.IGNORECASE)
 STOP = re.compile(r"=\s*[\"']|[<>]")
@@ -354,7 +354,7 @@ def extract(pages: DataFrame, tree: tuple | None = None) -> DataFrame:
     tree = tree or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = [main_text(h, tree) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import table
+from vellum.llm.common import in_slices, table
 
 #: Fit: about so many rows of each language, so many characters of each row, so many bytes of each dictionary. Nothing else is bounded.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 2000, 1 << 16
@@ -101,7 +101,7 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], prefix: str = "")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [classify(t, learned) for t in batch.column(at).to_pylist()]
             rejected = [lang == UNKNOWN or margin < NARROW for lang, margin in found]
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(rejected, pa.bool_())]

@@ -18,13 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import table
+from vellum.llm.common import in_slices, table
 
 GRAM, WINNOW = 3, 2
 #: Report a template where so large a share of its words is matched; the second holds for templates of fewer than SHORT words.
 COVERAGE, COVERAGE_SHORT, SHORT = 0.75, 0.9, 20
 MATCH, MISMATCH, GAP = 2, -1, -1
-MEMORY = 200_000
+#: Entries of a worker's memory of words; longer words aren't remembered.
+MEMORY, LONGEST = 200_000, 64
 
 #: License notices.
 TEMPLATES = {
@@ -98,10 +99,12 @@ class Scanner:
         """The number of a word, 0 where no template has it, -1 where nothing of it is left."""
         found = self.seen.get(word)
         if found is None:
-            if len(self.seen) >= MEMORY:
-                self.seen.clear()
             p = plain(word)
-            self.seen[word] = found = self.vocabulary.get(p, 0) if p else -1
+            found = self.vocabulary.get(p, 0) if p else -1
+            if len(word) <= LONGEST:
+                if len(self.seen) >= MEMORY:
+                    self.seen.clear()
+                self.seen[word] = found
         return found
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float, int, int]]:
@@ -143,7 +146,7 @@ class Scanner:
         template = self.words[t]
         width = high - low + 1
         score = [0] * (width + 2)
-        trace: list[list[tuple[int, int]]] = [[(0, -1)] * (width + 2)]  # matched, first word of the way here
+        above = [(0, -1)] * (width + 2)  # matched, first word of the way here
         best = (0, 0, -1, -1)
         ids = own.tolist()
         for i, word in enumerate(template):
@@ -153,14 +156,13 @@ class Scanner:
                 if not 0 <= d < len(ids):
                     continue
                 same = ids[d] == word
-                options = [(score[k] + (MATCH if same else MISMATCH), trace[-1][k], same), (row[k - 1] + GAP, way[k - 1], False), (score[k + 1] + GAP, trace[-1][k + 1], False)]
+                options = [(score[k] + (MATCH if same else MISMATCH), above[k], same), (row[k - 1] + GAP, way[k - 1], False), (score[k + 1] + GAP, above[k + 1], False)]
                 s, (n, first), hit = max(options, key=lambda x: x[0])
                 if s > 0:
                     row[k], way[k] = s, (n + hit, d if first < 0 else first)
                     if hit and (s, n + 1) > best[:2]:
                         best = (s, n + 1, way[k][1], d)
-            score = row
-            trace.append(way)
+            score, above = row, way
         return [(t, *best[1:])] if best[1] >= len(template) * (COVERAGE_SHORT if len(template) < SHORT else COVERAGE) else []
 
 
@@ -178,7 +180,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [(doc, *x) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in own.scan(text)]
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], [x.split()[0] for x in FOUND.split(", ")])

@@ -23,13 +23,13 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import gapless_rank, materialize, table
+from vellum.llm.common import gapless_rank, in_slices, materialize, table
 
 CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries of a worker's memory of space-delimited words; it starts anew when full.
-MEMORY = 300_000
+MEMORY = 150_000
 #: Longer words aren't remembered.
 LONGEST = 64
 
@@ -106,7 +106,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shipped.value)
-        for batch in batches:
+        for batch in in_slices(batches):
             rows: list[tuple] = []
             held = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import components, materialize, table
+from vellum.llm.common import components, hot_join, in_slices, materialize, sized, table
 
 RADIUS = 3
 BLOCKS = ((0, 22), (22, 43), (43, 64))
@@ -27,10 +27,14 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
 #: Near copies of the pipeline: runs of so many words, and the share of them (a fraction) that two texts have in common.
 SHINGLE, SIMILAR = 5, (4, 5)
-#: A pair at similarity s shares no band key with probability (1 - s**BAND_ROWS)**BANDS: 5e-8 at 0.8.
-BANDS, BAND_ROWS = 32, 4
-MULTIPLY, ADD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
-MULTIPLY |= np.uint64(1)
+#: A pair at similarity s shares no band key with probability (1 - s**BAND_ROWS)**BANDS: 6e-4 at 0.8, 1e-5 at 0.85.
+BANDS, BAND_ROWS = 40, 8
+MULTIPLY, ADD = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * BAND_ROWS, 1), dtype=np.uint32)
+MULTIPLY |= np.uint32(1)
+#: A sketch has one bit of each of so many minima. Bits of a pair at 0.8 differ with probability 0.1 each: more than FAR of them in 1 of 100,000 pairs.
+SKETCH, FAR = 256, 47
+#: Distinct shingles of one chunk of a bucket (32 MB of hashes), and members of one chunk of a star.
+CHUNK, STAR = 1 << 22, 512
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -71,7 +75,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     """(doc_id, fp long): the fingerprint of every whole text. Null and empty texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -151,11 +155,12 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def linked(fps: DataFrame) -> DataFrame:
-    """(fp, component_id) of rows (doc_id, fp): the smallest doc_id in the component of each distinct fingerprint."""
-    own = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    rooted = own.join(components(links(own.select("fp"))), own.fp == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    """(fp, n, component_id) of rows (doc_id, fp): how many rows each distinct fingerprint has, and the smallest doc_id in its component."""
+    own = fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    rooted = own.join(components(links(own.select("fp"))), own.fp == F.col("node"), "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(rooted)
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    return hot_join(rooted, least, "root", "m", rooted.count()).select("fp", "n", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -166,31 +171,48 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     component's smallest doc_id that isn't null. An empty table gives none; other columns, whatever their names, aren't read.
     """
     fps = materialize(fingerprints(docs, words))
-    return fps.join(linked(fps), "fp").select("doc_id", "fp", "component_id")
+    return hot_join(fps, linked(fps), "fp", "n", fps.count()).select("doc_id", "fp", "component_id")
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set of hashes, each of BAND_ROWS of its minima under random maps; all texts without words share theirs."""
-    least = np.full(len(MULTIPLY), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(h), 1 << 11):
-        least = np.minimum(least, (MULTIPLY[:, None] * h[None, at : at + (1 << 11)] + ADD[:, None]).min(axis=1))
+def minima(h: np.ndarray) -> np.ndarray:
+    """The minimum of a set of hashes under each of BANDS x BAND_ROWS random maps; of an empty set, the largest number."""
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(MULTIPLY), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(low), 1 << 9):  # parts that stay in the cache
+        for k in range(0, len(least), 64):
+            part = MULTIPLY[k : k + 64] * low[at : at + (1 << 9)]
+            part += ADD[k : k + 64]
+            np.minimum(least[k : k + 64], part.min(axis=1), out=least[k : k + 64])
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of BAND_ROWS minima; all texts without words share theirs."""
     key = np.arange(BANDS, dtype=np.uint64)
-    for own in least.reshape(BANDS, BAND_ROWS).T:
+    for own in least.reshape(BANDS, BAND_ROWS).T.astype(np.uint64):
         key = mixed(key ^ own)
     return key
 
 
+def sketch(least: np.ndarray) -> bytes:
+    """One bit of each of the first SKETCH minima: two sets' bits are equal where their minima are, and by chance elsewhere."""
+    salted = least[:SKETCH].astype(np.uint64) + (np.arange(SKETCH, dtype=np.uint64) << np.uint64(32))
+    return np.packbits((mixed(salted) & np.uint64(1)).astype(np.uint8)).tobytes()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, own, bands): a hash of the text and the band keys of its set of shingles."""
+    """(doc_id, own, size, sketch, bands): a hash of the text, how many distinct shingles it has, and their sketch and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [band_keys(np.unique(shingle_hashes(t, SHINGLE))) for t in batch.column(2).to_pylist()]
-            flat = pa.array(np.concatenate(keys).view("<i8") if keys else [], pa.int64())
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands], ["doc_id", "own", "bands"])
+        for batch in in_slices(batches):
+            sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in batch.column(2).to_pylist()]
+            least = [minima(h) for h in sets]
+            flat = pa.array(np.concatenate([band_keys(x) for x in least]).view("<i8") if sets else [], pa.int64())
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.int32()), flat)
+            more = [pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(sketch, least)), pa.binary()), bands]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], ["doc_id", "own", "size", "sketch", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text").mapInArrow(run, "doc_id long, own long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text").mapInArrow(run, "doc_id long, own long, size long, sketch binary, bands array<long>")
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -203,56 +225,154 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return both * SIMILAR[1] >= (len(x) + len(y) - both) * SIMILAR[0]
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of pairs(a, b) whose texts(own, text) are similar by their real sets of shingles."""
-    needed = pairs.select(F.col("a").alias("own")).union(pairs.select(F.col("b").alias("own"))).distinct()
-    texts = materialize(texts.join(needed, "own", "left_semi"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, np.empty(0, "<u8")
-        for batch in batches:
-            keep = []
-            for a, x, y in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], strict=True):
-                if a != last:
-                    last, left = a, np.unique(shingle_hashes(x, SHINGLE))
-                keep.append(similar(left, np.unique(shingle_hashes(y, SHINGLE))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    right = pairs.join(texts.select(F.col("own").alias("b"), F.col("text").alias("y")), "b")
-    both = right.join(texts.select(F.col("own").alias("a"), F.col("text").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def with_texts(units: DataFrame, docs: DataFrame) -> DataFrame:
+    """units(own, rep, …) with text: that of the row of docs with the hash `own` and the id `rep`. Only texts that are asked for are shuffled,
+    unless their list is too long to broadcast."""
+    asked = sized(materialize(units.select("own", "rep").distinct()))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("own"), "text")
+    on = (texts.own == asked.own) & texts.rep.eqNullSafe(asked.rep)
+    return units.drop("rep").join(texts.join(asked, on, "left_semi").select("own", "text"), "own")
+
+
+def star_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links (a, b) from rows (hub, part, leaf, own, text) sorted by the first three: each member's set is held against its hub's."""
+    last, hub = None, np.empty(0, "<u8")
+    for batch in in_slices(batches):
+        keep = []
+        for h, part, leaf, text in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 4)], strict=True):
+            own = np.unique(shingle_hashes(text, SHINGLE))
+            if not leaf and (h, part) != last:
+                last, hub = (h, part), own
+            keep.append(leaf and similar(hub, own))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+class Unit:
+    """Members of one unit of a bucket: texts of several components, some of which are to be held against all others."""
+
+    def __init__(self) -> None:
+        self.own: list[int] = []
+        self.root: list[int] = []
+        self.probe: list[bool] = []
+        self.base: list[bool] = []
+        self.sketch: list[bytes] = []
+        self.text: list[str | None] = []
+
+    def edges(self) -> list[tuple[int, int]]:
+        """A link for each two components that a verified pair joins; pairs of joined components aren't verified again."""
+        sets: dict[int, np.ndarray] = {}
+        joined: dict[int, int] = {}
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.unique(shingle_hashes(self.text[i], SHINGLE))
+            return sets[i]
+
+        def find(r: int) -> int:
+            while (up := joined.get(r, r)) != r:
+                r = up
+            return r
+
+        own, root = np.array(self.own), np.array(self.root)
+        bits = np.frombuffer(b"".join(self.sketch), dtype="<u8").reshape(len(own), -1)
+        base, found = np.flatnonzero(self.base), []
+        for i in np.flatnonzero(self.probe).tolist():
+            apart = np.zeros(len(base), dtype=np.int32)
+            for word in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[base, word] ^ bits[i, word])
+            for j in base[(apart <= FAR) & (root[base] != root[i])].tolist():
+                r, s = find(self.root[i]), find(self.root[j])
+                if r != s and similar(shingles(i), shingles(j)):
+                    joined[max(r, s)] = min(r, s)
+                    found.append((int(own[i]), int(own[j])))
+        return found
+
+
+def unit_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links (a, b) between components from rows (band, i, j, probe, base, own, root, sketch, text) sorted by the first three."""
+    last, unit = None, Unit()
+    for batch in in_slices(batches):
+        found = []
+        for band, i, j, probe, base, *row in zip(*[batch.column(k).to_pylist() for k in range(9)], strict=True):
+            if (band, i, j) != last:
+                found += unit.edges() if last else []
+                last, unit = (band, i, j), Unit()
+            unit.probe.append(probe)
+            unit.base.append(base)
+            for column, x in zip((unit.own, unit.root, unit.sketch, unit.text), row, strict=True):
+                column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    if last:
+        found = unit.edges()
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def similar_links(own: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): verified links between rows own(own, rep, size, sketch, bands) of docs that connect all pairs with an equal band key.
+
+    Of a bucket (the texts with one band key) the member that shares most buckets with others is its hub. First all members are held
+    against their hubs. Where members of a bucket are in different components then, all outside its largest component are held against
+    the whole bucket: sketches first, sets where these don't rule the pair out. A bucket is cut into chunks of a bounded number of shingles,
+    and each two chunks that hold such a pair meet in a task; texts travel once for each such bucket, not for each pair.
+    """
+    texts_of = own.select("own", "rep")
+    member = own.select("own", F.explode("bands").alias("band"))
+    buckets = materialize(member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    member = materialize(hot_join(member, buckets, "band", "n", total), replaces=(buckets,))
+    degree = member.groupBy("own").agg(F.sum(F.col("n") - 1).alias("degree"))
+    hubs = member.join(degree, "own").groupBy("band").agg(F.max(F.struct("degree", "own")).alias("hub"), F.count(F.lit(1)).alias("n")).select("band", F.col("hub.own").alias("hub"), F.col("n").alias("m"))
+    stars = hot_join(member, hubs, "band", "m", total).where("own != hub").select("hub", "own").distinct()
+    stars = materialize(stars.withColumn("at", F.pmod(F.xxhash64("own", F.lit("star")), F.lit(1 << 30))))
+    parts = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"), F.count(F.lit(1)).alias("m"))
+    leaves = hot_join(stars, parts, "hub", "m", total).select("hub", F.pmod("at", "parts").cast("int").alias("part"), F.lit(True).alias("leaf"), "own")
+    heads = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("leaf"), F.col("hub").alias("own"))
+    met = with_texts(materialize(leaves.union(heads).join(texts_of, "own"), replaces=(stars,)), docs).select("hub", "part", "leaf", "own", "text")
+    edges = materialize(met.repartition("hub", "part").sortWithinPartitions("hub", "part", "leaf").mapInArrow(star_edges, "a long, b long"))
+
+    known = member.join(components(edges), F.col("own") == F.col("node"), "left").select("band", "own", F.coalesce("root", "own").alias("root"))
+    known = materialize(known.join(own.select("own", "rep", "size", "sketch"), "own"), replaces=(member,))
+    sides = known.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    sides = sides.groupBy("band").agg(F.max(F.struct("n", "root")).alias("big"), F.max(F.struct("n", "root", "size")).alias("most"), F.sum("size").alias("all"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"))
+    chunks = [F.greatest(F.lit(1), F.ceil(x / CHUNK)).cast("int").alias(n) for x, n in ((F.col("all") - F.col("most.size"), "probes"), (F.col("all"), "bases"))]
+    sides = sides.where("roots > 1").select("band", "n", F.col("big.root").alias("big"), *chunks)
+    split = hot_join(known, sides, "band", "n", total).withColumn("outside", F.col("root") != F.col("big"))
+    at = [F.pmod(F.xxhash64("own", F.lit(n)), F.col(n)).cast("int") for n in ("probes", "bases")]
+    asking = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("bases") - 1), lambda j: F.struct(at[0].alias("i"), j.alias("j")))).otherwise(F.expr("cast(array() as array<struct<i:int,j:int>>)"))
+    asked = F.transform(F.sequence(F.lit(0), F.col("probes") - 1), lambda i: F.struct(i.alias("i"), at[1].alias("j")))
+    units = split.withColumn("mine", F.struct(at[0].alias("i"), at[1].alias("j"))).withColumn("unit", F.explode(F.array_union(asking, asked)))
+    probe, base = F.col("outside") & (F.col("unit.i") == F.col("mine.i")), F.col("unit.j") == F.col("mine.j")
+    units = units.select("band", F.col("unit.i").alias("i"), F.col("unit.j").alias("j"), probe.alias("probe"), base.alias("base"), "own", "rep", "root", "sketch")
+    met = with_texts(materialize(units, replaces=(known,)), docs).select("band", "i", "j", "probe", "base", "own", "root", "sketch", "text")
+    more = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(unit_edges, "a long, b long")
+    return materialize(edges.union(more), replaces=(edges,))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, all columns: the one with the smallest doc_id.
 
     Near copies share 0.8 of the union of their five-word shingles or more; groups are the connected components of these pairs. Candidates
-    are texts with an equal band key, and every link is verified on the real sets. Of a bucket its smallest member is compared with all
-    others; then the pairs of members that are still in different components are compared, so each pair of a bucket is either verified
-    or linked by others. Null and empty texts are copies of each other, and so are repeated rows; a null id counts as the smallest. An empty
-    table stays empty.
+    are texts with an equal band key, and every link is verified on the real sets (similar_links). Null and empty texts are copies of each
+    other, and so are repeated rows; a null id counts as the smallest. An empty table stays empty. Columns whose names begin with __vellum_
+    are reserved.
     """
     rows = materialize(signatures(docs))
-    own = materialize(rows.groupBy("own").agg(F.min(F.struct("doc_id")).alias("k"), F.first("bands").alias("bands")).select("own", F.col("k.doc_id").alias("doc_id"), "bands"))
-    texts = docs.select(F.xxhash64("text").alias("own"), "text").dropDuplicates(["own"])
-    member = own.select("own", F.explode("bands").alias("band"))
-    lead = member.groupBy("band").agg(F.min("own").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
-    member = materialize(member.join(lead, "band"))
-    stars = materialize(member.where("own != a").select("a", F.col("own").alias("b")).distinct())
-    edges = materialize(verified(stars, texts))
-    known = member.join(components(edges), F.col("own") == F.col("node"), "left").select("band", "a", "own", F.coalesce("root", "own").alias("root"))
-    known = materialize(known)
-    open_bands = known.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("band")
-    left = known.join(open_bands, "band", "left_semi")
-    x, y = left.select("band", F.col("own").alias("u"), F.col("root").alias("r")), left.select("band", "a", F.col("own").alias("v"), F.col("root").alias("s"))
-    # pairs with a bucket's smallest member have been verified
-    rest = x.join(y, "band").where("u < v AND r != s AND u != a").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
-    edges = edges.union(verified(materialize(rest.join(stars, ["a", "b"], "left_anti")), texts))
+    first = [F.first(c).alias(c) for c in ("size", "sketch", "bands")]
+    own = materialize(rows.groupBy("own").agg(F.min(F.struct("doc_id")).alias("k"), *first).select("own", F.col("k.doc_id").alias("rep"), "size", "sketch", "bands"))
+    edges = similar_links(own, docs)
     group = own.join(components(edges), F.col("own") == F.col("node"), "left").withColumn("group", F.coalesce("root", "own"))
-    keep = group.groupBy("group").agg(F.min(F.struct("doc_id", "own")).alias("k")).select(F.col("k.doc_id").alias("__vellum_id"), F.col("k.own").alias("__vellum_own"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__vellum_id")) & (F.col("__vellum_text") == F.col("__vellum_own"))
-    kept = docs.withColumn("__vellum_text", F.xxhash64("text")).join(materialize(keep), same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "__vellum_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = group.groupBy("group").agg(F.min(F.struct("rep", "own")).alias("k")).select(F.col("k.rep").alias("kept"), F.col("k.own").alias("its"))
+    seen = rows.groupBy("doc_id", "own").agg(F.count(F.lit(1)).alias("n"))
+    told = seen.join(keep, (F.col("own") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("kept")), "left")
+    # what isn't a group's one row: rows that go, and rows that are there several times
+    odd = materialize(told.where(F.col("its").isNull() | (F.col("n") > 1)).select(F.col("doc_id").alias("__vellum_id"), F.col("own").alias("__vellum_own"), F.col("its").isNotNull().alias("__vellum_again")), replaces=(rows, own, edges))
+    told = sized(odd)
+    same = (F.col("__vellum_text") == F.col("__vellum_own")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__vellum_id"))
+    marked = docs.withColumn("__vellum_text", F.xxhash64("text")).join(told, same, "left")
+    kept = marked.where(F.col("__vellum_again").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if odd.where("__vellum_again").isEmpty():
+        return kept
+    return kept.union(marked.where("__vellum_again").dropDuplicates(["__vellum_own", "__vellum_id"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

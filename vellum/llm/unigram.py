@@ -19,14 +19,16 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import table
+from vellum.llm.common import in_slices, table
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
 #: Pieces and scores of the queries.
 VOCABULARY = "piece_bpe_32k.model"
 #: Entries of a worker's memory of words.
-MEMORY = 500_000
+MEMORY = 300_000
+#: Longer words aren't remembered.
+LONGEST = 64
 
 
 class Counter(dict):
@@ -44,9 +46,11 @@ class Counter(dict):
         self.bytes = all(f"<0x{b:02X}>" in have for b in range(256))
 
     def __missing__(self, word: str) -> tuple[int, float]:
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = found = self.solve(MARK + word)
+        found = self.solve(MARK + word)
+        if len(word) <= LONGEST:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[word] = found
         return found
 
     def solve(self, word: str) -> tuple[int, float]:
@@ -101,7 +105,7 @@ def token_counts(docs: DataFrame, pieces: tuple[tuple[str, float], ...]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(shipped.value)
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [own.count(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "tokens", "score"])
 
