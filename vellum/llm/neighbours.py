@@ -4,8 +4,10 @@ A tree splits at the median of a projection on the difference of two random vect
 the largest length, so the largest inner product is the smallest angle. The trees are fitted on a bounded sample; every row is then put into
 one leaf of every tree. A query walks all trees through one priority queue: the branch whose summed squared distance to the splits it
 violates is smallest comes next, whichever tree it is in, until the share of leaves is reached that gave the recall wanted on the sample.
-Rows and queries meet on the leaf, where inner products of the original vectors in double precision pick the nearest; the best of all leaves
-are the result. Leaves with many rows are cut into chunks, those with many queries are salted.
+
+Each vector is shuffled once, with the numbers of its leaves, to a chunk of rows that share leaves of the first tree. A query goes to the
+chunks that hold rows of its leaves; there each row in any of these leaves is a candidate, however many trees found it, and is scored once,
+by the inner product of the original vectors in double precision. The best of all chunks are the result.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vellum.llm.common import materialize, table
+from vellum.llm.common import materialize, sized, table
 
-#: Fit: at most so many rows, of which so many serve as queries when the share of leaves is chosen for so much recall.
-SAMPLE, PROBES, RECALL = 16_384, 200, 0.95
+#: Fit: at most so many rows, and so many bytes of vectors as doubles, of which so many serve as queries when the share of leaves is chosen for so much recall.
+SAMPLE, SAMPLE_BYTES, PROBES, RECALL = 16_384, 1 << 26, 200, 0.95
 #: So many trees; at least MIN_LEAVES leaves in each, more for tables of more than LEAF_ROWS x MIN_LEAVES rows, as far as the sample carries.
 TREES, MIN_LEAVES, LEAF_ROWS = 8, 64, 4096
-#: Rows of one chunk and queries of one salt.
-CHUNK, SALT = 1 << 16, 1 << 12
+#: Rows of a chunk: about a CHUNKS-th of the table, in these bounds of rows and bytes of vectors as doubles; queries of one task.
+CHUNKS, CHUNK_ROWS, CHUNK_BYTES, SALT = 64, 2048, 1 << 25, 1 << 16
 
 
 class Tree(NamedTuple):
@@ -153,54 +155,72 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
 
 
-def inner_products(q: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Of rows q with vectors given as columns. The components are summed in their order, so equal vectors have equal products."""
-    out = np.zeros((len(q), columns.shape[1]))
-    for d in range(len(columns)):
-        out += q[:, d : d + 1] * columns[d]
+def inner_products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of one vector with rows. The components are summed in their order, so equal vectors have equal products."""
+    out = np.zeros(len(rows))
+    for d in range(len(q)):
+        out += q[d] * rows[:, d]
     return out
 
 
-def rerank(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(query_id, vec_id, score): the k nearest rows of each chunk for each query, from rows (leaf, chunk, salt, query, id, vector) sorted by
-    the first four. Of equal scores the smaller ids stay."""
-    key, ids, vectors, columns = None, [], [], None
-
-    def best(query_ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        nonlocal ids, columns
-        if columns is None:
-            own = np.concatenate(ids)
-            order = np.argsort(own, kind="stable")
-            ids, columns = own[order], np.ascontiguousarray(np.concatenate(vectors)[order].T)
-        out = []
-        step = max(1, (1 << 22) // max(1, len(ids)))
-        for at in range(0, len(q), step):
-            scores = inner_products(q[at : at + step], columns)
-            scores[query_ids[at : at + step, None] == ids] = -np.inf
-            for i, s in enumerate(scores):
-                if len(s) > k:
-                    cut = np.partition(s, len(s) - k)[len(s) - k]
-                    above = np.flatnonzero(s > cut)
-                    picked = np.r_[above, np.flatnonzero(s == cut)[: k - len(above)]]
-                else:
-                    picked = np.arange(len(s))
-                picked = picked[s[picked] > -np.inf]
-                out.append((np.full(len(picked), query_ids[at + i]), ids[picked], s[picked]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
+class Chunk:
+    """Rows of one chunk in order of their ids."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.ids = self.vectors = self.leaves = None
+        self.repeats, self.largest = False, 0.0
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, leaves: np.ndarray) -> None:
+        self.parts.append((ids, vectors, leaves))
+
+    def nearest(self, query: int, q: np.ndarray, scores: np.ndarray, searched: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k nearest candidates; of equal scores the smaller ids. `scores` come from a matrix product, whose last bits
+        depend on its shape: they tell who may be among the nearest, and these are scored again."""
+        candidates = np.flatnonzero(searched[self.leaves].any(axis=1) & (self.ids != query))
+        near = scores[candidates]
+        if len(candidates) > k and not self.repeats:
+            cut = np.partition(near, len(near) - k)[len(near) - k]
+            slack = 1e-9 * float(np.abs(q).max()) * self.largest * len(q)
+            candidates = candidates[near >= cut - slack]
+        exact = inner_products(q, self.vectors[candidates])
+        order = np.lexsort((self.ids[candidates], -exact))
+        if self.repeats:  # of rows with one id the nearest counts
+            order = order[np.sort(np.unique(self.ids[candidates[order]], return_index=True)[1])]
+        return self.ids[candidates[order[:k]]], exact[order[:k]]
+
+    def gather(self) -> None:
+        ids, vectors, leaves = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(ids, kind="stable")
+        self.repeats = bool((np.diff(ids[order]) == 0).any())
+        self.ids, self.vectors, self.leaves, self.parts = ids[order], vectors[order], leaves[order], []
+        self.largest = float(np.abs(self.vectors).max())
+
+
+def rerank(batches: Iterator[pa.RecordBatch], width: int, trees: int, leaves: int, k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score): the k nearest candidates of each chunk for each query, from rows (chunk, salt, query, id, vector, own leaves,
+    searched leaves as bits) sorted by the first three."""
+    key, chunk = None, Chunk()
     for batch in batches:
-        keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1).astype(np.int64)
-        query, own_ids, x = batch.column(3).to_numpy(zero_copy_only=False).astype(bool), batch.column(4).to_numpy(), matrix(batch.column(5), width)
+        keys = np.stack([batch.column(i).to_numpy() for i in range(2)], axis=1).astype(np.int64)
+        query, own_ids, x = batch.column(2).to_numpy(zero_copy_only=False).astype(bool), batch.column(3).to_numpy(), matrix(batch.column(4), width)
         cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1) | (query[1:] != query[:-1]), True]) if len(keys) else np.zeros(1, int)
         found = []
         for a, b in zip(cuts, cuts[1:], strict=False):
             if key is None or (keys[a] != key).any():
-                key, ids, vectors, columns = keys[a], [], [], None
+                key, chunk = keys[a], Chunk()
             if not query[a]:
-                ids.append(own_ids[a:b])
-                vectors.append(x[a:b])
-            elif len(ids):
-                found.append(best(own_ids[a:b], x[a:b]))
+                chunk.add(own_ids[a:b], x[a:b], batch.column(5).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(-1, trees))
+            elif chunk.parts or chunk.ids is not None:
+                if chunk.ids is None:
+                    chunk.gather()
+                step = max(1, (1 << 22) // len(chunk.ids))
+                for at in range(a, b, step):
+                    scores = x[at : min(b, at + step)] @ chunk.vectors.T
+                    for i, bits in enumerate(batch.column(6).slice(at, len(scores)).to_pylist()):
+                        searched = np.unpackbits(np.frombuffer(bits, np.uint8), count=leaves).astype(bool)
+                        ids, best = chunk.nearest(int(own_ids[at + i]), x[at + i], scores[i], searched, k)
+                        found.append((np.full(len(ids), own_ids[at + i]), ids, best))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
@@ -220,48 +240,66 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20) -> DataFrame:
         return spark.createDataFrame([], result)
     width, total = sizes["width"], sizes["n"]
     rows = rows.where(F.size("vector") == width)
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) < min(1.0, SAMPLE / total) * (1 << 30)).select("id", "vector").limit(2 * SAMPLE).collect()
-    sample = np.array([r["vector"] for r in sorted(picked, key=lambda r: r["id"])[:SAMPLE]], dtype=np.float64).reshape(-1, width)
+    bound = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * width)))
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) < min(1.0, bound / total) * (1 << 30)).select("id", "vector").limit(2 * bound).collect()
+    sample = np.array([r["vector"] for r in sorted(picked, key=lambda r: r["id"])[:bound]], dtype=np.float64).reshape(-1, width)
     forest = fit(sample, total, sizes["length2"], k)
     shipped = spark.sparkContext.broadcast(forest)
-    kind = rows.schema["vector"].dataType.simpleString()
+    kind, leaves, trees = rows.schema["vector"].dataType.simpleString(), int(forest.first[-1]), len(forest.trees)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = shipped.value.leaves_of(matrix(batch.column(1), width)).ravel()
-            at = np.repeat(np.arange(batch.num_rows), len(shipped.value.trees))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["leaf", "id", "vector"])
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(shipped.value.first[-1], np.int64)
-        for batch in batches:
-            n += np.bincount(shipped.value.leaves_of(matrix(batch.column(0), width)).ravel(), minlength=len(n))
-        own = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own])], ["leaf", "n"])
-
-    # one row for each leaf: TREES times a number of leaves that the sample bounds
-    per_leaf = {r["leaf"]: r["n"] for r in rows.select("vector").mapInArrow(counted, "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
-    held = np.array([per_leaf.get(i, 0) for i in range(forest.first[-1])], dtype=np.int64)
+            own = shipped.value.leaves_of(matrix(batch.column(1), width)).astype(np.int32)
+            at = pa.array(np.arange(len(own) + 1, dtype=np.int32) * trees)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(at, pa.array(own.ravel()))], ["id", "vector", "query", "leaves"])
+
+    indexed = materialize(rows.select("id", "vector", "query").mapInArrow(index, f"id long, vector {kind}, query boolean, leaves array<int>"))
+    # (leaf of the first tree, leaf, rows): the numbers of leaves are bounded by the sample
+    first = F.element_at("leaves", 1).alias("cell")
+    met = np.array([tuple(r) for r in indexed.select(first, F.explode("leaves").alias("leaf")).groupBy("cell", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()], dtype=np.int64).reshape(-1, 3)
+    held = np.bincount(met[:, 1], weights=met[:, 2], minlength=leaves).astype(np.int64)
+    cells = forest.trees[0].leaves
+    # neighbouring small leaves of the first tree make up one chunk, a large one is cut into several
+    size = max(CHUNK_ROWS, min(max(CHUNK_ROWS, CHUNK_BYTES // (8 * width)), total // CHUNKS))
+    start, parts, chunk, load = np.zeros(cells, np.int64), np.ones(cells, np.int64), 0, 0
+    for cell, n in enumerate(held[:cells].tolist()):
+        if load and load + n > size:
+            chunk, load = chunk + 1, 0
+        start[cell], parts[cell] = chunk, max(1, -(-n // size))
+        chunk, load = (chunk + int(parts[cell]), 0) if n > size else (chunk, load + n)
+    chunks = chunk + 1
+    reached = np.zeros((leaves, chunks), dtype=bool)
+    for cell, leaf, _ in met.tolist():
+        reached[leaf, start[cell] : start[cell] + parts[cell]] = True
+    ways = spark.sparkContext.broadcast((held, np.packbits(reached, axis=1)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, reached = ways.value
         for batch in batches:
-            leaves = list(shipped.value.search(matrix(batch.column(1), width), held, k + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaves, pa.list_(pa.int32()))], ["id", "vector", "leaves"])
-
-    probes = materialize(rows.where("query").select("id", "vector").mapInArrow(probe, f"id long, vector {kind}, leaves array<int>"))
-    asked = {r["leaf"]: r["n"] for r in probes.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    spread = spark.createDataFrame([(i, -(-int(n) // CHUNK) or 1, -(-asked.get(i, 0) // SALT)) for i, n in enumerate(held)], "leaf int, chunks int, salts int")
-    one, many = F.broadcast(spread), F.sequence(F.lit(0), F.col("salts") - 1)
-    indexed = rows.select("id", "vector").mapInArrow(index, f"leaf int, id long, vector {kind}").join(one, "leaf").where(F.col("salts") > 0)
-    left = indexed.select("leaf", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.explode(many).alias("salt"), F.lit(False).alias("query"), "id", "vector")
-    asking = probes.select("id", "vector", F.explode("leaves").alias("leaf")).join(one, "leaf")
-    right = asking.select("leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("query"), "id", "vector")
-    met = left.union(right).repartition("leaf", "chunk", "salt").sortWithinPartitions("leaf", "chunk", "salt", "query")
-    found = met.mapInArrow(lambda batches: rerank(batches, width, k), "query_id long, vec_id long, score double")
+            bits, asked = [], []
+            for own in shipped.value.search(matrix(batch.column(1), width), held, k + 1):
+                searched = np.zeros(leaves, dtype=bool)
+                searched[own] = True
+                bits.append(np.packbits(searched).tobytes())
+                asked.append(np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(reached[own], axis=0), count=chunks)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(asked, pa.list_(pa.int32()))], ["id", "vector", "searched", "chunks"])
+
+    probes = materialize(indexed.where("query").select("id", "vector").dropDuplicates(["id"]).mapInArrow(probe, f"id long, vector {kind}, searched binary, chunks array<int>"))
+    # one row a chunk: bounded by the sample, or by the bytes of the table over CHUNK_BYTES
+    asked = probes.select(F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
+    asked = sized(materialize(asked))
+    places = spark.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(start, parts, strict=True))], "cell int, start int, parts int")
+    dealt = indexed.join(F.broadcast(places), F.element_at("leaves", 1) == F.col("cell")).withColumn("chunk", (F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+    left = dealt.join(asked, "chunk").select("chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("query"), "id", "vector", "leaves", F.lit(None).cast("binary").alias("searched"))
+    asking = probes.select("id", "vector", "searched", F.explode("chunks").alias("chunk")).join(asked, "chunk")
+    right = asking.select("chunk", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("query"), "id", "vector", F.lit(None).cast("array<int>").alias("leaves"), "searched")
+    met_rows = left.union(right).repartition("chunk", "salt").sortWithinPartitions("chunk", "salt", "query")
+    found = met_rows.mapInArrow(lambda batches: rerank(batches, width, trees, leaves, k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nearest of all embeddings, for those whose vec_id is divisible by 20."""
     return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, 20)
