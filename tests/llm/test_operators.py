@@ -122,6 +122,52 @@ def test_pii_surrogates(spark):
     assert pii.pseudonymize(documents(spark, [])).count() == 0
 
 
+def test_pii_finds_forms_of_names_and_later_mentions(spark):
+    texts = [
+        "John McDonald met Mary O'Brien and John F. Kennedy. JOHN SMITH too.",
+        "John Smith came. Later Smith left, and John too; a smithy stayed.",
+        "Herr Ludwig van Beethoven und Frau Dr. Meier-Schmidt; Beethoven again.",
+        "Hosts fe80::1ff:fe23:4567:890a and 2001:0db8:85a3:0000:0000:8a2e:0370:7334 at 12:30:45, not std::vector.",
+        "Call +49 30 1234567 or +351 912 345 678; api_key=+abcDEF123456789012345 and IBAN DE89 3704 0044 0532 0130 00.",
+    ]
+    out = {r.doc_id: r for r in pii.pseudonymize(documents(spark, texts), count="n").collect()}
+    assert [out[i].n for i in range(5)] == [4, 3, 3, 2, 4]
+    for secret in ("McDonald", "O'Brien", "Kennedy", "SMITH", "Smith ", "Beethoven", "Schmidt", "fe23", "1234567", "912 345", "abcDEF", "3704 0044"):
+        assert not any(secret in out[i].text for i in range(5))
+    given, surname = re.match(r"(\w+) (\w+) came", out[1].text).groups()
+    assert out[1].text == f"{given} {surname} came. Later {surname} left, and {given} too; a smithy stayed."
+    assert f"{given} {surname}".upper() in out[0].text and re.search(r"Herr \w+ van (\w+) und Frau Dr\. \w+; \1 again", out[2].text)
+    assert re.search(r"Hosts fe80::[0-9a-f]{3}:[a-z]{2}\d\d:\d{4}:\d{3}[a-f] and", out[3].text) and out[3].text.endswith("at 12:30:45, not std::vector.")
+    assert re.search(r"\+49 \d\d \d{7} or \+351 \d{3} \d{3} \d{3}; api_key=\+[a-z]{3}[A-Z]{3}\d{15} and", out[4].text)
+    account = re.search(r"IBAN (DE[\d ]+)\.", out[4].text)[1].replace(" ", "")
+    assert int(account[4:] + "1314" + account[2:4]) % 97 == 1
+
+
+def test_pii_many_private_addresses_and_a_full_format_end(spark):
+    hosts = [(i, f"host 192.168.{i // 256}.{i % 256}" if i < 65536 else f"host 10.0.{i % 256}.{i // 256 % 256}") for i in range(70_000)]
+    texts = spark.createDataFrame([(i, t, None, None, None) for i, t in hosts], DOCS)
+    out = pii.pseudonymize(texts).select("text").collect()
+    assert len({r.text for r in out}) == 70_000 and all(r.text.startswith("host 10.") for r in out)
+    full = spark.createDataFrame([("phone+", f"351{i:04d}") for i in range(10_000)], "kind string, core string")
+    drawn = pii.surrogates(full).collect()
+    assert len({r.surrogate for r in drawn}) == 10_000 and all(r.surrogate != r.core and r.surrogate.startswith("351") for r in drawn)
+
+
+def test_pii_surrogates_by_brute_force(spark):
+    """Every entity of the documents changes, equal ones alike and different ones differently, and nothing else does."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    before, after = ({r.doc_id: r.text for r in d.collect()} for d in (docs, pii.pseudonymize(docs)))
+    plain = re.compile(r"[\w.%+-]+@(?:[\w-]+\.)+[a-z]{2,}|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])|(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
+    pairs = set()
+    for doc, text in before.items():
+        old, new = plain.findall(text or ""), plain.findall(after[doc] or "")
+        assert len(old) == len(new)
+        pairs |= set(zip(old, new, strict=True))
+    assert len(pairs) > 5 and len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs) and all(a != b for a, b in pairs)
+    clean = [d for d, t in before.items() if t and not re.search(r"[0-9@]", t) and not re.search("|".join([*pii.GIVEN, *pii.CAPITAL, *pii.TITLES]), t)]
+    assert clean and all(before[d] == after[d] for d in clean)
+
+
 def test_pii_keeps_distinct_entities_apart(spark):
     rng = random.Random(5)
     values = sorted({f"{rng.randint(1, 9)}{rng.randint(10, 12)}-{rng.randint(10, 12)}-{rng.randint(1000, 1300)}" for _ in range(700)})
@@ -152,6 +198,10 @@ def test_language_edge_cases(spark):
     got = {(r.doc_id, r.text): (r.lang_pred, r.rejected) for r in out}
     assert len(out) == 6 and got[1, None] == got[None, ""] == got[3, "12 !"] == ("und", True) and got[5, "the and of"] == ("aa", False)
     assert all(r.lang_pred == "und" for r in langid.identify(docs, []).collect())
+    assert langid.classify("²½ ③", tuple(model)) == ("und", 0.0) and langid.letters("नमस्ते ที่ 12") == "नमस्ते ที่".encode()
+    own = documents(spark, ["the and of " * 30, "und das ist " * 30]).withColumn("margin", F.lit(0.5)).withColumn("rejected", F.lit("no"))
+    kept = langid.language_stage(spark, own, "")
+    assert kept.columns == own.columns and all((r.margin, r.rejected) == (0.5, "no") for r in kept.collect())
     assert langid.fit(documents(spark, [])) == [] and langid.identify(documents(spark, []), model).count() == 0
     assert langid.classify("the and of", tuple(model))[0] == "aa" and langid.classify("und das ist", tuple(model))[0] == "bb"
 
@@ -503,6 +553,25 @@ def test_deduplication_is_jaccard_of_five_word_shingles(spark):
 # op10
 
 
+def test_sharding_vectors_by_brute_force():
+    rng = np.random.default_rng(3)
+    weights = rng.integers(1, 100, (60, 3)).astype(float)
+    share = weights / weights.sum(axis=0) * 4
+    left, want = [[1.0] * 3 for _ in range(4)], {}
+    for i in sorted(range(60), key=lambda i: -max(share[i])):
+        dots = [sum(a * b for a, b in zip(r, share[i], strict=True)) for r in left]
+        want[i] = dots.index(max(dots))
+        left[want[i]] = [a - b for a, b in zip(left[want[i]], share[i], strict=True)]
+    assert sharding.pack_vectors(weights, 4).tolist() == [want[i] for i in range(60)]
+
+
+def test_sharding_counts_words_and_writes(spark, tmp_path):
+    docs = documents(spark, [None, "", " \t", "one", " two  words\n"], [0, 1, 2, 3, None])
+    assert sorted((r.tokens, r.size) for r in sharding.measured(docs).collect()) == [(0, 8), (0, 8), (0, 10), (1, 11), (2, 20)]
+    sharding.write_shards(docs.withColumn("shard", F.lit(1)), f"file://{tmp_path}/out", 2)
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 5
+
+
 def test_sharding_balances_and_numbers(spark):
     rng = random.Random(6)
     texts = ["x" * rng.randint(0, 400) + str(rng.random()) for _ in range(3000)] + ["hot copy of a text " * 10] * 1500 + [None, "", "dup", "dup"]
