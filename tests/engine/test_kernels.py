@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vellum.functions import geometry as g
 from vellum.functions import stats as st
 from vellum.functions import text as t
-from vellum.operators import alignment, anchoring, assembly, audit, calibration, document, evaluation, layout, markup, pairing, review, scoring, spatial, tensors
+from vellum.operators import alignment, anchoring, assembly, audit, calibration, document, evaluation, layout, markup, pairing, readings, review, scoring, spatial, tensors
 from vellum.sources import contracts
 
 
@@ -66,8 +66,11 @@ def test_kv_lines_in_spark(spark):
 
 
 def test_assembly_of_a_page():
-    segs = [("Pathology Report", 500, 20, 780, 40), ("Name: Smith, Jane", 84, 100, 400, 116), ("• first item", 84, 140, 300, 156), ("The sample was received in good state and was cut", 84, 200, 900, 216), ("into four parts.", 84, 225, 300, 241), ("-----", 84, 300, 1200, 316)]
-    assert [(b.kind, b.text or b.label) for b in assembly.assemble(segs, 1275)] == [("heading", "Pathology Report"), ("kv", "Name"), ("listItem", "first item"), ("paragraph", "The sample was received in good state and was cut into four parts."), ("rule", "")]
+    segs = [("Pathology Report", 300, 20, 780, 40), ("Name: Smith, Jane", 84, 100, 400, 116), ("• first item", 84, 140, 300, 156), ("The sample was received in good state and was cut", 84, 260, 900, 276), ("into four parts.", 84, 285, 300, 301), ("-----", 84, 360, 1200, 376)]
+    lines = [assembly.Line(x, tuple(map(float, b))) for x, *b in segs]
+    # the label line on the list's edge is its first item, whose bullet is lost
+    want = [("heading", "Pathology Report"), ("listItem", "Smith, Jane"), ("listItem", "first item"), ("paragraph", "The sample was received in good state and was cut into four parts."), ("rule", "")]
+    assert [(b.kind, b.text or b.label) for b in assembly.assemble(lines, assembly.page_scales([x.box for x in lines], 1275))] == want
 
 
 def test_segments_and_orders_ignore_the_order_of_rows(spark):
@@ -88,8 +91,9 @@ def test_anchoring_uses_each_number_once():
     assert anchoring.Pool([(0, "12"), (0, "34")]).split("12-34", 0) == ("12", "34")
     assert anchoring.Pool([(0, "567"), (1, "568")]).near("56", 0) == ("567", False)
     assert anchoring.Pool([(0, "567"), (0, "568")]).near("569", 0) == (None, True)
-    text, events = anchoring.anchor("Got 568, not 99999 (of 12-34).", 0, anchoring.Pool([(0, "567"), (0, "12"), (0, "34")]))
+    text, events, counts = anchoring.anchor("Got 568, not 99999 (of 12-34).", 0, anchoring.Pool([(0, "567"), (0, "12"), (0, "34")]))
     assert text == "Got 567, not (of 12 - 34)." and [e[0] for e in events] == ["replaced", "dropped", "split-joined"]
+    assert counts == {"total": 3, "replaced": 1, "dropped": 1, "split-joined": 1} and [(e.start, e.end, e.severity) for e in events] == [(4, 7, "high"), (13, 13, "high"), (18, 25, "low")]
 
 
 def test_fuzzy_antijoin_equals_all_pairs(spark):
@@ -123,15 +127,130 @@ def test_isotonic_is_monotone_and_pools_ties(spark):
 
 def test_corrections(spark):
     blocks = spark.createDataFrame([(1, "a", 0, "A"), (1, "b", 1, "B")], "page_id long, uid string, place int, markdown string")
-    events = spark.createDataFrame([(1, 0, "text-edit", "+2", "too early"), (1, 1, "text-edit", "a", "A1"), (1, 2, "region-add", "a", "new"), (1, 3, "text-edit", "a", "A2"), (1, 4, "block-remove", "a", None), (1, 5, "region-add", "nowhere", "end"), (1, 6, "text-edit", "+2", "new1")], "page_id long, seq long, kind string, uid string, markdown string")
-    assert [r.markdown for r in review.replay(blocks, events).orderBy("place").collect()] == ["new1", "B", "end"]
+    log = "page_id long, seq long, kind string, uid string, after_uid string, markdown string"
+    events = [("text-edit", "+2", None, "too early"), ("text-edit", "a", None, "A1"), ("region-add", "+2", "a", "new"), ("text-edit", "a", None, "A2"), ("block-remove", "a", None, None), ("region-add", "+5", "nowhere", "end"), ("text-edit", "+2", None, "new1")]
+    rows = spark.createDataFrame([(1, i, *e) for i, e in enumerate(events)], log)
+    assert [r.markdown for r in review.replay(blocks, rows).orderBy("place").collect()] == ["new1", "B", "end"]
+
+
+def spliced_list(base, events):
+    """The blocks after a log, by inserting into a list event by event."""
+    out, gone = [[uid, md] for uid, md in base], set()
+    for kind, uid, after, md in events:
+        if kind == "text-edit":
+            for x in [x for x in out if x[0] == uid][:1]:
+                x[1] = md
+        elif kind == "block-remove":
+            gone.add(uid)
+        elif kind == "region-add":
+            at = 0 if after is None else next((i + 1 for i, x in enumerate(out) if x[0] == after), len(out))
+            out.insert(at, [uid, md])
+    return [tuple(x) for x in out if x[0] not in gone]
+
+
+def test_replay_equals_list_insertion(spark):
+    rng = random.Random(3)
+    blocks, events, want = [], [], {}
+    for page in range(40):
+        base, log, known = [(f"b{i}", f"B{i}") for i in range(rng.randint(0, 4))], [], [f"b{i}" for i in range(4)]
+        for seq in range(rng.randint(0, 14)):
+            kind = rng.choice(["region-add", "region-add", "text-edit", "block-remove", "dismiss"])
+            uid = f"r{seq}" if kind == "region-add" else rng.choice(known)
+            log.append((kind, uid, rng.choice([None, "unknown", *known]), f"{kind} {seq}"))
+            known += [uid] if kind == "region-add" else []
+        blocks += [(page, uid, i, md) for i, (uid, md) in enumerate(base)]
+        events += [(page, i, *e) for i, e in enumerate(log)]
+        want[page] = spliced_list(base, log)
+    got = review.replay(spark.createDataFrame(blocks, "page_id long, uid string, place int, markdown string"), spark.createDataFrame(events, "page_id long, seq long, kind string, uid string, after_uid string, markdown string")).orderBy("page_id", "place").collect()
+    assert {p: [(r.uid, r.markdown) for r in got if r.page_id == p] for p in want} == want
+
+
+def test_suppression_by_label_and_kind():
+    box = (0.0, 0.0, 100.0, 100.0)
+    inner = (10.0, 10.0, 60.0, 60.0)
+    keep = lambda *r: layout.suppressed(list(r))
+    assert keep(("table", 0.9, box), ("footnote", 0.8, inner)) == [0] and keep(("seal", 0.9, box), ("header", 0.8, inner)) == [0]
+    assert keep(("figure", 0.9, box), ("text", 0.8, inner)) == [0, 1] and keep(("table", 0.9, box), ("image", 0.8, inner)) == [0, 1]
+    assert keep(("image", 0.9, box), ("chart", 0.8, box)) == [0, 1] and keep(("text", 0.9, box), ("title", 0.8, box)) == [0]
+    assert keep(("text", 0.9, box), ("text", 0.8, (0.0, 0.0, 100.0, 65.0))) == [0] and keep(("text", 0.9, box), ("title", 0.8, (0.0, 0.0, 100.0, 65.0))) == [0, 1]
+
+
+def page_of(lines, width=1275):
+    made = [assembly.Line(x, (x0, y, x0 + 8.0 * len(x), y + 16)) for x, x0, y in lines]
+    return made, assembly.page_scales([x.box for x in made], width)
+
+
+def test_assembly_states():
+    lines = [("CENTRAL SERVICES", 500, 20), ("Microscopic Description:", 84, 100), ("The section shows a lesion of the skin that was", 84, 130), ("cut out whole with a clear margin on all sides", 84, 160)]
+    lines += [("• Margin: the margin was found to be clear", 120, 220), ("of the lesion", 136, 250), ("• Second point", 120, 280), ("Date: 12/01/2014", 84, 340), ("Specimen 1", 84, 420)]
+    made, scales = page_of(lines)
+    blocks = assembly.assemble(made, scales)
+    assert [(b.kind, b.depth) for b in blocks] == [("heading", 1), ("heading", 2), ("paragraph", 0), ("listItem", 0), ("listItem", 0), ("kv", 0), ("heading", 3)]
+    assert blocks[3][2:4] == ("the margin was found to be clear of the lesion", "Margin") and blocks[5][3:5] == ("Date", "12/01/2014")
+    assert [b.kind for b in assembly.assemble(made, scales, headings=False)][:2] == ["paragraph", "paragraph"]
+
+
+def test_lost_bullets_and_wrapped_values():
+    lines = [("Findings of the day were these and no other ones at all", 84, 60), ("Margin: the margin was found to be clear", 84, 100), ("and wide", 84, 130), ("Nodes: no node was found to be involved", 84, 160)]
+    made, scales = page_of(lines)
+    assert assembly.list_starts(made, scales) == {1, 3} and assembly.list_starts(made[:2], scales) == set()
+    assert [b.kind for b in assembly.assemble(made, scales, headings=False)] == ["paragraph", "listItem", "listItem"]
+    made, scales = page_of([("A first line that is long enough to be a text of its own", 84, 60), ("Name: DELMONT, EDITH", 84, 100), ("ANNA", 84, 130), ("and the text goes on here", 400, 200)])
+    assert [b.value for b in assembly.assemble(made, scales, headings=False) if b.kind == "kv"] == ["DELMONT, EDITH ANNA"]
+
+
+def test_regions_of_cells_become_tables_and_pairs():
+    rows = [("Test", "Result", "Unit"), ("Glucose", "5.1", "mmol"), ("Sodium", "140", "mmol")]
+    made, scales = page_of([(x, 84 + 300 * c, 100 + 40 * r) for r, row in enumerate(rows) for c, x in enumerate(row)])
+    (table,) = assembly.assemble(made, scales, headings=False)
+    assert table.kind == "table" and table.text.splitlines()[0] == "| Test | Result | Unit |" and len(table.text.splitlines()) == 4
+
+
+def test_readings_are_cleaned_and_split():
+    raw = "```markdown\nHere is the text:\n\n• one\n<!-- no -->“Two” – three\n```"
+    assert readings.cleaned(raw) == '- one\n"Two" - three' and readings.cleaned(" ") == "" and readings.cleaned("Sure, here:\nx") == "x"
+    parts = readings.parts_of("text\n**Name:** Jane\n**Ward**: 7\n<table><tr><td>\n**A:** b\n</td></tr></table>\n**no pair** x")
+    assert parts[:3] == ["text", ("Name", "Jane"), ("Ward", "7")] and "**A:** b" in parts[3] and "no pair" in parts[3]
+
+
+@pytest.mark.parametrize(
+    ("raw", "kind", "want"),
+    [
+        ("# Some *Title*\nmore", "title", [("heading", 1, "Some Title more")]),
+        ("<table><tr><td>a</td><td>b</td></tr></table>", "heading", [("heading", 2, "a b --- --- ")]),
+        ("## Inner\ntext here\n- **Lead:** 12 mm\n\n---", "text", [("heading", 3, "Inner"), ("paragraph", 0, "text here"), ("listItem", 0, "12 mm"), ("rule", 0, "")]),
+        ("##### Deep\n\n# Top", "page", [("heading", 3, "Deep"), ("heading", 1, "Top")]),
+        ("One\n\nTwo\n\n| a | b |\n| --- | --- |\n| 1 | 2 |", "table", [("paragraph", 0, "One"), ("table", 0, "")]),
+        ("<fcel>x<ecel><nl><fcel>1<lcel>no<nl>", "table", [("table", 0, "")]),
+        ("no table", "table", []), ("", "text", []), ("[image]", "text", [("paragraph", 0, "[image]")]),
+    ],
+)
+def test_reading_blocks(raw, kind, want):
+    got = [(b.kind, b.depth, b.text) for b in readings.blocks_of(raw, kind)]
+    assert got == ([("heading", 2, "a b")] if kind == "heading" else want)
+
+
+def test_review_items_of_readings(spark):
+    blocks = [readings.Read("kv", label="Dose 12", value="99 mg"), readings.Read("table", cells=(("a", "5.1"), ("b", "7.7")))]
+    pool = anchoring.Pool([(0, "12"), (0, "5.1"), (0, "7.8")])
+    out, items, counts = readings.anchored(blocks, 0, pool)
+    assert out[0].value == "mg" and out[1].cells == (("a", "5.1"), ("b", "7.8"))
+    assert [(i.kind, i.block, i.field, i.row, i.col, i.start, i.end, i.source, i.token) for i in items] == [("dropped", 0, "value", -1, -1, 0, 0, None, "99"), ("replaced", 1, "cell", 1, 1, 0, 3, "7.8", "7.7")]
+    assert counts == {"total": 4, "exact": 2, "dropped": 1, "replaced": 1}
+    flagged, items, _ = readings.anchored(blocks, 0, anchoring.Pool([(0, "12")]), "flag")
+    assert flagged == blocks and [i.kind for i in items] == ["flagged"] * 3 and readings.anchored(blocks, 0, anchoring.Pool([]), "off")[:2] == (blocks, [])
+    read = spark.createDataFrame([(1, 0, "text", "Total 15 of 20"), (1, 1, "text", "20")], "page_id long, region long, kind string, reading string")
+    lines = spark.createDataFrame([(1, 0, 0, "Total 16"), (1, -1, 1, "20")], "page_id long, region long, ord long, text string")
+    assert [(r.kind, r.source, r.token) for r in readings.anchored_pages(read, lines).orderBy("region", "start").collect()] == [("replaced", "16", "15"), ("dropped", None, "20")]
+    assert readings.anchored_pages(read, lines, what="counts").first()[1:4] == (3, 1, 0)
+    assert [r.text for r in readings.anchored_pages(read, lines, "flag", "blocks").orderBy("region").collect()] == ["Total 15 of 20", "20"]
 
 
 def test_markup():
     md = "# T\n\npara one\nstill one\n\n- a\n  - b\n\n| x | y |\n| --- | --- |\n| 1 | 2 |\n\n---"
     assert [(b[0], b[1]) for b in markup.parse_blocks(md)] == [("heading", 1), ("paragraph", 0), ("listItem", 0), ("listItem", 1), ("table", 0), ("rule", 0)]
     assert markup.html_grid("<table><thead><tr><th colspan='2'>H</th></tr><tr><th>a<th>b</tr></thead><tr><td rowspan=2>1<td>2&amp;</tr><tr><td>3</table>") == [["H a", "H b"], ["1", "2&"], ["1", "3"]]
-    assert markup.html_grid("no table") == [] and markup.without_repeats("x" + "abcdefgh" * 5) == "xabcdefgh"
+    assert markup.html_grid("no table") == [] and markup.without_repeats("x" + "abcdefgh" * 5) == ("xabcdefgh", True)
 
 
 def test_geometry_and_statistics(spark):
@@ -184,8 +303,9 @@ def test_documents_from_regions():
     text = document.Region("p", 2, "text", (80, 300, 900, 330), [("The list was made by hand and was not checked by anyone so far", (84, 305, 880, 321))])
     pages = document.page_blocks([text, items, title], [("stray line", (84, 600, 200, 616))], 1275)
     assert [r.key for r, _ in pages] == ["h", "t", "p", "orphan-0"]
-    blocks, events = document.with_readings(pages, {"t": "| Tea | 12.51 |", "p": "not used"})
-    assert [b.kind for b in blocks] == ["heading", "table", "paragraph", "paragraph"] and events == ["replaced"] and blocks[1].text == "| Tea | 12.50 |"
-    assert document.table_of(row(150, "a", "b") + [("c", (484, 168, 584, 184))], 16) == [["a", "b c"]]
+    blocks, events = document.with_readings(pages, {"t": "| Item | Price |\n| --- | --- |\n| Tea | 12.51 |", "p": "not used"})
+    assert [b.kind for b in blocks] == ["heading", "table", "paragraph", "paragraph"] and events == ["replaced"] and blocks[1].text.endswith("| Tea | 12.50 |")
+    cells = [pairing.Seg(i, x, *b, 0.0, False) for i, (x, b) in enumerate(row(150, "a", "b") + [("c", (484, 168, 584, 184))])]
+    assert assembly.table_of(cells, 16) == [["a", "b c"]]
     near = document.coalesced([text, text._replace(key="q", box=(80, 335, 900, 350)), text._replace(key="r", box=(80, 600, 900, 620))], 16)
     assert [len(r.lines) for r in near] == [2, 1]

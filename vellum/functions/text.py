@@ -266,7 +266,7 @@ def shortened(c: Column, most: int = 48) -> Column:
 
 
 # Kinds of layout regions, and token caps of their tasks.
-REGION_KINDS = {"doc_title": "title", "paragraph_title": "heading", "table": "table", "image": "imageish", "figure": "imageish", "chart": "imageish", "seal": "imageish", "formula": "imageish"}
+REGION_KINDS = {"doc_title": "title", "paragraph_title": "heading", "table": "table", "image": "imageish", "seal": "imageish", "chart": "imageish", "header_image": "imageish", "footer_image": "imageish"}
 TOKEN_CAPS = {"table": 2048, "formula": 512, "heading": 160, "title": 160, "text": 1024, "page": 4096}
 
 

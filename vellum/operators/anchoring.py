@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,31 +65,55 @@ class Pool:
         return None, False
 
 
-def anchor(text: str, region: int, pool: Pool, policy: str = "replace") -> tuple[str, list[tuple[str, str, str | None, str]]]:
-    """The text with its numbers anchored, and events (kind, token, source reading, severity). Policies: replace, flag, off."""
-    if policy == "off":
-        return text, []
-    events: list[tuple[str, str, str | None, str]] = []
+class Event(NamedTuple):
+    """What happened to a number: its kind, the reading's token, the source's (null: none or several), severity, and its place in the text."""
+
+    kind: str
+    token: str
+    source: str | None
+    severity: str
+    start: int
+    end: int
+
 
-    def one(m: re.Match) -> str:
+def anchor(text: str, region: int, pool: Pool, policy: str = "replace") -> tuple[str, list[Event], Counter]:
+    """The text with its numbers anchored, an event for each number that isn't as the source has it, and counts by what happened.
+
+    Policies: replace, flag, off. Places of events are offsets into the new text before its spaces are tidied, cut at its end; those of
+    dropped numbers are empty.
+    """
+    if policy == "off":
+        return text, [], Counter()
+    out, last, events, counts = "", 0, [], Counter()
+    for m in re.finditer(NUMBER, text, flags=re.ASCII):
         token = m[0].rstrip(ENDS)
-        tail = m[0][len(token) :]
+        counts["total"] += 1
+        out += text[last : m.start()]
+        last = m.start() + len(token)
+        start, new = len(out), token
         if pool.exact(token, region):
-            return m[0]
+            counts["exact"] += 1
+            out += token
+            continue
         if parts := pool.split(token, region):
-            events.append(("split-joined", token, " ".join(parts), "low"))
-            return (" - ".join(parts) if policy == "replace" and token == "-".join(parts) else token) + tail
-        value, several = pool.near(token, region)
-        if policy == "replace":
-            events.append(("replaced" if value else "ambiguous" if several else "dropped", token, value, "high"))
-            return (value or "") + tail
-        events.append(("ambiguous" if several else "flagged", token, value, "high"))
-        return m[0]
-
-    out = re.sub(NUMBER, one, text, flags=re.ASCII)
+            kind, source, severity = "split-joined", " ".join(parts), "low"
+            if policy == "replace" and token == "-".join(parts):
+                new = " - ".join(parts)
+        else:
+            source, several = pool.near(token, region)
+            severity = "high"
+            if policy == "replace":
+                kind, new = "replaced" if source else "ambiguous" if several else "dropped", source or ""
+            else:
+                kind = "ambiguous" if several else "flagged"
+        counts[kind] += 1
+        out += new
+        events.append(Event(kind, token, source, severity, start, len(out)))
+    out += text[last:]
     for pattern, new in ((r"[ \t]{2,}", " "), (r" ([.,;:)\]])", r"\1"), (r"\( ", "(")):
         out = re.sub(pattern, new, out)
-    return out.strip(), events
+    out = out.strip()
+    return out, [e._replace(start=min(e.start, len(out)), end=min(e.end, len(out))) for e in events], counts
 
 
 def anchor_pages(readings: DataFrame, source: DataFrame, policy: str = "replace") -> DataFrame:
@@ -99,8 +125,8 @@ def anchor_pages(readings: DataFrame, source: DataFrame, policy: str = "replace"
         rows = []
         for r in page:
             if r.reads:
-                text, events = anchor(r.text, int(r.region), pool, policy)
-                rows.append((r.page_id, r.ord, text, ",".join(e[0] for e in events)))
+                text, events, _ = anchor(r.text, int(r.region), pool, policy)
+                rows.append((r.page_id, r.ord, text, ",".join(e.kind for e in events)))
         return rows
 
     columns = ["page_id", "region", "ord", "text"]

@@ -4,23 +4,22 @@ model's reading and the source's own."""
 from __future__ import annotations
 
 import re
-from statistics import median
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as t
-from vellum.operators.anchoring import Pool, anchor
-from vellum.operators.assembly import Block, assemble, kv_line
+from vellum.operators.anchoring import Pool
+from vellum.operators.assembly import Block, Line, Scales, assemble, headed, kv_line, page_scales, pair_blocks, pipe_table, table_of
 from vellum.operators.grouped import map_groups
 from vellum.operators.layout import Box, around
-from vellum.operators.pairing import Seg, interpret, nearest, plain_vote, rows_of, runs
+from vellum.operators.markup import without_repeats
+from vellum.operators.pairing import Seg, interpret, plain_vote, rows_of
+from vellum.operators.readings import anchored, blocks_of
 
-#: Gaps in line heights for columns, rows folded into a table row, and joined text; overlap of joined text; lines' widths that band a page.
-TABLE_COLUMN, TABLE_FOLD, JOIN_GAP, JOIN_OVERLAP, ORPHAN_GAP, BAND_WIDTH = 2.2, 1.2, 2.2, 0.25, 2.5, 0.7
-#: First cells that announce a table.
-HEADER_WORDS = set("test specimen part block slide antibody marker gene result name parameter analyte item date code no. #".split())
+#: Gaps in line heights for joined text and orphans; overlap of joined text, and of what stands on one height.
+JOIN_GAP, JOIN_OVERLAP, ORPHAN_GAP, SAME_LEVEL = 2.2, 0.25, 2.5, 0.3
 
 
 class Region(NamedTuple):
@@ -33,10 +32,6 @@ class Region(NamedTuple):
     lines: list[tuple[str, Box]]
 
 
-def line_height(lines: list[tuple[str, Box]]) -> float:
-    return (median(b[3] - b[1] for _, b in lines) if lines else 0.0) or 12.0
-
-
 def orphan_regions(lines: list[tuple[str, Box]], height: float) -> list[Region]:
     """Regions of lines that no region takes: from the top, a gap of over 2.5 lines begins the next."""
     groups: list[list[tuple[str, Box]]] = []
@@ -48,15 +43,19 @@ def orphan_regions(lines: list[tuple[str, Box]], height: float) -> list[Region]:
 
 
 def spliced(regions: list[Region], width: float) -> list[Region]:
-    """Regions in learned order, with orphans put before the first one that starts right of them on their height, or below them."""
+    """Regions in learned order. One made of orphans stands before the first of these that is on the height of its first line and begins
+    right of it, or whose middle is lower."""
     out = sorted((r for r in regions if r.rank >= 0), key=lambda r: r.rank)
-    for new in sorted((r for r in regions if r.rank < 0), key=lambda r: (r.box[1], r.box[0])):
+    for new in (r for r in regions if r.rank < 0):
+        line = min((b for _, b in new.lines), key=lambda b: (b[1], b[0]), default=new.box)
 
-        def follows(r: Region, new=new) -> bool:
-            level = r.box[1] < new.box[3] and new.box[1] < r.box[3]
-            return r.rank >= 0 and (level and r.box[0] >= new.box[2] and r.box[2] - r.box[0] <= width * BAND_WIDTH or r.box[1] >= new.box[3])
+        def follows(r: Region, line=line) -> bool:
+            both, least = min(line[3], r.box[3]) - max(line[1], r.box[1]), min(line[3] - line[1], r.box[3] - r.box[1])
+            if least > 0 and both / least > SAME_LEVEL:
+                return r.box[0] > line[0]
+            return r.box[1] + r.box[3] > line[1] + line[3]
 
-        at = next((i for i, r in enumerate(out) if follows(r)), len(out))
+        at = next((i for i, r in enumerate(out) if r.rank >= 0 and follows(r)), len(out))
         out.insert(at, new)
     return out
 
@@ -76,81 +75,102 @@ def coalesced(regions: list[Region], height: float) -> list[Region]:
     return out
 
 
-def table_of(lines: list[tuple[str, Box]], height: float) -> list[list[str]]:
-    """Rows of cells: columns by left edges, and a row without a first cell close below another is part of it."""
-    segs = [Seg(i, x, *b, 0.0, False) for i, (x, b) in enumerate(lines)]
-    centers = runs([s.x0 for s in segs], height * TABLE_COLUMN)
-    rows: list[tuple[list[str], float]] = []
-    for row in rows_of(segs, height):
-        cells = [""] * len(centers)
-        for s in row:
-            c = nearest(centers, s.x0)
-            cells[c] = f"{cells[c]} {s.text}".strip()
-        top, low = min(s.y0 for s in row), max(s.y1 for s in row)
-        if rows and not cells[0] and top - rows[-1][1] < height * TABLE_FOLD:
-            rows[-1] = ([f"{a} {b}".strip() for a, b in zip(rows[-1][0], cells, strict=True)], low)
-        else:
-            rows.append((cells, low))
-    return [cells for cells, _ in rows]
+def lexicon_of(regions: list[Region], orphans: list[tuple[str, Box]], scales: Scales) -> dict[str, set[str]]:
+    """For each region the label keys that other parts of the page vouch for: texts that end with a colon anywhere, and first-row cells of up
+    to four words of other table regions."""
+    base = {key(x) for x in [*(x for r in regions for x, _ in r.lines), *(x for x, _ in orphans)] if x.strip().endswith(":") and len(x.split()) <= 7}
+    first = {}
+    for r in regions:
+        if r.kind == "table" and r.lines:
+            rows = rows_of([Seg(i, x, *b, 0.0, False) for i, (x, b) in enumerate(r.lines)], scales.height)
+            first[r.key] = {key(s.text) for s in rows[0] if s.text.strip() and len(s.text.split()) <= 4}
+    return {r.key: base.union(*(k for other, k in first.items() if other != r.key)) for r in regions}
+
 
+def key(text: str) -> str:
+    """The form in which labels are listed."""
+    return " ".join(text.strip().lower().removesuffix(":").split())
 
-def pipe_table(rows: list[list[str]]) -> str:
-    line = lambda r: "| " + " | ".join(c.replace("|", "/") for c in r) + " |"
-    return "\n".join([line(rows[0]), "| " + " | ".join(["---"] * len(rows[0])) + " |", *map(line, rows[1:])]) if rows else ""
 
+def vouched(segs: list[Seg], lexicon: set[str]) -> list[Seg]:
+    """Segments with the lexicon's half vote for texts that it lists, where their form alone doesn't decide."""
+    return [s if s.strong or key(s.text) not in lexicon else s._replace(v=max(-1.0, min(1.0, s.v + 0.5))) for s in segs]
 
-def region_blocks(r: Region, width: float, height: float) -> list[Block]:
-    """A region's blocks by its kind: a placeholder for pictures, one heading for titles, a grid, pairs or lines for the rest."""
+
+def table_region(r: Region, scales: Scales, lexicon: set[str]) -> list[Block]:
+    """The blocks of a region that the layout calls a table: pairs below a swallowed heading where it reads so, a grid otherwise."""
+    lines = sorted(r.lines, key=lambda x: (x[1][1], x[1][0]))
+    segs = vouched([Seg(i, " ".join(x.split()), *b, *plain_vote(x)) for i, (x, b) in enumerate(lines)], lexicon)
+    rows = rows_of(segs, scales.height)
+    head = rows[0][0] if len(rows) >= 3 and len(rows[0]) == 1 else None
+    if head and (len(head.text.split()) > 8 or head.text.strip()[-1:] in tuple(".,;:")):
+        head = None
+    body = rows[1:] if head else rows
+    best, _, pairs = interpret([s._replace(at=i) for i, s in enumerate(s for row in body for s in row)], scales.height, scales.pitch, scales.width, plain_vote, True)
+    if best.kind == "kv" and not headed(body):
+        return [*([Block("heading", 2, head.text.strip(), "", "", head.y0, head.x0)] if head else []), *pair_blocks(pairs)]
+    return [Block("table", 0, pipe_table(table_of(segs, scales.height)), "", "", r.box[1], r.box[0])]
+
+
+def single_line(text: str, box: Box, scales: Scales) -> list[Block]:
+    """A region of one line: a rule, a bullet, a pair or a paragraph. It is no list item without a bullet."""
+    line = Line(" ".join(text.split()), box)
+    if box[2] - box[0] > scales.width * 0.5 and re.fullmatch(r"[-–—_=.]+", re.sub(r"\s", "", text)):
+        return [Block("rule", 0, "", "", "", box[1], box[0])]
+    if bullet := line.bullet(scales.height):
+        return [Block("listItem", 0, bullet[1], bullet[0], "", box[1], box[0])]
+    pair = kv_line(line.text)
+    return [Block("kv", 0, "", *pair, box[1], box[0]) if pair else Block("paragraph", 0, line.text, "", "", box[1], box[0])]
+
+
+def region_blocks(r: Region, scales: Scales, lexicon: set[str] = frozenset()) -> list[Block]:
+    """A region's blocks by its kind: one heading for titles, a placeholder for pictures without text, a grid or pairs for tables, and lines
+    at the page's scales for the rest."""
     lines = sorted(r.lines, key=lambda x: (x[1][1], x[1][0]))
-    text = " ".join(x for x, _ in lines)
-    if r.kind == "imageish":
-        return [Block("paragraph", 0, "[image]", "", "", r.box[1], r.box[0])]
-    if r.kind in ("title", "heading") and text:
-        return [Block("heading", 1 if r.kind == "title" else 2, text, "", "", r.box[1], r.box[0])]
+    if r.kind in ("title", "heading"):
+        text = " ".join(" ".join(x for x, _ in lines).split())
+        return [Block("heading", 1 if r.kind == "title" else 2, text, "", "", r.box[1], r.box[0])] if text else []
     if not lines:
-        return []
-    segs = [Seg(i, x, *b, *plain_vote(x)) for i, (x, b) in enumerate(lines)]
-    first = lines[0][0].strip().lower().split()
-    headed = bool(first) and first[0] in HEADER_WORDS and len(lines) > 3
-    best, _, pairs = interpret(segs, height, height * 1.4, width, plain_vote, r.kind == "table")
-    if r.kind == "table" and best.kind != "kv" or best.kind == "table" or headed and best.kind != "kv":
-        return [Block("table", 0, pipe_table(table_of(lines, height)), "", "", r.box[1], r.box[0])]
-    if best.kind == "kv":
-        used = {i for p, _ in pairs for i in (*p.labels, *p.values)}
-        found = [Block("kv", 0, "", p.label, p.value, p.y, p.x) for p, _ in pairs]
-        found += [Block("paragraph", 0, s.text, "", "", s.cy, s.x0) for s in segs if s.at not in used]
-        return sorted(found, key=lambda b: (b.y, b.x))
-    return assemble([(x, *b) for x, b in lines], width)
+        return [Block("paragraph", 0, "[image]", "", "", r.box[1], r.box[0])] if r.kind == "imageish" else []
+    if r.kind == "table":
+        return table_region(r, scales, lexicon)
+    return single_line(*lines[0], scales) if len(lines) == 1 else assemble([Line(" ".join(x.split()), b) for x, b in lines], scales, headings=False)
 
 
 def page_blocks(regions: list[Region], orphans: list[tuple[str, Box]], width: float) -> list[tuple[Region, list[Block]]]:
-    height = line_height([x for r in regions for x in r.lines] + orphans)
-    order = coalesced(spliced([*regions, *orphan_regions(orphans, height)], width), height)
-    return [(r, region_blocks(r, width, height)) for r in order]
+    boxes = [b for r in regions for _, b in r.lines] + [b for _, b in orphans]
+    scales = page_scales(boxes, width) if boxes else Scales(12.0, 0.0, 12.0, width)
+    lexicon = lexicon_of(regions, orphans, scales)
+    order = coalesced(spliced([*regions, *orphan_regions(orphans, scales.height)], width), scales.height)
+    return [(r, region_blocks(r, scales, lexicon.get(r.key, set()))) for r in order]
 
 
 def with_readings(found: list[tuple[Region, list[Block]]], readings: dict[str, str], mode: str = "tables-only", policy: str = "replace") -> tuple[list[Block], list[str]]:
     """The page's blocks with the model's readings, and what happened to their numbers.
 
-    A reading's numbers are anchored in the numbers of the source, region by region in order. In mode tables-only, readings of other regions
-    than tables aren't used; an empty reading never is. A pair whose value is left without a letter or digit becomes text.
+    A reading becomes blocks by its region's kind, and its numbers are anchored in the numbers of the source, region by region in order. A
+    table that the source reads as pairs keeps them; a table's reading that repeats itself at the end isn't used, nor is one without blocks.
+    In mode tables-only, readings of other regions than tables aren't used. A pair whose value is left without a letter or digit becomes text.
     """
     index = {r.key: i for i, (r, _) in enumerate(found)}
     pool = Pool([(index[r.key], x.rstrip(".,/:%-")) for r, _ in found for text, _ in r.lines for x in re.findall(t.NUMBER, text, flags=re.ASCII)])
     out: list[Block] = []
     kinds: list[str] = []
     for r, own in found:
-        reading = (readings.get(r.key) or "").strip()
-        if not reading or mode == "tables-only" and r.kind != "table":
+        text, repeats = without_repeats(readings.get(r.key))
+        table = r.kind == "table"
+        use = text and (table and not repeats and not any(b.kind == "kv" for b in own) or not table and mode != "tables-only")
+        read = blocks_of(text, r.kind) if use else []
+        if not read:
             out += own
             continue
-        text, events = anchor(reading, index[r.key], pool, policy)
-        kinds += [e[0] for e in events]
-        pair = None if r.kind == "table" else kv_line(text)
-        if pair and re.search(r"\w", pair[1]):
-            out.append(Block("kv", 0, "", *pair, r.box[1], r.box[0]))
-        else:
-            out.append(Block("table" if r.kind == "table" else "paragraph", 0, text, "", "", r.box[1], r.box[0]))
+        read, items, _ = anchored(read, index[r.key], pool, policy)
+        kinds += [e.kind for e in items]
+        for b in read:
+            if b.kind == "kv" and not re.search(r"\w", b.value):
+                out.append(Block("paragraph", 0, b.label, "", "", r.box[1], r.box[0]))
+            else:
+                out.append(Block(b.kind, b.depth, pipe_table([list(c) for c in b.cells]) if b.kind == "table" else b.text, b.label, b.value, r.box[1], r.box[0]))
     return out, kinds
 
 

@@ -8,13 +8,18 @@ from statistics import fmean, median
 
 from pyspark.sql import DataFrame
 
-from vellum.functions.text import PLAIN_BULLET
+from vellum.functions.text import PLAIN_BULLET, SET_OFF_BULLET
 from vellum.operators.grouped import map_groups
 
 #: Lowest confidence of a word, row share and gutter in word heights, smallest gap of a cut in line heights.
 LEAST_CONF, ROW_SHARE, GUTTER, CUT_GAP, NO_HEIGHT = 0.2, 0.6, 1.6, 1.2, 12.0
-#: Suppression of layout regions.
+#: Suppression of layout regions; labels of regions with running text, those that hold other regions, and pictures.
 SAME_LABEL, CONTAINED, ANY_LABEL, LEAST_SCORE = 0.6, 0.8, 0.7, 0.5
+TEXT_LABELS = set(
+    "abstract algorithm aside_text content display_formula doc_title figure_title footer footnote formula_number header inline_formula number paragraph_title reference reference_content text vertical_text"
+    " vision_footnote".split()
+)
+HOLDERS, PICTURES = {"table", "image", "chart", "seal"}, {"image", "seal", "chart", "header_image", "footer_image"}
 
 Box = tuple[float, float, float, float]
 
@@ -48,7 +53,7 @@ def segments_of(words: list[tuple[str, Box, float]]) -> list[tuple[str, Box, flo
         row = sorted((w for w, at in zip(words, rows, strict=True) if at == r), key=lambda w: w[1][0])
         groups = [[row[0]]]
         for a, b in pairwise(row):
-            bullet = len(groups[-1]) == 1 and re.search(PLAIN_BULLET, groups[-1][0][0])
+            bullet = len(groups[-1]) == 1 and re.search(f"{PLAIN_BULLET}|{SET_OFF_BULLET}", groups[-1][0][0])
             if b[1][0] - a[1][2] > height * GUTTER and not bullet:
                 groups.append([])
             groups[-1].append(b)
@@ -111,9 +116,10 @@ def shared(a: Box, b: Box) -> float:
     return max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
 
 
-def suppressed(regions: list[tuple[str, float, Box]], container=("image", "figure", "chart", "table")) -> list[int]:
+def suppressed(regions: list[tuple[str, float, Box]]) -> list[int]:
     """The indices of regions (label, score, box) that stay, best score first: one goes if a kept one of its label overlaps it by more than
-    60 %, if it is text and a kept container holds 80 % of it, or if any kept one overlaps it by more than 70 %."""
+    60 %, if it has running text and a kept holder covers more than 80 % of it, or if a kept one overlaps it by more than 70 % and neither
+    is a picture."""
     kept: list[int] = []
     for i in sorted((i for i, r in enumerate(regions) if r[1] >= LEAST_SCORE), key=lambda i: (-regions[i][1], i)):
         label, _, box = regions[i]
@@ -123,7 +129,8 @@ def suppressed(regions: list[tuple[str, float, Box]], container=("image", "figur
             both = shared(box, b)
             union = area(box) + area(b) - both
             overlap = both / union if union else 0.0
-            return overlap > ANY_LABEL or other == label and overlap > SAME_LABEL or label == "text" and other in container and both >= CONTAINED * area(box) > 0
+            held = label in TEXT_LABELS and other in HOLDERS and both / max(1e-6, area(box)) > CONTAINED
+            return held or other == label and overlap > SAME_LABEL or overlap > ANY_LABEL and label not in PICTURES and other not in PICTURES
 
         if not any(hides(k) for k in kept):
             kept.append(i)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.operators.grouped import map_groups
+
 #: Item categories in order of urgency, those that the threshold filters, and the threshold's bounds.
 RANKS = {"fabricated-number": 0, "omitted-number": 1, "conflict": 2, "advisory-word": 3, "uncertain-pair": 4, "low-block": 5, "low-line": 6, "coverage-gap": 7}
 FILTERED = ("uncertain-pair", "low-block", "low-line")
@@ -24,25 +26,42 @@ def worklist(sources: list[DataFrame], dismissed: DataFrame, tau: float = TAU) -
     return kept.select("page_id", F.row_number().over(w).alias("place"), "item_id", "category", "score")
 
 
+def replayed(rows: list) -> list[tuple]:
+    """(page_id, uid, place, markdown) of one page's rows (page_id, phase, seq, kind, uid, after_uid, markdown): its blocks, then its events.
+
+    An added block stands right after the block it names, before earlier additions there; without a name it opens the page, and after a name
+    that isn't known yet it ends the page. Edits change the block that has the name at that time; removed blocks go last, so others can
+    still be added after them.
+    """
+    opening, body, ending, after, text, gone = [], [], [], {}, {}, set()
+    for r in rows:
+        if r.kind == "block":
+            body.append(r.uid)
+            text[r.uid] = r.markdown
+        elif r.kind == "text-edit" and r.uid in text:
+            text[r.uid] = r.markdown
+        elif r.kind == "block-remove":
+            gone.add(r.uid)
+        elif r.kind == "region-add":
+            (opening if r.after_uid is None else after.setdefault(r.after_uid, []) if r.after_uid in text else ending).append(r.uid)
+            text[r.uid] = r.markdown
+    todo, order = [*opening[::-1], *body, *ending][::-1], []
+    while todo:
+        uid = todo.pop()
+        order.append(uid)
+        todo += after.get(uid, [])
+    return [(rows[0].page_id, uid, place, text[uid]) for place, uid in enumerate(u for u in order if u not in gone)]
+
+
 def replay(blocks: DataFrame, events: DataFrame) -> DataFrame:
-    """The blocks of each page after its corrections: page_id, uid, markdown, removed blocks gone, in place.
+    """(page_id, uid, place, markdown): the blocks of each page after its corrections, see `replayed`.
 
-    blocks(page_id, uid, place, markdown); events(page_id, seq, kind, uid, markdown). Of text edits the last one counts; an edit of a block
-    that an event adds counts only after that event. Added blocks follow the block they name, or end the page.
+    blocks(page_id, uid, place, markdown); events(page_id, seq, kind, uid, after_uid, markdown), uid being the block that an event changes,
+    removes or adds. Pages without blocks have their added ones.
     """
-    edits = events.where("kind = 'text-edit'")
-    added = events.where("kind = 'region-add'").select("page_id", F.concat(F.lit("+"), F.col("seq").cast("string")).alias("uid"), F.col("uid").alias("after"), "seq", F.col("markdown"))
-    base = blocks.select("page_id", "uid", F.col("place").cast("double").alias("place"), F.lit(-1).cast("long").alias("seq"), "markdown")
-    anchors = base.select("page_id", F.col("uid").alias("after"), F.col("place").alias("at"))
-    ends = base.groupBy("page_id").agg(F.max("place").alias("end"))
-    placed = added.join(anchors, ["page_id", "after"], "left").join(ends, "page_id", "left").select("page_id", "uid", F.coalesce("at", F.col("end") + 1, F.lit(0.0)).alias("place"), "seq", "markdown")
-    every = base.unionByName(placed)
-    last = every.select("page_id", "uid", F.col("seq").alias("born")).join(edits.select("page_id", "uid", "seq", F.col("markdown").alias("edit")), ["page_id", "uid"]).where(F.col("seq") > F.col("born")).groupBy("page_id", "uid").agg(F.max_by("edit", "seq").alias("edit"))
-    gone = events.where("kind = 'block-remove'").select("page_id", "uid").distinct()
-    final = every.join(last, ["page_id", "uid"], "left").join(gone, ["page_id", "uid"], "left_anti")
-    # a later addition after the same block stands before an earlier one
-    w = Window.partitionBy("page_id").orderBy("place", F.when(F.col("seq") < 0, 0).otherwise(1), F.desc("seq"))
-    return final.select("page_id", "uid", (F.row_number().over(w) - 1).alias("place"), F.coalesce("edit", "markdown").alias("markdown"))
+    base = blocks.select("page_id", F.lit(0).alias("phase"), F.col("place").cast("long").alias("seq"), F.lit("block").alias("kind"), "uid", F.lit(None).cast("string").alias("after_uid"), "markdown")
+    log = events.where(F.col("kind").isin("text-edit", "block-remove", "region-add")).select("page_id", F.lit(1).alias("phase"), F.col("seq").cast("long").alias("seq"), "kind", "uid", "after_uid", "markdown")
+    return map_groups(base.union(log), "page_id", ["phase", "seq"], replayed, "page_id long, uid string, place int, markdown string")
 
 
 def dismissed_ids(events: DataFrame) -> DataFrame:

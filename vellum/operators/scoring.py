@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.text import DASHES, DOUBLE_QUOTES, SINGLE_QUOTES
 from vellum.operators.anchoring import within_one_edit
 from vellum.operators.grouped import map_groups
 
 
+FOLDS = str.maketrans(dict.fromkeys(DASHES, "-") | dict.fromkeys(SINGLE_QUOTES, "'") | dict.fromkeys(DOUBLE_QUOTES, '"'))
+
+
 class Page(NamedTuple):
     """Pairs (label, value): true ones, neutral ones, predicted ones, two-cell table rows and list leads; fields (value, kind); all text."""
 
@@ -25,7 +30,7 @@ class Page(NamedTuple):
 
 
 def field_form(value: str, kind: str) -> str:
-    low = " ".join(value.lower().split())
+    low = " ".join(unicodedata.normalize("NFKC", value).translate(FOLDS).lower().split())
     if kind == "id":
         return re.sub(r"[\s.\-/]", "", low)
     return " ".join(re.sub("[.,]", "", low).split()) if kind == "date" else low

@@ -414,27 +414,35 @@ def asof_continuation(spark, sf_dir):
 # ---- audit ----
 
 
-def conversation_words(spark, sf_dir, role: str) -> DataFrame:
+def conversation_tokens(spark, sf_dir, role: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").where(F.col("role") == role)
-    return own.select("conv_id", F.explode(t.extract_words(F.col("text"))).alias("token"), F.lit(1.0).alias("conf"))
+    return tokens_of(own.select("conv_id", "text", F.col("turn").alias("block"), F.col("turn").alias("line"), F.lit(1.0).alias("conf")))
 
 
-VERIFY_SQL = """WITH w AS (SELECT conv_id, role, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 4)) AS token FROM conversations WHERE role IN ('user', 'assistant')),
-    d AS (SELECT conv_id, role, token, count(*) AS n FROM w GROUP BY 1, 2, 3),
-    m AS (SELECT a.conv_id, a.role, a.token, a.n, NOT EXISTS (SELECT 1 FROM d b WHERE b.conv_id = a.conv_id AND b.role <> a.role AND levenshtein(a.token, b.token) <= 1) AS missing FROM d a),
-    c AS (SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS no, sum(CASE WHEN role = 'assistant' AND missing THEN n ELSE 0 END) AS mo, sum(CASE WHEN role = 'assistant' AND missing THEN 1 ELSE 0 END) AS fo,
-      sum(CASE WHEN role = 'user' THEN n ELSE 0 END) AS ni, sum(CASE WHEN role = 'user' AND missing THEN n ELSE 0 END) AS mi, sum(CASE WHEN role = 'user' AND missing THEN 1 ELSE 0 END) AS fi FROM m GROUP BY 1),
-    r AS (SELECT x.conv_id, coalesce(fo, 0) AS fo, coalesce(fi, 0) AS fi, CASE WHEN coalesce(no, 0) > 0 THEN mo::DOUBLE / no ELSE 0 END AS fab, 1 - CASE WHEN coalesce(ni, 0) > 0 THEN mi::DOUBLE / ni ELSE 0 END AS rec FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN c ON x.conv_id = c.conv_id)
-    SELECT conv_id, CAST(0 AS BIGINT) AS fab_numbers, CAST(fo AS BIGINT) AS fab_words, CAST(0 AS BIGINT) AS omit_numbers, CAST(fi AS BIGINT) AS omit_words, round(fab, 6) AS word_fab_rate, round(rec, 6) AS word_recall, CASE WHEN fab > 0.02 OR 1 - rec > 0.05 THEN 'review' ELSE 'pass' END AS verdict FROM r"""
+def tokens_of(rows: DataFrame) -> DataFrame:
+    """A row for each word and number of text, with the other columns, kind and token."""
+    typed = lambda kind, c: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("token")))
+    both = F.concat(typed("word", t.extract_words(F.col("text"))), typed("number", t.extract_numbers(F.col("text"))))
+    kept = [c for c in rows.columns if c != "text"]
+    return rows.select(*kept, F.explode(both).alias("__x")).select(*kept, "__x.kind", "__x.token")
+
+
+VERIFY_SQL = r"""WITH w AS (SELECT conv_id, role, 'word' AS kind, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 4)) AS token FROM conversations WHERE role IN ('user', 'assistant')
+    UNION ALL SELECT conv_id, role, 'number', regexp_replace(unnest(regexp_extract_all(text, '\d[\d.,/:%-]*\d|\d')), '[.,/:%-]+$', '') FROM conversations WHERE role IN ('user', 'assistant')),
+    d AS (SELECT conv_id, role, kind, token, count(*) AS n FROM w GROUP BY 1, 2, 3, 4),
+    m AS (SELECT a.*, NOT EXISTS (SELECT 1 FROM d b WHERE b.conv_id = a.conv_id AND b.kind = a.kind AND b.role <> a.role AND levenshtein(a.token, b.token) <= 1) AS missing FROM d a),
+    c AS (SELECT conv_id, sum(CASE WHEN kind = 'word' AND role = 'assistant' THEN n ELSE 0 END) AS no, sum(CASE WHEN kind = 'word' AND role = 'assistant' AND missing THEN n ELSE 0 END) AS mo, sum(CASE WHEN kind = 'word' AND role = 'assistant' AND missing THEN 1 ELSE 0 END) AS fo,
+      sum(CASE WHEN kind = 'word' AND role = 'user' THEN n ELSE 0 END) AS ni, sum(CASE WHEN kind = 'word' AND role = 'user' AND missing THEN n ELSE 0 END) AS mi, sum(CASE WHEN kind = 'word' AND role = 'user' AND missing THEN 1 ELSE 0 END) AS fi,
+      sum(CASE WHEN kind = 'number' AND role = 'assistant' AND missing THEN 1 ELSE 0 END) AS gn, sum(CASE WHEN kind = 'number' AND role = 'user' AND missing THEN 1 ELSE 0 END) AS hn FROM m GROUP BY 1),
+    r AS (SELECT x.conv_id, coalesce(fo, 0) AS fo, coalesce(fi, 0) AS fi, coalesce(gn, 0) AS gn, coalesce(hn, 0) AS hn, CASE WHEN coalesce(no, 0) > 0 THEN mo::DOUBLE / no ELSE 0 END AS fab, 1 - CASE WHEN coalesce(ni, 0) > 0 THEN mi::DOUBLE / ni ELSE 0 END AS rec FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN c ON x.conv_id = c.conv_id)
+    SELECT conv_id, CAST(gn AS BIGINT) AS fab_numbers, CAST(fo AS BIGINT) AS fab_words, CAST(hn AS BIGINT) AS omit_numbers, CAST(fi AS BIGINT) AS omit_words, round(fab, 6) AS word_fab_rate, round(rec, 6) AS word_recall, CASE WHEN gn > 0 OR hn > 0 THEN 'fallback' WHEN fab > 0.02 OR 1 - rec > 0.05 THEN 'review' ELSE 'pass' END AS verdict FROM r"""
 
 
 @query("verify_conversations", VERIFY_SQL)
 def verify_conversations(spark, sf_dir):
-    """Which assistant words the user turns don't attest, what is left out, and the verdict, for each conversation."""
-    said, asked = conversation_words(spark, sf_dir, "assistant"), conversation_words(spark, sf_dir, "user")
-    none = said.limit(0)
-    groups = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    out = audit.verify(said, none, asked, none, groups, "conv_id")
+    """Which assistant words and numbers the user turns don't attest, what is left out, and the verdict, for each conversation."""
+    told = audit.attested(conversation_tokens(spark, sf_dir, "assistant"), conversation_tokens(spark, sf_dir, "user"), "conv_id")
+    out = audit.verify(told, table(spark, sf_dir, "conversations").select("conv_id").distinct(), "conv_id")
     return out.withColumn("word_fab_rate", r6(F.col("word_fab_rate"))).withColumn("word_recall", r6(F.col("word_recall")))
 
 
@@ -606,6 +614,12 @@ def event_log(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("seq"), kinds.alias("kind"), (F.col("event_id") % 7).cast("string").alias("uid"), F.concat(F.lit("text "), F.col("event_id").cast("string")).alias("markdown"))
 
 
+def with_anchors(log: DataFrame, anchor: Column) -> DataFrame:
+    """The log with additions under names of their own (+seq), after the block that anchor names."""
+    adds = F.col("kind") == "region-add"
+    return log.withColumn("after_uid", F.when(adds, anchor)).withColumn("uid", F.when(adds, F.concat(F.lit("+"), F.col("seq").cast("string"))).otherwise(F.col("uid")))
+
+
 @query("dismissed", "SELECT DISTINCT user_id AS page_id, CAST(event_id % 7 AS VARCHAR) AS item_id FROM events WHERE event_type = 'click'")
 def dismissed(spark, sf_dir):
     return review.dismissed_ids(event_log(spark, sf_dir))
@@ -623,7 +637,30 @@ def corrections_replay(spark, sf_dir):
     log = event_log(spark, sf_dir)
     ids = F.explode(F.sequence(F.lit(0), F.lit(6)))
     blocks = log.select("page_id").distinct().select("page_id", ids.alias("place")).select("page_id", F.col("place").cast("string").alias("uid"), "place", F.concat(F.lit("base "), F.col("place").cast("string")).alias("markdown"))
-    return review.replay(blocks, log).withColumn("place", long(F.col("place")))
+    return review.replay(blocks, with_anchors(log, F.col("uid"))).withColumn("place", long(F.col("place")))
+
+
+@query(
+    "corrections_chained",
+    """WITH RECURSIVE pages AS (SELECT DISTINCT user_id AS page_id FROM events), v AS (SELECT user_id AS page_id, event_id AS seq, event_type AS kind, lag(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events),
+    a AS (SELECT page_id, seq, '+' || CAST(seq AS VARCHAR) AS uid, CASE seq % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(seq % 7 AS VARCHAR) WHEN 2 THEN coalesce('+' || CAST(prev AS VARCHAR), 'nowhere') ELSE 'nowhere' END AS after_uid FROM v WHERE kind = 'purchase'),
+    tree AS (SELECT page_id, CAST(i AS VARCHAR) AS uid, [1, i::BIGINT] AS path, -1::BIGINT AS seq FROM pages, range(7) t(i)
+      UNION ALL SELECT page_id, uid, CASE WHEN after_uid IS NULL THEN [0, -seq] ELSE [2, seq] END, seq FROM a WHERE after_uid IS NULL OR after_uid = 'nowhere'
+      UNION ALL SELECT a.page_id, a.uid, list_append(t.path, -a.seq), a.seq FROM tree t JOIN a ON a.page_id = t.page_id AND a.after_uid = t.uid),
+    e AS (SELECT page_id, CAST(seq % 7 AS VARCHAR) AS uid, max(seq) AS last FROM v WHERE kind = 'view' GROUP BY 1, 2), g AS (SELECT DISTINCT page_id, CAST(seq % 7 AS VARCHAR) AS uid FROM v WHERE kind = 'error')
+    SELECT t.page_id, t.uid, CAST(row_number() OVER (PARTITION BY t.page_id ORDER BY path) - 1 AS BIGINT) AS place, CASE WHEN last IS NOT NULL THEN 'text ' || CAST(last AS VARCHAR) WHEN t.seq < 0 THEN 'base ' || t.uid ELSE 'text ' || CAST(t.seq AS VARCHAR) END AS markdown
+    FROM tree t LEFT JOIN e ON e.page_id = t.page_id AND e.uid = t.uid WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.page_id = t.page_id AND g.uid = t.uid)""",
+)
+def corrections_chained(spark, sf_dir):
+    """Additions at the top, after blocks, after the addition before, and after names that nothing has."""
+    log = event_log(spark, sf_dir)
+    before = F.last(F.when(F.col("kind") == "region-add", F.col("seq")), True).over(Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    chained = F.coalesce(F.concat(F.lit("+"), F.col("before").cast("string")), F.lit("nowhere"))
+    turn = F.col("seq") % 4
+    named = F.when(turn == 0, F.lit(None).cast("string")).when(turn == 1, F.col("uid")).when(turn == 2, chained).otherwise("nowhere")
+    places = F.explode(F.sequence(F.lit(0), F.lit(6)))
+    blocks = log.select("page_id").distinct().select("page_id", places.alias("place")).select("page_id", F.col("place").cast("string").alias("uid"), "place", F.concat(F.lit("base "), F.col("place").cast("string")).alias("markdown"))
+    return review.replay(blocks, with_anchors(log.withColumn("before", before), named)).withColumn("place", long(F.col("place")))
 
 
 @query(

@@ -33,11 +33,12 @@ def replay_files(spark: SparkSession, path: str) -> DataFrame:
 
 def joined_regions(exports: DataFrame, replays: DataFrame) -> DataFrame:
     """(page_id, region_key, index, label, kind, box, lines, reading): each exported region with its reading. Fails where a page's keys
-    differ between the two contracts, either way."""
+    differ between the two contracts, either way, or where only one has the page."""
     keys = lambda c: F.transform(c, lambda r: r["regionKey"])
-    both = exports.alias("e").join(replays.alias("r"), "page_id")
+    both = exports.alias("e").join(replays.alias("r"), "page_id", "full")
+    lone = F.col("e.schema").isNull() | F.col("r.schema").isNull()
     extra = F.concat(F.array_except(keys(F.col("e.regions")), keys(F.col("r.regions"))), F.array_except(keys(F.col("r.regions")), keys(F.col("e.regions"))))
-    checked = both.select("page_id", F.when(F.size(extra) == 0, F.col("e.regions")).otherwise(F.raise_error(F.concat(F.lit("region keys differ: "), F.array_join(extra, ", ")))).alias("regions"), F.col("r.regions").alias("readings"))
+    checked = both.select("page_id", F.when(lone, F.raise_error(F.concat(F.lit("only one contract has page "), F.col("page_id").cast("string")))).when(F.size(extra) == 0, F.col("e.regions")).otherwise(F.raise_error(F.concat(F.lit("region keys differ: "), F.array_join(extra, ", ")))).alias("regions"), F.col("r.regions").alias("readings"))
     own = checked.select("page_id", F.explode("regions").alias("x"), "readings")
     reading = F.get(F.filter("readings", lambda r: r["regionKey"] == F.col("x.regionKey")), F.lit(0))
     return own.select("page_id", F.col("x.regionKey").alias("region_key"), "x.index", "x.label", "x.kind", "x.box", "x.lines", reading.alias("reading"))

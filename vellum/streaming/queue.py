@@ -10,12 +10,12 @@ STATUSES = ("queued", "rasterizing", "processing", "needs-review", "done", "erro
 TERMINAL = ("needs-review", "done", "error")
 
 
-def page_status_stream(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """(page_id, status, ts): of streamed events(page_id, ts, status) the latest status of each page and day; later ones than the watermark
-    allows are left out."""
-    known = events.where(F.col("status").isin(*STATUSES)).withWatermark("ts", lateness)
+def page_status_stream(events: DataFrame) -> DataFrame:
+    """(page_id, status, ts): of streamed events(page_id, ts, status) the latest status of each page, of equal times the later one in
+    STATUSES. For the output modes update and complete; the state holds one row a page, however late its events come."""
+    known = events.where(F.col("status").isin(*STATUSES))
     rank = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status"))
-    return known.groupBy("page_id", F.window("ts", "1 day")).agg(F.max_by("status", F.struct("ts", rank)).alias("status"), F.max("ts").alias("ts")).select("page_id", "status", "ts")
+    return known.groupBy("page_id").agg(F.max_by("status", F.struct("ts", rank)).alias("status"), F.max("ts").alias("ts"))
 
 
 def throughput_stream(events: DataFrame, window: str = "5 minutes", lateness: str = "10 minutes") -> DataFrame:
