@@ -274,8 +274,54 @@ def region_kind(label: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in REGION_KINDS.items() for x in pair]), label), F.lit("text"))
 
 
+def mapped(c: Column, known: dict) -> Column:
+    """known[c], null where there is none."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), c)
+
+
 def token_cap(task: Column) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in TOKEN_CAPS.items() for x in pair]), task), F.lit(TOKEN_CAPS["text"]))
+    return F.coalesce(mapped(task, TOKEN_CAPS), F.lit(TOKEN_CAPS["text"]))
+
+
+#: Prompts of the tasks by model, and the revision that outputs are keyed by.
+PROMPTS = {
+    "glm-ocr": {"rev": "glm-g1", "text": "Text Recognition:", "table": "Table Recognition:", "formula": "Formula Recognition:"},
+    "paddleocr-vl": {"rev": "paddle-g1", "text": "OCR:", "table": "Table Recognition:", "formula": "Formula Recognition:"},
+}
+
+
+def task_of(label: Column) -> Column:
+    """The reading task of a layout label: table, formula or text."""
+    return F.when(label == "table", "table").when(label.startswith("formula"), "formula").otherwise("text")
+
+
+def prompt_for(model: Column, label: Column) -> Column:
+    """The prompt of a model, known by the beginning of its name before a dash; null for unknown models."""
+    out = F.lit(None).cast("string")
+    for name, own in PROMPTS.items():
+        out = F.when((model == name) | model.startswith(f"{name}-"), mapped(task_of(label), {k: own[k] for k in ("text", "table", "formula")})).otherwise(out)
+    return out
+
+
+def token_budget(kind: Column, task: Column, lines: Column, area: Column, most: Column | None = None) -> Column:
+    """Tokens that a region's reading may take: estimated from its lines, or its area in pixels where it has none, from 96 up to the cap of
+    its task or kind; `most` lowers the cap where it isn't null or 0."""
+    cap = token_cap(F.when(task.isin("table", "formula", "page"), task).otherwise(kind))
+    cap = cap if most is None else F.when(F.coalesce(most, F.lit(0)) > 0, F.least(cap, most)).otherwise(cap)
+    wanted = F.when(lines > 0, 64 + 48 * lines.cast("double")).otherwise(64 + area / 2500.0)
+    return F.floor(F.greatest(F.lit(96.0), F.least(wanted, cap))).cast("long")
+
+
+def block_text(kind: Column, text: Column, lead: Column, label: Column, value: Column, cells: Column) -> Column:
+    """All text of a block, a lead or label before it, cells row by row; a rule has none."""
+    flat = F.array_join(F.flatten(cells), " ")
+    return F.when(kind == "table", flat).when(kind == "kv", F.concat_ws(" ", label, value)).when(kind == "rule", "").when(kind == "listItem", F.concat(F.coalesce(lead, F.lit("")), F.lit(" "), text)).otherwise(text)
+
+
+def colon_label(c: Column) -> Column:
+    """The key of a label that ends with a colon and has up to seven words, null for other texts."""
+    bare = trimmed(c)
+    return F.when(bare.endswith(":") & (F.length(bare) > 1) & (F.size(words_of(bare)) <= 7), lexicon_key(bare))
 
 
 def region_key(label: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

@@ -50,3 +50,22 @@ def char_labels(lines: DataFrame) -> DataFrame:
         return [(r.line_id, i, c, float(p), ok) for r in rows if r.text and r.char_conf is not None and len(r.char_conf) == len(r.text) for i, (c, p, ok) in enumerate(zip(r.text, r.char_conf, common(r.truth or "", r.text), strict=True))]
 
     return map_groups(lines.select("line_id", "text", "truth", "char_conf"), "line_id", [], run, "line_id long, ord long, ch string, conf double, correct boolean")
+
+
+def page_labels(lines: DataFrame, truth: DataFrame) -> DataFrame:
+    """(page_id, ord, ch, conf, correct): the characters of a page against its plain text.
+
+    lines(page_id, ord, text, char_conf) are joined by line breaks of confidence 1; those whose confidences aren't one a character are left
+    out. truth(page_id, truth); pages without truth give none.
+    """
+
+    def run(page: list) -> list[tuple]:
+        text, conf = "", []
+        for r in page:
+            if r.text and r.char_conf is not None and len(r.char_conf) == len(r.text):
+                conf += [1.0] * bool(text) + [float(p) for p in r.char_conf]
+                text += "\n" * bool(text) + r.text
+        return [(page[0].page_id, i, c, p, ok) for i, (c, p, ok) in enumerate(zip(text, conf, common(page[0].truth, text), strict=True))]
+
+    both = lines.select("page_id", "ord", "text", "char_conf").join(truth.where("truth IS NOT NULL").select("page_id", "truth"), "page_id")
+    return map_groups(both, "page_id", ["ord"], run, "page_id long, ord long, ch string, conf double, correct boolean")

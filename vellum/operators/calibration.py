@@ -5,10 +5,11 @@ Windows over all rows would put them into one task, so ranks and running sums ar
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -86,7 +87,7 @@ def budget_area(points: DataFrame) -> DataFrame:
 def fit_isotonic(rows: DataFrame) -> DataFrame:
     """(x, y): breakpoints of the isotonic map, ascending.
 
-    Neighbouring blocks merge where they tie or fall. Equal scores merge first in any case, so the fold runs over distinct scores in their
+    Neighbouring blocks merge where they fall. Equal scores merge first in any case, so the fold runs over distinct scores in their
     order, in one task of one small row each.
     """
     merged = rows.groupBy("score").agg(F.sum(F.col("good").cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
@@ -140,3 +141,72 @@ def bootstrap_mean(groups: DataFrame, draws: DataFrame, alpha: float = 0.05) ->
     low = F.greatest(F.lit(0), F.floor(F.lit(alpha / 2) * n).cast("int"))
     high = F.least(n - 1, F.ceil(F.lit(1 - alpha / 2) * n).cast("int") - 1)
     return stats.agg(F.get(own, low).alias("lo"), F.get(own, high).alias("hi"))
+
+
+#: The artifact's schema and signal, the splits, and what labels don't count.
+ARTIFACT, SIGNAL, SPLITS = "uncertainty-calib/1", "ppocrCharConf", ("fit", "held-out", "transfer")
+
+
+def visible(ch: Column) -> Column:
+    """Whether a character is neither white space nor a control character."""
+    return (ch != "") & ~ch.rlike(r"^[\s\p{Z}\p{C}]$")
+
+
+def is_digit(ch: Column) -> Column:
+    return ch.rlike("^[0-9]$")
+
+
+def slices(labels: DataFrame) -> DataFrame:
+    """(domain, split, n, errors, digits, digit_errors) over the visible characters of labels(domain, split, ch, conf, correct)."""
+    wrong, digit = ~F.col("correct"), is_digit(F.col("ch"))
+    sums = [F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("errors"), F.count_if(digit).alias("digits"), F.count_if(digit & wrong).alias("digit_errors")]
+    return labels.where(visible(F.col("ch"))).groupBy("domain", "split").agg(*sums)
+
+
+def fit_maps(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The isotonic maps of all visible characters of the fit split, and of its digits alone; either may be empty."""
+    own = labels.where(visible(F.col("ch")) & (F.col("split") == "fit")).select(F.col("conf").alias("score"), F.col("correct").alias("good"), "ch")
+    return fit_isotonic(own), fit_isotonic(own.where(is_digit(F.col("ch"))))
+
+
+def artifact(overall: DataFrame, digit: DataFrame, fitted_on: list[str]) -> str:
+    """The artifact's JSON from two maps (x, y), which have at most two points for each distinct score; without points it is the identity."""
+    points = [[{"x": r.x, "y": r.y} for r in df.orderBy("x", "y").collect()] for df in (overall, digit)]
+    signal = {"aggregation": "min", "isotonic": points[0], **({"isotonicDigit": points[1]} if points[1] else {})}
+    return json.dumps({"schema": ARTIFACT, "fittedOn": fitted_on, "signals": {SIGNAL: signal} if points[0] else {}})
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """Writes a small report or artifact as one text file in a folder, in place of what is there."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_artifact(spark: SparkSession, path: str) -> tuple[str, list[tuple[float, float]], list[tuple[float, float]]]:
+    """(mode, map, digits' map) of an artifact; on any failure, and without points, the mode is identity and both are empty."""
+    try:
+        found = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+        signal = found["signals"][SIGNAL]
+        maps = [[(float(p["x"]), float(p["y"])) for p in signal.get(k) or []] for k in ("isotonic", "isotonicDigit")]
+    except Exception:  # noqa: BLE001 - a map that can't be read must never stop reading pages
+        return "identity", [], []
+    return ("isotonic", maps[0], maps[1] or maps[0]) if maps[0] else ("identity", [], [])
+
+
+def calibrated(conf: Column, ch: Column, overall: list[tuple[float, float]], digit: list[tuple[float, float]]) -> Column:
+    """A character's calibrated confidence; without a map, the confidence itself."""
+    as_points = lambda own: F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in own])
+    return F.when(is_digit(ch), apply_isotonic(conf, as_points(digit))).otherwise(apply_isotonic(conf, as_points(overall))) if overall else conf
+
+
+def deployed(before: str | None, candidate: str, fitted: bool, held: bool, ships: bool) -> str | None:
+    """The artifact to deploy: the candidate if it ships, the identity if it was evaluated and doesn't, else what was deployed before."""
+    if not (fitted and held):
+        return before
+    return candidate if ships else json.dumps({"schema": ARTIFACT, "signals": {}})
+
+
+def reliability_report(bins: DataFrame, title: str) -> str:
+    """A Markdown table of reliability bins with a bar for the accuracy of each."""
+    rows = bins.orderBy("bin").collect()
+    lines = [f"| {r.bin} | {r.n} | {r.mean_score:.3f} | {r.mean_good:.3f} | {'#' * round(20 * r.mean_good)} |" for r in rows]
+    return "\n".join([f"# {title}", "", "| bin | n | confidence | accuracy | |", "| --- | --- | --- | --- | --- |", *lines, ""])

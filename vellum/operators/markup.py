@@ -19,11 +19,14 @@ DASHED, UNDERLINE, FENCE, QUOTE, HTML_BLOCK = re.compile(r"\|?\s*:?-+:?\s*(?:\|\
 CELL_BAR = re.compile(r"(?<!\\)\|")
 SPAN_MOST = 50
 FOLDS = str.maketrans(dict.fromkeys(t.DASHES, "-") | dict.fromkeys(t.SINGLE_QUOTES, "'") | dict.fromkeys(t.DOUBLE_QUOTES, '"'))
-#: Inline markup and what stays of it: images, links, code, strong and plain emphasis, strikes, line breaks, escapes.
+#: Escaped signs stand aside as private characters while markup is read.
+ESCAPED, ASIDE = re.compile(r"\\([!-/:-@\[-`{-~])"), 0xE100
+UNESCAPED = {ASIDE + c: chr(c) for c in range(128)}
+#: Inline markup and what stays of it: images, links, code, strong and plain emphasis, strikes, line breaks.
 INLINE = [
     (re.compile(r"!\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"<(https?://[^>\s]+)>"), r"\1"), (re.compile(r"(`+)(.+?)\1"), r"\2"),
     (re.compile(r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1"), r"\2"), (re.compile(r"(?<![\w*])\*(?=[^\s*])(.+?)(?<=[^\s*])\*(?![\w*])"), r"\1"), (re.compile(r"(?<!\w)_(?=\S)(.+?)(?<=\S)_(?!\w)"), r"\1"), (re.compile(r"~~(.+?)~~"), r"\1"),
-    (re.compile(r"<br\s*/?>", re.IGNORECASE), " "), (re.compile(r"\\([!-/:-@\[-`{-~])"), r"\1"),
+    (re.compile(r"<br\s*/?>", re.IGNORECASE), " "),
 ]
 
 
@@ -34,9 +37,10 @@ def folded(text: str) -> str:
 
 def inline_text(md: str) -> str:
     """The text of inline Markdown, folded, white space collapsed."""
+    md = ESCAPED.sub(lambda m: chr(ASIDE + ord(m[1])), md)
     for pattern, what in INLINE:
         md = pattern.sub(what, md)
-    return " ".join(folded(html.unescape(md)).split())
+    return " ".join(folded(html.unescape(md).translate(UNESCAPED)).split())
 
 
 def cells_of(line: str) -> list[str]:

@@ -140,3 +140,60 @@ def swapped_reading(markdown: Column, own: Column, other: Column) -> Column:
     before, after = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     inside = before.rlike(r"\d\z") & own.rlike(r"^\d") | after.rlike(r"^\d") & own.rlike(r"\d\z")
     return F.when((F.size(parts) == 2) & (own != "") & ~inside, F.concat(before, other, after))
+
+
+def counts_sentence(fab_numbers: Column, omit_numbers: Column, fab_words: Column, omit_words: Column) -> Column:
+    """A sentence on the flagged tokens of a page."""
+    many = lambda n, one, more: F.when(n > 1, more).otherwise(one)
+    parts = [
+        F.when(fab_numbers > 0, F.concat(fab_numbers.cast("string"), many(fab_numbers, " number in the result wasn’t found in the scan", " numbers in the result weren’t found in the scan"))),
+        F.when(omit_numbers > 0, F.concat(omit_numbers.cast("string"), many(omit_numbers, " number from the scan may be missing", " numbers from the scan may be missing"))),
+        F.when(fab_words > 0, F.concat(fab_words.cast("string"), many(fab_words, " word couldn’t be matched to the scan", " words couldn’t be matched to the scan"))),
+        F.when(omit_words > 0, F.concat(omit_words.cast("string"), many(omit_words, " word from the scan may be missing", " words from the scan may be missing"))),
+    ]
+    told = F.concat_ws("; ", *parts)
+    return F.when(told == "", "Everything matched the scan.").otherwise(F.concat(told, F.lit(".")))
+
+
+def verdict_view(verdict: Column, fell_back: Column, sentence: Column) -> Column:
+    """struct(tone, title, detail) for a page's verdict; a page that fell back to the source's reading says so first."""
+
+    def view(tone: str, title: str, detail: Column) -> Column:
+        return F.struct(F.lit(tone).alias("tone"), F.lit(title).alias("title"), detail.alias("detail"))
+
+    passed = view("ok", "Checks passed", F.lit("Every number in the result was found in the scan."))
+    kept = view("caution", "Switched to the exact transcription here", F.lit("The model's reading failed a check, so the text copied from the page was kept instead."))
+    return F.when(fell_back, kept).when(verdict == "review", view("caution", "A few things to skim", sentence)).when(verdict == "fallback", view("attention", "Worth your eyes", sentence)).otherwise(passed)
+
+
+def attention_summary(items: Column) -> Column:
+    return F.when(items <= 0, "Nothing looks out of place.").otherwise(F.concat(items.cast("string"), F.when(items == 1, " spot").otherwise(" spots"), F.lit(" flagged for a look")))
+
+
+def redrawn(found: DataFrame, regions: DataFrame) -> DataFrame:
+    """Events that add what was read in drawn regions: (page_id, seq, kind, uid, after_uid, markdown, box).
+
+    found(region_id, block_idx, markdown, box) are blocks in the crop's own coordinates; regions(region_id, page_id, x0, y0, seq, after_uid)
+    say where the crop was taken, after which event, and after which block its first one stands. Each other follows the one before.
+    """
+    w = Window.partitionBy("region_id").orderBy("block_idx")
+    uid = lambda k: F.concat(F.lit("r"), F.col("region_id").cast("string"), F.lit("-"), k.cast("string"))
+    own = found.join(regions, "region_id").withColumn("__k", F.row_number().over(w) - 1)
+    box = F.struct(*[(F.col(f"box.{c}") + F.col(c[0] + "0")).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    after = F.when(F.col("__k") == 0, F.col("after_uid")).otherwise(uid(F.col("__k") - 1))
+    return own.select("page_id", (F.col("seq") + F.col("__k")).cast("long").alias("seq"), F.lit("region-add").alias("kind"), uid(F.col("__k")).alias("uid"), after.alias("after_uid"), "markdown", box.alias("box"))
+
+
+def uncertainty_layer(pages: DataFrame, lines: DataFrame, gaps: DataFrame, blocks: DataFrame, items: DataFrame) -> DataFrame:
+    """(page_id, width, height, calibration, lines, gaps, blocks, items): one row for each page, its parts as arrays in order.
+
+    pages(page_id, width, height, calibration); lines(page_id, line_id, …), gaps(page_id, cluster, …), blocks(page_id, block_id, …) and
+    items(page_id, ord, …) with any other columns. Parts that a page lacks are empty.
+    """
+    out = pages
+    for name, df, first in (("lines", lines, "line_id"), ("gaps", gaps, "cluster"), ("blocks", blocks, "block_id"), ("items", items, "ord")):
+        rest = [c for c in df.columns if c not in ("page_id", first)]
+        own = df.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(first, *rest))).alias(name))
+        kind = own.schema[name].dataType.simpleString()
+        out = out.join(own, "page_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return out

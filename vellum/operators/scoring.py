@@ -9,9 +9,10 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.text import DASHES, DOUBLE_QUOTES, SINGLE_QUOTES
+from vellum.functions.text import DASHES, DOUBLE_QUOTES, NUMBER, SINGLE_QUOTES
 from vellum.operators.anchoring import within_one_edit
 from vellum.operators.grouped import map_groups
+from vellum.operators.markup import document_text
 
 
 FOLDS = str.maketrans(dict.fromkeys(DASHES, "-") | dict.fromkeys(SINGLE_QUOTES, "'") | dict.fromkeys(DOUBLE_QUOTES, '"'))
@@ -108,3 +109,40 @@ def score_pages(items: DataFrame) -> DataFrame:
         return [(page[0].page_id, len(found), count("paired"), false, len(own.predicted), *(count(b) for b in ("mispaired", "in_table", "in_list", "unpaired", "ocr_miss")), sum(c for *_, c in found), sum(c and x == "paired" for _, x, c in found))]
 
     return map_groups(items.where(F.col("role").isin(*ROLES)), "page_id", ["ord"], run, SCORED)
+
+
+RECALLED = "page_id long, field_found long, field_total long, number_found long, number_total long, word_found long, word_total long, n_lines long, mean_conf double"
+
+
+def recalls(items: DataFrame) -> DataFrame:
+    """How much of each page's truth its source has: a row (page_id, found and total of fields, numbers and words, n_lines, mean_conf).
+
+    items(page_id, role, ord, label, value, conf): role is line (value: its text), truth (value: Markdown) or field (label: its kind). A field
+    is found if each of its tokens is in the source within one edit; so is a number or word.
+    """
+
+    def near(token: str, pool: set[str]) -> bool:
+        return token in pool or any(within_one_edit(token, p) for p in pool)
+
+    def found(own: list[str], pool: set[str]) -> tuple[int, int]:
+        return sum(near(x, pool) for x in own), len(own)
+
+    def run(page: list) -> list[tuple]:
+        text = "\n".join(r.value or "" for r in page if r.role == "line")
+        conf = [r.conf for r in page if r.role == "line" and r.conf is not None]
+        truth = "\n".join(document_text(r.value) for r in page if r.role == "truth")
+        fields = [(r.label, r.value or "") for r in page if r.role == "field"]
+        pools = {k: set(tokens(text, k)) for k in {k for k, _ in fields}}
+        hits = sum(bool(own := tokens(v, k)) and all(near(x, pools[k]) for x in own) for k, v in fields)
+        numbers = lambda x: [n.rstrip(".,/:%-") for n in re.findall(NUMBER, x, flags=re.ASCII)]
+        words = lambda x: [w for w in re.findall("[a-z]+", x.lower()) if len(w) >= 4]
+        parts = [*found(numbers(truth), set(numbers(text))), *found(words(truth), set(words(text)))]
+        return [(page[0].page_id, hits, len(fields), *parts, sum(r.role == "line" for r in page), sum(conf) / len(conf) if conf else 0.0)]
+
+    return map_groups(items.select("page_id", "role", "ord", "label", "value", "conf"), "page_id", ["role", "ord"], run, RECALLED)
+
+
+def recall_rates(found: DataFrame) -> DataFrame:
+    """(field, number, word, mean_conf) over all pages of `recalls`: shares found, null where nothing was to find."""
+    share = lambda k: (F.sum(f"{k}_found") / F.nullif(F.sum(f"{k}_total"), F.lit(0))).alias(k)
+    return found.agg(share("field"), share("number"), share("word"), F.coalesce(F.avg("mean_conf"), F.lit(0.0)).alias("mean_conf"))

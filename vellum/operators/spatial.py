@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vellum.functions import geometry as g
+from vellum.functions import text as t
 
 PAGE = "page_id"
 #: Shares and gaps of the rules below.
@@ -98,3 +99,30 @@ def backward_asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, v
     both = left.withColumn("__left", F.lit(True)).unionByName(right.select(*keys, at, value).withColumn("__left", F.lit(False)), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(F.col(at), F.col("__left").cast("int")).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last(F.when(~F.col("__left"), F.col(value)), ignorenulls=True).over(w)).where("__left").drop("__left")
+
+
+def export_regions(regions: DataFrame, assigned: DataFrame, pages: DataFrame, pad: float, least: int) -> DataFrame:
+    """(page_id, region_id, region_key, kind, score, box, crop, skipped, n_lines): what is cut out of a page's image for reading.
+
+    regions(page_id, region_id, label, score, region_box), assigned(page_id, line_id, region_id), pages(page_id, width, height). The crop is
+    the padded box in whole pixels inside the page. Skipped are pictures without a line and crops of fewer than `least` pixels either way.
+    """
+    lines = assigned.where("region_id IS NOT NULL").groupBy(PAGE, "region_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    own = regions.join(pages, PAGE).join(lines, [PAGE, "region_id"], "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)).cast("long")).withColumn("kind", t.region_kind(F.col("label")))
+    b = F.col("region_box")
+    x0, y0 = F.greatest(F.lit(0), F.floor(b["x0"] - pad)), F.greatest(F.lit(0), F.floor(b["y0"] - pad))
+    w, h = F.greatest(F.lit(1), F.least(F.col("width"), F.ceil(b["x1"] + pad)) - x0), F.greatest(F.lit(1), F.least(F.col("height"), F.ceil(b["y1"] + pad)) - y0)
+    skipped = F.when((F.col("kind") == "imageish") & (F.col("n_lines") == 0), "imageish-no-text").when((w < least) | (h < least), "too-small")
+    crop = F.struct(*[v.cast("long").alias(n) for n, v in (("x0", x0), ("y0", y0), ("x1", x0 + w), ("y1", y0 + h))])
+    key = t.region_key(F.col("label"), b["x0"], b["y0"], b["x1"], b["y1"])
+    return own.select(PAGE, "region_id", key.alias("region_key"), "kind", (F.floor(F.col("score") * 1e4 + 0.5) / 1e4).alias("score"), b.alias("box"), F.when(skipped.isNull(), crop).alias("crop"), skipped.alias("skipped"), "n_lines")
+
+
+def cells_on_page(cells: DataFrame, regions: DataFrame) -> DataFrame:
+    """cells(page_id, region_id, cell_id, box in the region's crop) with box on the page; regions(page_id, region_id, region_box). The crop has
+    the region's size in whole pixels, one at least."""
+    b = F.col("region_box")
+    sx, sy = ((b[f"{a}1"] - b[f"{a}0"]) / F.greatest(F.lit(1.0), F.floor(b[f"{a}1"] - b[f"{a}0"] + 0.5)) for a in "xy")
+    box = F.struct(*[(b[f"{n[0]}0"] + F.col(f"box.{n}") * (sx if n[0] == "x" else sy)).alias(n) for n in ("x0", "y0", "x1", "y1")])
+    kept = [c for c in cells.columns if c != "box"]
+    return cells.join(regions, [PAGE, "region_id"]).select(*kept, box.alias("box"))

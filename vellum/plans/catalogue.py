@@ -14,7 +14,7 @@ from vellum.functions import geometry as g
 from vellum.functions import stats as st
 from vellum.functions import text as t
 from vellum.operators import audit, calibration, evaluation, pairing, review, spatial
-from vellum.plans import kernel_queries
+from vellum.plans import kernel_queries, page_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -190,7 +190,11 @@ def confidence_bands(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(t.confidence_band(F.col("l_discount") * 10).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("region_keys")
+#: 32-bit FNV-1a of a region's label and rounded box, character by character.
+KEY_SQL = "lower(lpad(printf('%x', list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)), 8, '0'))"
+
+
+@query("region_keys", "WITH l AS (SELECT p_partkey // 40 AS page_id, p_partkey AS line_id, 'text@' || concat_ws(',', (p_partkey * 37) % 900, (p_partkey * 53) % 1500, (p_partkey * 37) % 900 + 60 + p_partkey % 200, (p_partkey * 53) % 1500 + 12 + p_partkey % 9) AS s FROM part) SELECT page_id, line_id, " + KEY_SQL.format(text="s") + " AS region_key FROM l")
 def region_keys(spark, sf_dir):
     return boxes(spark, sf_dir).select("page_id", "line_id", t.region_key(F.lit("text"), *[F.col(f"box.{c}") for c in ("x0", "y0", "x1", "y1")]).alias("region_key"))
 
@@ -531,9 +535,18 @@ def budget_area(spark, sf_dir):
     return calibration.budget_area(calibration.review_budget(scored(spark, sf_dir))).select(r6(F.col("auc")).alias("auc"))
 
 
-@query("isotonic_fit")
+#: Each score's isotonic value without folding: of the blocks that begin at or before it, the greatest of their least means over ends from it on.
+ISOTONIC_SQL = f"""WITH {SCORED_SQL}, p AS (SELECT score, sum(good::INT)::DOUBLE AS y, count(*)::DOUBLE AS w, row_number() OVER (ORDER BY score) AS i FROM scored GROUP BY score), c AS (SELECT *, sum(y) OVER (ORDER BY i) AS cy, sum(w) OVER (ORDER BY i) AS cw FROM p),
+    m AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / (b.cw - a.cw + a.w) AS mean FROM c a JOIN c b ON a.i <= b.i), t AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM m),
+    v AS (SELECT b AS i, round(max(low), 9) AS y FROM t GROUP BY 1), g AS (SELECT v.y AS y, min(score) AS x0, max(score) AS x1 FROM v JOIN c ON v.i = c.i GROUP BY 1)
+    SELECT round(y, 6) AS y, round(x0, 6) AS x0, round(x1, 6) AS x1 FROM g"""
+
+
+@query("isotonic_fit", ISOTONIC_SQL)
 def isotonic_fit(spark, sf_dir):
-    return calibration.fit_isotonic(scored(spark, sf_dir)).select(r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+    """The map's levels, each with the scores that it spans."""
+    points = calibration.fit_isotonic(scored(spark, sf_dir)).groupBy(F.round("y", 9).alias("y")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    return points.select(r6(F.col("y")).alias("y"), r6(F.col("x0")).alias("x0"), r6(F.col("x1")).alias("x1"))
 
 
 @query("isotonic_apply", "SELECT CAST(p_size AS BIGINT) AS p_size, round(max(CASE WHEN p_size <= 10 THEN 0.1 WHEN p_size < 30 THEN 0.1 + 0.5 * (p_size - 10) / 20.0 WHEN p_size < 40 THEN 0.6 + 0.3 * (p_size - 30) / 10.0 ELSE 0.9 END::DOUBLE), 6) AS y FROM part GROUP BY 1")
@@ -553,11 +566,11 @@ def bootstrap_interval(spark, sf_dir):
     return calibration.bootstrap_mean(groups, draws).select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"))
 
 
-@query("ship_gate", "SELECT CAST(p_size AS BIGINT) AS p_size, (CASE WHEN p_size * 5 < 100 THEN 1 ELSE 0 END + CASE WHEN p_size / 50.0 < 0.65 THEN 1 ELSE 0 END + CASE WHEN p_size / 60.0 <= 0.5 THEN 1 ELSE 0 END + CASE WHEN p_size / 500.0 > 0.05 THEN 1 ELSE 0 END + CASE WHEN p_size / 500.0 > 0.04 + 1e-9 THEN 1 ELSE 0 END + CASE WHEN p_size / 50.0 < 0.5 THEN 1 ELSE 0 END)::BIGINT AS n_reasons FROM (SELECT DISTINCT p_size FROM part) x")
+@query("ship_gate", "SELECT CAST(p_size AS BIGINT) AS p_size, concat_ws(', ', CASE WHEN p_size * 5 < 100 THEN 'few errors' END, CASE WHEN p_size / 50.0 < 0.65 THEN 'low auroc' END, CASE WHEN p_size / 60.0 <= 0.5 THEN 'low interval' END, CASE WHEN p_size / 500.0 > 0.05 THEN 'high error of calibration' END, CASE WHEN p_size / 500.0 > 0.04 + 1e-9 THEN 'calibration does not help' END, CASE WHEN p_size / 50.0 < 0.5 THEN 'transfer collapsed' END) AS reasons, p_size * 5 >= 100 AND p_size / 50.0 >= 0.65 AND p_size / 60.0 > 0.5 AND p_size / 500.0 <= 0.04 + 1e-9 AS ship FROM (SELECT DISTINCT p_size FROM part) x")
 def ship_gate(spark, sf_dir):
     p = F.col("p_size")
     m = table(spark, sf_dir, "part").select("p_size").distinct().select("p_size", (p * 5).alias("n_errors"), (p / 50.0).alias("auroc"), (p / 60.0).alias("ci_low"), F.lit(0.04).alias("ece_raw"), (p / 500.0).alias("ece_cal"), (p / 50.0).alias("transfer"))
-    return calibration.gate(m).select(long(p).alias("p_size"), long(F.size("reasons")).alias("n_reasons"))
+    return calibration.gate(m).select(long(p).alias("p_size"), F.array_join("reasons", ", ").alias("reasons"), "ship")
 
 
 # ---- evaluation ----
@@ -600,10 +613,16 @@ def neutral_pairs(spark, sf_dir):
     return evaluation.neutral_pairs(c.select("c_custkey", md.alias("md"))).select("c_custkey", "label", "value")
 
 
-@query("label_matches", "SELECT s_suppkey, CAST(length(s_name) > 0 AS BOOLEAN) AS same, false AS other FROM supplier")
+LABELS_SQL = r"""WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, lower(a.p_name) AS x, lower(b.p_name) AS y FROM part a JOIN part b ON a.p_partkey // 30 = b.p_partkey // 30), s AS (SELECT *, list_filter(list_transform(string_split_regex(x, '\s+'), lambda w: regexp_replace(w, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')), lambda w: w <> '') AS u,
+      list_filter(list_transform(string_split_regex(y || 's', '\s+'), lambda w: regexp_replace(w, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')), lambda w: w <> '') AS v FROM p)
+    SELECT a, b, len(u) > 0 AND len(u) = len(v) AND len(list_filter(list_zip(u, v), lambda z: CASE WHEN least(length(z[1]), length(z[2])) <= 2 THEN z[1] <> z[2] ELSE levenshtein(z[1], z[2]) > 1 END)) = 0 AS same FROM s"""
+
+
+@query("label_matches", LABELS_SQL)
 def label_matches(spark, sf_dir):
-    s = F.col("s_name")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", evaluation.labels_match(s, F.concat(F.upper(s), F.lit(" :"))).alias("same"), evaluation.labels_match(s, F.concat(s, F.lit(" more"))).alias("other"))
+    """Part names against those of their neighbours with a letter more."""
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"), F.floor(F.col("p_partkey") / 30).alias("k"))
+    return own.join(own.select(F.col("a").alias("b"), F.col("x").alias("y"), "k"), "k").select("a", "b", evaluation.labels_match(F.col("x"), F.concat(F.upper("y"), F.lit("S :"))).alias("same"))
 
 
 # ---- review ----
@@ -705,4 +724,6 @@ def gfm_tables(spark, sf_dir):
     return table(spark, sf_dir, "region").join(rows, F.col("r_regionkey") == F.col("n_regionkey"), "left").select("r_regionkey", review.grid_to_gfm(cells).alias("gfm"))
 
 
-QUERIES.update(kernel_queries.QUERIES)
+for more in (kernel_queries, page_queries):
+    QUERIES.update(more.QUERIES)
+    ORACLE_SQL.update(more.ORACLE_SQL)

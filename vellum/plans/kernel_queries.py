@@ -1,4 +1,4 @@
-"""Queries of the sequential kernels, which SQL can't tell; tests compare them with plain versions."""
+"""Queries of the sequential kernels, with SQL where their input lets SQL tell the result; tests compare the others with plain versions."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from vellum.operators import alignment, anchoring, assembly, document, layout, markup, pairing, scoring
 
 QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
 
 
 def query(f):
@@ -16,6 +17,14 @@ def query(f):
     return f
 
 
+def with_sql(sql: str):
+    def add(f):
+        ORACLE_SQL[f.__name__] = sql
+        return query(f)
+
+    return add
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,10 +49,24 @@ def reading_order(spark, sf_dir):
     return layout.reading_order(own)
 
 
-@query
+#: One region after the other, best score first; each is kept unless one of those kept before it hides it.
+DEDUPE_SQL = """WITH RECURSIVE w AS (SELECT o_custkey AS page_id, l_orderkey * 10 + l_linenumber AS region_id, CASE (l_orderkey * 10 + l_linenumber) % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'text' WHEN 2 THEN 'footnote' WHEN 3 THEN 'image' ELSE 'header_image' END AS label, 1.0 - l_discount AS score,
+      ((l_linenumber % 4) * 280 + l_orderkey % 40)::DOUBLE AS x0, (l_linenumber // 4 * 30 + (l_orderkey * l_linenumber) % 5 + 150)::DOUBLE AS y0 FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+    b AS (SELECT *, x0 + 150 + 40 * (region_id % 3) AS x1, y0 + 24 + 8 * (region_id % 4) AS y1, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, region_id) AS k FROM w WHERE score >= 0.5),
+    r AS (SELECT page_id, 0::BIGINT AS k, []::STRUCT(id BIGINT, label VARCHAR, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[] AS kept FROM (SELECT DISTINCT page_id FROM b) p
+      UNION ALL SELECT r.page_id, b.k, CASE WHEN len(list_filter(list_transform(kept, lambda q: {'q': q, 'i': greatest(0, least(q.x1, b.x1) - greatest(q.x0, b.x0)) * greatest(0, least(q.y1, b.y1) - greatest(q.y0, b.y0)), 'a': (b.x1 - b.x0) * (b.y1 - b.y0), 'u': (q.x1 - q.x0) * (q.y1 - q.y0) + (b.x1 - b.x0) * (b.y1 - b.y0)}),
+        lambda t: (t.q.label = b.label AND t.i / (t.u - t.i) > 0.6) OR (t.q.label IN ('table', 'image') AND b.label IN ('text', 'footnote') AND t.i / t.a > 0.8) OR (t.i / (t.u - t.i) > 0.7 AND t.q.label NOT IN ('image', 'header_image') AND b.label NOT IN ('image', 'header_image')))) = 0
+        THEN list_append(kept, {'id': b.region_id, 'label': b.label, 'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1}) ELSE kept END FROM r JOIN b ON b.page_id = r.page_id AND b.k = r.k + 1),
+    l AS (SELECT page_id, arg_max(kept, k) AS kept FROM r GROUP BY 1) SELECT page_id, CAST(unnest(list_transform(kept, lambda q: q.id)) AS BIGINT) AS region_id FROM l"""
+
+
+@with_sql(DEDUPE_SQL)
 def dedupe_regions(spark, sf_dir):
-    label = F.when(F.col("ord") % 3 == 0, "table").otherwise("text")
-    return layout.dedupe_regions(words(spark, sf_dir).select("page_id", F.col("ord").alias("region_id"), label.alias("label"), F.col("conf").alias("score"), "x0", "y0", (F.col("x1") + 60).alias("x1"), (F.col("y1") + 10).alias("y1")))
+    """Regions of five labels that overlap on orders' pages."""
+    k = F.col("ord")
+    label = F.when(k % 5 == 0, "table").when(k % 5 == 1, "text").when(k % 5 == 2, "footnote").when(k % 5 == 3, "image").otherwise("header_image")
+    own = words(spark, sf_dir).select("page_id", k.alias("region_id"), label.alias("label"), F.col("conf").alias("score"), "x0", "y0", (F.col("x0") + 150 + 40 * (k % 3)).alias("x1"), (F.col("y0") + 24 + 8 * (k % 4)).alias("y1"))
+    return layout.dedupe_regions(own)
 
 
 @query
@@ -78,7 +101,10 @@ def markdown_blocks(spark, sf_dir):
     return own.select("conv_id", "turn", "place", "b.kind", "b.depth", "b.text", F.size("b.cells").alias("n_rows"))
 
 
-@query
+@with_sql(
+    """SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY r) - 1 AS INTEGER) AS row, cells FROM (SELECT DISTINCT n_regionkey, '' AS r, 'Nations Name|Nations Key' AS cells FROM nation
+    UNION ALL SELECT n_regionkey, '<tr><td>' || n_name || '</td><td>' || CAST(n_nationkey AS VARCHAR), n_name || '|' || CAST(n_nationkey AS VARCHAR) FROM nation) x"""
+)
 def html_table_grids(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     rows = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<tr><td>"), F.col("n_name"), F.lit("</td><td>"), F.col("n_nationkey").cast("string"), F.lit("</td></tr>")))), "")
@@ -86,15 +112,22 @@ def html_table_grids(spark, sf_dir):
     return pages.select("n_regionkey", F.posexplode(markup.html_grid_udf()(F.col("html"))).alias("row", "cells")).select("n_regionkey", "row", F.array_join("cells", "|").alias("cells"))
 
 
-@query
+@with_sql("SELECT n_nationkey, unnest([0, 1])::INTEGER AS row, unnest([n_name || '|', CAST(n_nationkey AS VARCHAR) || '||x y']) AS cells FROM nation")
 def cell_dialect_grids(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("<fcel>"), F.col("n_name"), F.lit("<ecel><nl><fcel>"), F.col("n_nationkey").cast("string"), F.lit("<fcel>x<nl>")).alias("s"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("<fcel>"), F.col("n_name"), F.lit("<ecel><nl><fcel>"), F.col("n_nationkey").cast("string"), F.lit("<lcel>more<fcel> x \n y<nl>")).alias("s"))
     return n.select("n_nationkey", F.posexplode(markup.cell_dialect_grid(F.col("s"))).alias("row", "cells")).select("n_nationkey", "row", F.array_join("cells", "|").alias("cells"))
 
 
-@query
+@with_sql(
+    """WITH d AS (SELECT doc_id, text || repeat(' again ' || CAST(doc_id % 10 AS VARCHAR), CAST(doc_id % 7 AS INTEGER)) AS s FROM documents), u AS (SELECT doc_id, s, list_min(list_filter(range(8, least(120, length(s) // 4) + 1), lambda k: right(s, 4 * k) = repeat(right(s, k), 4))) AS k FROM d),
+    n AS (SELECT *, CASE WHEN k IS NULL THEN 0 ELSE coalesce(list_min(list_filter(range(4, least(1000, length(s) // k)), lambda c: right(s, (c + 1) * k) <> repeat(right(s, k), c + 1))), least(1000, length(s) // k)) END AS reps FROM u)
+    SELECT doc_id, CAST(CASE WHEN s IS NULL THEN NULL WHEN reps = 0 THEN length(s) ELSE length(regexp_replace(left(s, length(s) - k * (reps - 1)), '\\s+$', '')) END AS INTEGER) AS n_left, reps > 0 AS repetition FROM n"""
+)
 def repeats_cut(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(markup.without_repeats_udf()(F.col("text"))).alias("n_left"))
+    """Documents with a tail that repeats up to six times."""
+    tail = F.expr("repeat(concat(' again ', cast(doc_id % 10 as string)), cast(doc_id % 7 as int))")
+    cut = table(spark, sf_dir, "documents").select("doc_id", markup.without_repeats_udf()(F.concat("text", tail)).alias("r"))
+    return cut.select("doc_id", F.length("r.text").alias("n_left"), "r.repetition")
 
 
 @query
@@ -103,7 +136,11 @@ def assembled_blocks(spark, sf_dir):
     return assembly.assemble_pages(layout.line_segments(words(spark, sf_dir)).withColumn("page_width", F.lit(1275.0)))
 
 
-@query
+@with_sql(
+    """WITH k AS (SELECT c_custkey AS page_id, c_custkey % 3 = 0 AS swapped, c_custkey % 5 = 0 AS other FROM customer)
+    SELECT page_id, 2::BIGINT AS gt_pairs, CASE WHEN swapped THEN 0 WHEN other THEN 1 ELSE 2 END::BIGINT AS tp, CASE WHEN swapped THEN 2 WHEN other THEN 1 ELSE 0 END::BIGINT AS fp, 2::BIGINT AS emitted, CASE WHEN swapped THEN 2 WHEN other THEN 1 ELSE 0 END::BIGINT AS mispaired,
+    0::BIGINT AS in_table, 0::BIGINT AS in_list, 0::BIGINT AS unpaired, 0::BIGINT AS ocr_miss, 1::BIGINT AS critical_total, CASE WHEN swapped THEN 0 ELSE 1 END::BIGINT AS critical_found FROM k"""
+)
 def pair_outcomes(spark, sf_dir):
     """Customers as pages of two true pairs; every third prediction has its values exchanged, every fifth lacks one."""
     c = table(spark, sf_dir, "customer")
