@@ -92,6 +92,49 @@ def test_license_templates_find_themselves_and_noise(spark):
     assert licenses.scan_licenses(documents(spark, ["Released under the MIT License"]), {}).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("x Licensed under the MIT License. y", ["MIT (phrase)"]), ("// SPDX-License-Identifier: MIT\ncode", ["MIT (tag)"]), ("SPDX-License-Identifier: GPL-3.0-or-later", ["GPL-3.0-or-later (tag)"]),
+        (licenses.TEMPLATES["BSD-3-Clause"], ["BSD-3-Clause"]), (licenses.TEMPLATES["BSD-2-Clause"].lower(), ["BSD-2-Clause"]), ("the license is under the table, permission was not granted", []),
+        ("one " + licenses.TEMPLATES["ISC"] + " between them some words stand " + licenses.TEMPLATES["ISC"], ["ISC", "ISC"]),
+    ],
+)
+def test_licenses_by_name(text, want):
+    assert [r[0] for r in licenses.Scanner(licenses.TEMPLATES).scan(text)] == want
+
+
+def test_parts_of_a_license_are_reported_with_their_coverage():
+    words = licenses.TEMPLATES["MIT"].split()
+    (found,) = licenses.Scanner(licenses.TEMPLATES).scan("some words before " + " ".join(words[: int(len(words) * 0.6)]) + " and others behind it")
+    assert found[0] == "MIT" and 0.58 < found[3] < 0.62
+
+
+def brute_alignment(a, b):
+    """The most matches on a best local alignment of two lists, over the whole matrix."""
+    best, before = (0, 0), [(0, 0)] * (len(b) + 1)
+    for x in a:
+        row = [(0, 0)]
+        for j, y in enumerate(b, 1):
+            hit = x == y
+            options = [(before[j - 1][0] + (licenses.MATCH if hit else licenses.MISMATCH), before[j - 1][1] + hit), (row[j - 1][0] + licenses.GAP, row[j - 1][1]), (before[j][0] + licenses.GAP, before[j][1]), (0, 0)]
+            row.append(max(options, key=lambda o: o[0]))
+        best = max(best, *row)
+        before = row
+    return best[1]
+
+
+def test_banded_alignment_equals_the_whole_matrix():
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    for _ in range(30):
+        edited = [w for w in base for w in ([w] if rng.random() < 0.9 else rng.choice([[], [w, "added"], ["other"]]))]
+        text = ["before", "it", *edited, "after", "it"]
+        own = licenses.Scanner({"T": " ".join(base)})
+        found = own.scan(" ".join(text))
+        assert found and abs(found[0][1] - brute_alignment(base, text)) <= 1
+
+
 # op3
 
 
