@@ -49,6 +49,17 @@ def materialize(df: DataFrame, replaces: tuple[DataFrame, ...] = ()) -> DataFram
     return made
 
 
+#: Rows of a batch that goes to a Python worker: texts are long, and a batch lies in the executor and in the worker at once.
+ARROW_ROWS = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of Arrow batches in this session, unless it has a lower bound already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut to few rows, so that a worker holds few texts as Python objects at a time."""
     for batch in batches:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import in_slices, table
+from vellum.llm.common import in_slices, small_batches, table
 from vellum.llm.names import GIVEN_NAMES
 
 WINDOW = 8
@@ -30,8 +30,8 @@ WINDOW = 8
 LITERALS = 3
 #: An item is found where consistent runs cover so many of its tokens, or 80 % of a shorter item. Items with fewer than 4 tokens say nothing.
 ENOUGH, SHARE, LEAST = 13, 0.8, 4
-#: Items of one index.
-BLOCK_ITEMS = 5000
+#: Characters of the items of one index, which takes about ten bytes for each in a worker: a pass over the documents serves as many.
+BLOCK_CHARS = 5_000_000
 #: Entries and characters of a worker's memory of words.
 MEMORY, MEMORY_CHARS = 150_000, 4_000_000
 
@@ -252,14 +252,16 @@ def literal_spans(same: np.ndarray, size: int) -> list[tuple[int, int]]:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's rows in blocks of BLOCK_ITEMS; the driver holds one block at a time."""
+    """The benchmark's rows in blocks of about BLOCK_CHARS characters; the driver holds one block at a time."""
     block: list[tuple[int, str]] = []
+    held = 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         if r["text"]:
             block.append((r["item_id"], r["text"]))
-        if len(block) >= BLOCK_ITEMS:
+            held += len(r["text"])
+        if held >= BLOCK_CHARS:
             yield block
-            block = []
+            block, held = [], 0
     if block:
         yield block
 
@@ -276,6 +278,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows; a null id stays null. Empty tables give no rows. Other columns aren't read.
     """
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(spark)
     out = spark.createDataFrame([], FOUND)
     for block in blocks(benchmark):
         shipped = spark.sparkContext.broadcast(Index(block))
@@ -296,7 +299,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, in which no item of the benchmark is found."""
+    """The rows of docs, all columns, in which no item of the benchmark is found. Null and empty texts stay, repeated rows stay or go alike,
+    ids aren't used; an empty benchmark leaves docs as they are."""
+    small_batches(docs.sparkSession)
     schema = docs.schema
     at = docs.columns.index("text")
     for block in blocks(benchmark):
@@ -312,6 +317,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contaminated for all documents and the whole benchmark: a row for each document and item found in it."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

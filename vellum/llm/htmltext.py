@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import in_slices, table
+from vellum.llm.common import in_slices, small_batches, table
 
 NAME = re.compile(r"[a-z][a-z0-9:-]*", re.IGNORECASE)
 STOP = re.compile(r"=\s*[\"']|[<>]")
@@ -351,6 +351,7 @@ def extract(pages: DataFrame, tree: tuple | None = None) -> DataFrame:
     A null, empty or unmarked-up html without main text gives an empty text. Ids and addresses may be null, and repeated rows give a row
     each. Cut-off markup ends with the page. An empty table gives none; other columns aren't read.
     """
+    small_batches(pages.sparkSession)
     tree = tree or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,4 +363,5 @@ def extract(pages: DataFrame, tree: tuple | None = None) -> DataFrame:
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract of all pages: a row for each."""
     return extract(table(spark, sf_dir, "pages"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import in_slices, table
+from vellum.llm.common import in_slices, small_batches, table
 
 #: Fit: about so many rows of each language, so many characters of each row, so many bytes of each dictionary. Nothing else is bounded.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 2000, 1 << 16
@@ -94,6 +94,7 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], prefix: str = "")
     language in lang_pred and is rejected. All rows of docs stay, repeated ones too, with all columns (own columns of these names are
     replaced). A null id is classified like any other. Without a model every text is `und`.
     """
+    small_batches(docs.sparkSession)
     learned = tuple(model)
     names = [prefix + n for n in ("lang_pred", "margin", "rejected")]
     docs = docs.drop(*names)

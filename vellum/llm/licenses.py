@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import in_slices, table
+from vellum.llm.common import in_slices, small_batches, table
 
 GRAM, WINNOW = 3, 2
 #: Report a template where so large a share of its words is matched; the second holds for templates of fewer than SHORT words.
@@ -240,6 +240,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     Case and what is neither letter nor digit don't count. Null and empty texts have no places; rows may repeat and ids be null. An empty
     table or no template gives no rows; other columns aren't read. Templates of fewer than 3 words are never found.
     """
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,4 +254,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_licenses of all documents for all templates: a row for each place."""
     return scan_licenses(table(spark, sf_dir, "documents"))

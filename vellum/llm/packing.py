@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import gapless_rank, in_slices, materialize, table
+from vellum.llm.common import gapless_rank, in_slices, materialize, small_batches, table
 
 CAPACITY = 1024
 END = 2
@@ -101,6 +101,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     """
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(definition)
     last = struct.pack("<I", end)
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import components, hot_join, in_slices, materialize, sized, table
+from vellum.llm.common import components, hot_join, in_slices, materialize, sized, small_batches, table
 
 RADIUS = 3
 BLOCKS = ((0, 22), (22, 43), (43, 64))
@@ -78,6 +78,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
         for batch in in_slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -212,6 +213,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             more = [pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(sketch, least)), pa.binary()), bands]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], ["doc_id", "own", "size", "sketch", "bands"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text").mapInArrow(run, "doc_id long, own long, size long, sketch binary, bands array<long>")
 
 
@@ -376,10 +378,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, see deduplicate for nulls, ties, repeated rows and empty tables."""
     return deduplicate(docs)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of all documents on three-word shingles: a row for each."""
     found = near_duplicates(table(spark, sf_dir, "documents"), 3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import in_slices, table
+from vellum.llm.common import in_slices, small_batches, table
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
@@ -101,6 +101,7 @@ def token_counts(docs: DataFrame, pieces: tuple[tuple[str, float], ...]) -> Data
     Null and empty texts have 0 tokens and score 0. Ids may be null and rows may repeat; an empty table gives none; other columns aren't
     read. The score is the sum of the words' best scores.
     """
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,4 +114,5 @@ def token_counts(docs: DataFrame, pieces: tuple[tuple[str, float], ...]) -> Data
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_counts of all documents: a row for each."""
     return token_counts(table(spark, sf_dir, "documents"), piece_scores(public_tokenizers.path(VOCABULARY)))
