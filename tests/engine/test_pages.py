@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import text as t
-from vellum.operators import alignment, audit, calibration, lookups, markup, review, scoring
+from vellum.operators import alignment, audit, calibration, images, lookups, markup, review, scoring, tensors
 
 
 @pytest.mark.parametrize(
@@ -99,3 +100,66 @@ def test_uncertainty_layer_of_an_empty_page(spark):
     none = spark.createDataFrame([], "page_id long, line_id long, min double")
     out = review.uncertainty_layer(pages, none, none.withColumnRenamed("line_id", "cluster"), none.withColumnRenamed("line_id", "block_id"), none.withColumnRenamed("line_id", "ord")).first()
     assert out.lines == out.gaps == out.blocks == out["items"] == []
+
+
+def picture(h, w):
+    rng = np.random.default_rng(h * w)
+    out = rng.integers(0, 256, (h, w, 4), dtype=np.uint8)
+    out[..., 3] = 255
+    return out
+
+
+def test_image_operations():
+    image = picture(6, 8)
+    assert (images.resized(image, 8, 6) == image).all() and images.resized(image, 16, 12).shape == (12, 16, 4)
+    half = images.resized(image, 4, 3)
+    assert half[1, 2].tolist() == np.rint(image[2:4, 4:6].astype(float).mean(axis=(0, 1))).astype(int).tolist()
+    assert (images.warped(image, [(0, 0), (8, 0), (8, 6), (0, 6)], 8, 6) == image).all()
+    assert images.warped(image, [(-9, -9), (-5, -9), (-5, -6), (-9, -6)], 4, 3)[0, 0].tolist() == [0, 0, 0, 255]
+    assert (images.turned(image)[0] == image[:, -1]).all() and images.turned(image).shape == (8, 6, 4)
+    p = images.planes(image, (0.5, 0.4, 0.3), (0.2, 0.2, 0.2), bgr=True)
+    assert p.shape == (3, 6, 8) and abs(p[0, 2, 3] - (image[2, 3, 2] / 255 - 0.5) / 0.2) < 1e-5
+    crop, box = images.cropped(image, (-1.5, 1.2, 3.1, 99))
+    assert box == (0, 1, 4, 6) and (crop == image[1:6, 0:4]).all()
+
+
+def test_prepared_crops(spark):
+    clear = picture(60, 60)
+    clear[0, 0] = (10, 20, 30, 0)
+    out, changed = images.prepared(clear)
+    assert changed and out[0, 0].tolist() == [255, 255, 255, 255] and images.prepared(picture(60, 60))[1] is False
+    assert images.prepared(picture(20, 30))[0].shape == (120, 180, 4) and images.prepared(picture(60, 6000))[0].shape == (120, 6000, 4)
+    small = picture(20, 30)
+    rows = spark.createDataFrame([(1, 30, 20, bytearray(small.tobytes()))], "crop_id long, width int, height int, pixels binary")
+    (row,) = images.prepared_crops(rows).collect()
+    assert (row.width, row.height, row.changed) == (180, 120, True) and bytes(row.pixels) == images.prepared(small)[0].tobytes()
+
+
+def test_connected_parts_equal_a_flood_fill():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        on = rng.random((14, 17)) < 0.35
+        left, want = {(int(a), int(b)) for a, b in zip(*np.nonzero(on), strict=True)}, set()
+        while left:
+            todo, part = [left.pop()], set()
+            while todo:
+                a, b = todo.pop()
+                part.add((a, b))
+                near = {(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            want.add(frozenset(part))
+        assert {frozenset(zip(y.tolist(), x.tolist(), strict=True)) for y, x in tensors.parts(on)} == want
+
+
+def test_page_regions(spark):
+    rows = spark.createDataFrame([(1, 100.0, 200.0, [[3.0, -3.0], [-3.0, 2.0], [-9.0, -9.0]], [[0.5, 0.5, 0.2, 0.2], [0.1, 0.1, 0.4, 0.1], [0.5, 0.5, 1.0, 1.0]], [[0.0, -5.0, 0.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])], "page_id long, width double, height double, logits array<array<double>>, boxes array<array<double>>, order_logits array<array<double>>")
+    got = [(r.region_id, r.label, round(r.x0, 6), round(r.y1, 6)) for r in tensors.page_regions(rows, ["text", "table"]).orderBy("region_id").collect()]
+    assert got == [(0, "table", 0.0, 30.0), (1, "text", 40.0, 120.0)]
+
+
+def test_reset_sessions(spark):
+    events = spark.createDataFrame([(1, 1, "text-edit"), (1, 2, "reset"), (1, 3, "dismiss"), (1, 4, "text-edit")], "page_id long, seq long, kind string")
+    sessions = spark.createDataFrame([(1, "h", 1)], "page_id long, base_hash string, undone int")
+    hashes = spark.createDataFrame([(1, "h")], "page_id long, hash string")
+    assert [r.seq for r in review.session_events(events, sessions, hashes).collect()] == [3]

@@ -80,3 +80,14 @@ def leave_one_family_out(df: DataFrame) -> DataFrame:
     by = summed(df, ["family"])
     rest = by.select("family", *[(F.sum(c).over(Window.partitionBy()) - F.col(c)).alias(c) for c in COUNTS])
     return with_rates(rest)
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """(page_id, role, ord, label, value): the pairs that blocks(page_id, block_id, kind, text, label, value, cells) bind, as roles of
+    scoring.score_pages: label lines are predicted, leads of list items are leads, rows of two filled cells of two-column tables are rows."""
+    full = lambda *cs: F.forall(F.array(*cs), lambda c: t.trimmed(F.coalesce(c, F.lit(""))) != "")
+    pairs = blocks.where((F.col("kind") == "kv") & full("label", "value")).select("page_id", F.lit("predicted").alias("role"), F.col("block_id").cast("long").alias("ord"), "label", "value")
+    leads = blocks.where((F.col("kind") == "listItem") & full("label", "text")).select("page_id", F.lit("leads").alias("role"), F.col("block_id").cast("long").alias("ord"), "label", F.col("text").alias("value"))
+    rows = blocks.where(F.col("kind") == "table").select("page_id", F.col("block_id").cast("long").alias("ord"), F.explode("cells").alias("r"))
+    rows = rows.where((F.size("r") == 2) & full(F.get("r", F.lit(0)), F.get("r", F.lit(1)))).select("page_id", F.lit("rows").alias("role"), "ord", F.get("r", F.lit(0)).alias("label"), F.get("r", F.lit(1)).alias("value"))
+    return pairs.unionByName(leads).unionByName(rows)

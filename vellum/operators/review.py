@@ -114,10 +114,15 @@ def annotations(items: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def session_events(events: DataFrame, sessions: DataFrame, hashes: DataFrame) -> DataFrame:
-    """The events that still hold: those of pages whose blocks have the hash that the session began with, without what was undone.
+    """The events that still hold: those of pages whose blocks have the hash that the session began with, after the last reset, without
+    what was undone.
 
-    sessions(page_id, base_hash, undone: how many last events are taken back); hashes(page_id, hash) of the blocks as they are now.
+    sessions(page_id, base_hash, undone: how many last events are taken back); hashes(page_id, hash) of the blocks as they are now. A reset
+    is an event of kind reset, where events have kinds; a page's threshold isn't part of its log and outlives a reset.
     """
+    if "kind" in events.columns:
+        since = events.where("kind = 'reset'").groupBy("page_id").agg(F.max("seq").alias("__since"))
+        events = events.join(since, "page_id", "left").where(F.col("__since").isNull() | (F.col("seq") > F.col("__since"))).drop("__since")
     live = sessions.join(hashes, "page_id").where(F.col("base_hash") == F.col("hash")).select("page_id", "undone")
     w = Window.partitionBy("page_id").orderBy(F.desc("seq"))
     own = events.join(live, "page_id").withColumn("__back", F.row_number().over(w))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
 from itertools import pairwise
 from math import atan2, cos, hypot, sin
 
 import numpy as np
+from pyspark.sql import DataFrame
+
+from vellum.operators.grouped import map_groups
 
 #: Thresholds of the text mask and how far its boxes are let out.
 MASK, MASK_SCORE, LET_OUT, LEAST_SIDE = 0.3, 0.6, 1.5, 3
@@ -93,34 +95,91 @@ def least_rectangle(points: np.ndarray) -> tuple[float, float, float, float, flo
     return tuple(map(float, best[1]))
 
 
+def parts(on: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, columns) of each connected part (eight neighbours) of a mask, in order of their first pixels.
+
+    Runs of pixels are joined with the runs they touch in the row above, so the work is in proportion to the runs.
+    """
+    edges = np.diff(np.pad(on.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edges == 1)
+    end = np.nonzero(edges == -1)[1]
+    up = list(range(len(row)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    first = np.searchsorted(row, np.arange(on.shape[0] + 1))
+    for r in range(1, on.shape[0]):
+        above, own = first[r - 1], first[r]
+        for i in range(first[r], first[r + 1]):
+            while above < own and end[above] < start[i]:
+                above += 1
+            k = above
+            while k < own and start[k] <= end[i]:
+                x, y = sorted((root(k), root(i)))
+                up[y] = x
+                k += 1
+    groups: dict[int, list[int]] = {}
+    for i in range(len(row)):
+        groups.setdefault(root(i), []).append(i)
+    return [(np.concatenate([np.full(end[i] - start[i], row[i]) for i in g]), np.concatenate([np.arange(start[i], end[i]) for i in g])) for g in groups.values()]
+
+
 def text_boxes(mask: np.ndarray) -> list[tuple[float, tuple[float, float, float, float, float]]]:
-    """(mean score, rectangle) of the mask's connected parts (eight neighbours), let out in proportion to area by outline."""
-    on = mask > MASK
-    seen = np.zeros_like(on)
+    """(mean score, rectangle) of the mask's connected parts, let out in proportion to area by outline."""
     out = []
-    for y, x in zip(*np.nonzero(on), strict=True):
-        if seen[y, x]:
-            continue
-        part, todo = [], deque([(y, x)])
-        seen[y, x] = True
-        while todo:
-            a, b = todo.popleft()
-            part.append((b, a))
-            for c in range(max(0, a - 1), min(on.shape[0], a + 2)):
-                for d in range(max(0, b - 1), min(on.shape[1], b + 2)):
-                    if on[c, d] and not seen[c, d]:
-                        seen[c, d] = True
-                        todo.append((c, d))
-        points = np.array(part, dtype=float)
-        if len(points) < 3 or len(hull(points)) < 3:
+    for y, x in parts(mask > MASK):
+        points = np.stack([x, y], axis=1).astype(float)
+        # a row's first and last pixel are enough for the hull
+        order = np.lexsort((x, y))
+        ends = np.flatnonzero(np.r_[True, np.diff(y[order]) != 0, True])
+        rim = points[order[np.r_[ends[:-1], ends[1:] - 1]]]
+        if len(points) < 3 or len(hull(rim)) < 3:
             continue
-        cx, cy, w, h, angle = least_rectangle(points)
-        score = float(mask[points[:, 1].astype(int), points[:, 0].astype(int)].mean())
+        cx, cy, w, h, angle = least_rectangle(rim)
+        score = float(mask[y, x].mean())
         if score >= MASK_SCORE and min(w, h) >= LEAST_SIDE:
             grow = 2 * w * h * LET_OUT / (2 * (w + h))
             out.append((score, (cx, cy, w + grow, h + grow, angle)))
     return out
 
 
+def mask_boxes(masks: DataFrame) -> DataFrame:
+    """(page_id, box_id, score, cx, cy, width, height, angle) of masks(page_id, rows, columns, scores array<float>, row by row)."""
+
+    def run(rows: list) -> list[tuple]:
+        return [(r.page_id, i, s, *box) for r in rows for i, (s, box) in enumerate(text_boxes(np.array(r.scores, dtype=float).reshape(r.rows, r.columns)))]
+
+    return map_groups(masks.select("page_id", "rows", "columns", "scores"), "page_id", [], run, "page_id long, box_id long, score double, cx double, cy double, width double, height double, angle double")
+
+
+def page_regions(outputs: DataFrame, labels: list[str]) -> DataFrame:
+    """(page_id, region_id, label, score, x0, y0, x1, y1) in reading order, from outputs(page_id, width, height, logits, boxes, order_logits):
+    queries x classes, queries x 4 in center form, and queries x queries."""
+
+    def run(rows: list) -> list[tuple]:
+        out = []
+        for r in rows:
+            logits = np.array([list(x) for x in r.logits], dtype=float).reshape(-1, len(labels))
+            boxes, order = (np.array([list(x) for x in c], dtype=float).reshape(len(logits), -1) for c in (r.boxes, r.order_logits))
+            out += [(r.page_id, i, label, score, *box) for i, (label, score, box) in enumerate(layout_regions(logits, boxes, labels, later_votes(order), (r.width, r.height)))]
+        return out
+
+    return map_groups(outputs, "page_id", [], run, "page_id long, region_id long, label string, score double, x0 double, y0 double, x1 double, y1 double")
+
+
+def table_structures(sequences: DataFrame) -> DataFrame:
+    """(region_id, cell_id, row, col, row_span, col_span, in_head, x0, y0, x1, y1) of sequences(region_id, tokens, boxes): structure tokens, and
+    a box (four numbers) for each cell in their order; cells beyond the boxes have none."""
+
+    def run(rows: list) -> list[tuple]:
+        return [(r.region_id, i, c["row"], c["col"], c["row_span"], c["col_span"], c["in_head"], *(c["box"] if c["box"] is not None else [None] * 4)) for r in rows for i, c in enumerate(table_cells(list(r.tokens), [tuple(map(float, b)) for b in r.boxes]))]
+
+    return map_groups(sequences, "region_id", [], run, "region_id long, cell_id long, row int, col int, row_span int, col_span int, in_head boolean, x0 double, y0 double, x1 double, y1 double")
+
+
 def side_lengths(quad: np.ndarray) -> list[float]:
     return [hypot(*(b - a)) for a, b in pairwise([*quad, quad[0]])]

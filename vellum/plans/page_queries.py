@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry as g
 from vellum.functions import text as t
-from vellum.operators import audit, calibration, lookups, readings, review, scoring, spatial
+from vellum.operators import audit, calibration, evaluation, lookups, readings, review, scoring, spatial, tensors
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -161,6 +161,53 @@ def verdict_views(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", view["tone"].alias("tone"), view["detail"].alias("detail"), review.attention_summary(d).alias("attention"), audit.summary(a, b, c, d, verdict).alias("summary"))
 
 
+@query(
+    """SELECT c_custkey AS page_id, 'predicted' AS role, 0::BIGINT AS ord, 'Name' AS label, c_name AS value FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'leads', 1, 'Segment', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'rows', 2, 'Key', CAST(c_custkey AS VARCHAR) FROM customer"""
+)
+def block_pairs(spark, sf_dir):
+    """Pairs of label lines (every second one empty), a list item and a table with a row of three cells, one with an empty cell and a full one."""
+    name, key = F.col("c_name"), F.col("c_custkey")
+    none = F.lit(None).cast("string")
+
+    def block(i, kind, text, label, value, cells=None):
+        grid = F.array(*[F.array(*r) for r in cells]) if cells else F.lit(None).cast("array<array<string>>")
+        return F.struct(F.lit(i).alias("block_id"), F.lit(kind).alias("kind"), text.alias("text"), label.alias("label"), value.alias("value"), grid.alias("cells"))
+
+    cells = [[F.lit("a"), F.lit("b"), F.lit("c")], [F.lit("x"), F.lit(" ")], [F.lit("Key"), key.cast("string")]]
+    made = F.array(block(0, "kv", none, F.lit("Name"), F.when(key % 2 == 0, name).otherwise("")), block(1, "listItem", F.col("c_mktsegment"), F.lit("Segment"), none), block(2, "table", none, none, none, cells), block(3, "paragraph", name, none, none))
+    rows = table(spark, sf_dir, "customer").select(key.alias("page_id"), F.explode(made).alias("b")).select("page_id", "b.*")
+    return evaluation.block_pairs(rows)
+
+
+# ---- tensors ----
+
+
+@query(
+    """WITH k AS (SELECT s_suppkey AS region_id, s_suppkey % 3 + 1 AS n FROM supplier) SELECT region_id, 0::BIGINT AS cell_id, 0 AS row, 0 AS col, 1 AS row_span, CAST(n AS INTEGER) AS col_span, true AS in_head, 1.0::DOUBLE AS x0 FROM k
+    UNION ALL SELECT region_id, i + 1, 1, CAST(i AS INTEGER), 1, 1, false, CASE WHEN i = 0 THEN 2.0::DOUBLE END FROM k, range(3) t(i) WHERE i < n"""
+)
+def table_structures(spark, sf_dir):
+    """A spanning head over one to three cells, with boxes for the first two."""
+    n = (F.col("s_suppkey") % 3 + 1).cast("int")
+    head = F.array(F.lit("<thead>"), F.lit("<tr>"), F.lit("<td"), F.concat(F.lit(' colspan="'), n.cast("string"), F.lit('"')), F.lit(">"), F.lit("</td>"), F.lit("</tr>"), F.lit("</thead>"), F.lit("<tr>"))
+    tokens = F.concat(head, F.array_repeat(F.lit("<td></td>"), n), F.array(F.lit("</tr>")))
+    boxes = F.array(*[F.array(*[F.lit(float(x)) for x in b]) for b in ((1, 0, 9, 5), (2, 5, 4, 9))])
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("region_id"), tokens.alias("tokens"), boxes.alias("boxes"))
+    return tensors.table_structures(own).select("region_id", "cell_id", "row", "col", "row_span", "col_span", "in_head", "x0")
+
+
+@query("SELECT s_suppkey AS page_id, i AS box_id, 0.9::DOUBLE AS score, round(4.5 + 20 * i, 6) AS cx, 7.0::DOUBLE AS cy FROM supplier, range(2) t(i) WHERE i <= s_suppkey % 2")
+def mask_boxes(spark, sf_dir):
+    """One or two bars on a mask."""
+    k, at = F.col("s_suppkey"), F.sequence(F.lit(0), F.lit(15 * 40 - 1))
+    x = lambda i: i % 40
+    y = lambda i: F.floor(i / 40)
+    bar = lambda i, left: (x(i) >= left) & (x(i) <= left + 7) & (y(i) >= 5) & (y(i) <= 9)
+    scores = F.transform(at, lambda i: F.when(bar(i, 1) | (bar(i, 21) & (k % 2 == 1)), 0.9).otherwise(0.0))
+    found = tensors.mask_boxes(table(spark, sf_dir, "supplier").select(k.alias("page_id"), F.lit(15).alias("rows"), F.lit(40).alias("columns"), scores.alias("scores")))
+    return found.select("page_id", "box_id", F.round("score", 6).alias("score"), F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+
+
 # ---- export ----
 
 
