@@ -56,6 +56,23 @@ def test_neighbours_match_brute_force_where_all_leaves_are_searched(spark):
         assert [r for r, _, _ in found] == list(range(1, 21))
 
 
+def test_neighbours_of_many_equal_vectors(spark):
+    """Ties go to the smaller ids, however many vectors are equal, and copies of an id count once."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(30, 8)), 40, axis=0)[rng.permutation(1200)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = {}
+    for q in range(0, 1200, 20):
+        scores = [(-sum(a * b for a, b in zip(x[q], x[i], strict=True)), i) for i in range(1200) if i != q]
+        want[q] = [i for _, i in sorted(scores)[:20]]
+    for more in ([], [rows[3], rows[40]]):
+        df = spark.createDataFrame(rows + more, "vec_id long, embedding array<double>")
+        got = defaultdict(list)
+        for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        assert got == want
+
+
 def test_neighbours_recall_and_few_rows(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 16))

@@ -29,7 +29,9 @@ SAMPLE, SAMPLE_BYTES, PROBES, RECALL = 16_384, 1 << 26, 200, 0.95
 #: So many trees; at least MIN_LEAVES leaves in each, more for tables of more than LEAF_ROWS x MIN_LEAVES rows, as far as the sample carries.
 TREES, MIN_LEAVES, LEAF_ROWS = 8, 64, 4096
 #: Rows of a chunk: about a CHUNKS-th of the table, in these bounds of rows and bytes of vectors as doubles; queries of one task.
-CHUNKS, CHUNK_ROWS, CHUNK_BYTES, SALT = 64, 2048, 1 << 25, 1 << 16
+CHUNKS, CHUNK_ROWS, CHUNK_BYTES, SALT = 16, 256, 1 << 25, 1 << 16
+#: So many more candidates than wanted are scored exactly; where that doesn't settle the order of nearly equal ones, all of these are.
+MARGIN = 8
 
 
 class Tree(NamedTuple):
@@ -189,6 +191,38 @@ class Chunk:
             order = order[np.sort(np.unique(self.ids[candidates[order]], return_index=True)[1])]
         return self.ids[candidates[order[:k]]], exact[order[:k]]
 
+    def batch(self, queries: np.ndarray, q: np.ndarray, searched: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, ids, scores) of each query with vector q and searched leaves (queries x leaves)."""
+        scores = q @ self.vectors.T
+        if self.repeats:
+            return [(query, *self.nearest(int(query), v, s, own, k)) for query, v, s, own in zip(queries, q, scores, searched, strict=True)]
+        candidate = np.zeros(scores.shape, dtype=bool)
+        for t in range(self.leaves.shape[1]):
+            candidate |= searched[:, self.leaves[:, t]]
+        at = np.minimum(np.searchsorted(self.ids, queries), len(self.ids) - 1)
+        own = np.flatnonzero(self.ids[at] == queries)
+        candidate[own, at[own]] = False
+        near = np.where(candidate, scores, -np.inf)
+        m = min(k + MARGIN, len(self.ids))
+        best = np.argpartition(-near, m - 1, axis=1)[:, :m]
+        rough, exact = np.take_along_axis(near, best, axis=1), np.zeros(best.shape)
+        for d in range(q.shape[1]):
+            exact += q[:, d : d + 1] * self.vectors[best, d]
+        exact[rough == -np.inf] = -np.inf
+        order = np.lexsort((self.ids[best], -exact), axis=1)[:, :k]
+        ids, found = np.take_along_axis(self.ids[best], order, axis=1), np.take_along_axis(exact, order, axis=1)
+        # what was left out is no nearer than the roughest one taken; close to the last one kept, that settles nothing
+        slack = 1e-9 * np.abs(q).max(axis=1, initial=0) * self.largest * q.shape[1]
+        unsettled = (rough.min(axis=1) >= found[:, -1] - slack) & (found[:, -1] > -np.inf) & (m < len(self.ids))
+        out = []
+        for i, query in enumerate(queries):
+            if unsettled[i]:
+                out.append((query, *self.nearest(int(query), q[i], scores[i], searched[i], k)))
+            else:
+                n = int((found[i] > -np.inf).sum())
+                out.append((query, ids[i, :n], found[i, :n]))
+        return out
+
     def gather(self) -> None:
         ids, vectors, leaves = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order = np.argsort(ids, kind="stable")
@@ -214,13 +248,12 @@ def rerank(batches: Iterator[pa.RecordBatch], width: int, trees: int, leaves: in
             elif chunk.parts or chunk.ids is not None:
                 if chunk.ids is None:
                     chunk.gather()
-                step = max(1, (1 << 22) // len(chunk.ids))
+                step = max(1, (1 << 21) // len(chunk.ids))
                 for at in range(a, b, step):
-                    scores = x[at : min(b, at + step)] @ chunk.vectors.T
-                    for i, bits in enumerate(batch.column(6).slice(at, len(scores)).to_pylist()):
-                        searched = np.unpackbits(np.frombuffer(bits, np.uint8), count=leaves).astype(bool)
-                        ids, best = chunk.nearest(int(own_ids[at + i]), x[at + i], scores[i], searched, k)
-                        found.append((np.full(len(ids), own_ids[at + i]), ids, best))
+                    to = min(b, at + step)
+                    bits = np.frombuffer(b"".join(batch.column(6).slice(at, to - at).to_pylist()), np.uint8).reshape(to - at, -1)
+                    searched = np.unpackbits(bits, axis=1, count=leaves).astype(bool)
+                    found += [(np.full(len(ids), query), ids, best) for query, ids, best in chunk.batch(own_ids[at:to], x[at:to], searched, k)]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
