@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as t
 from vellum.operators import alignment, audit, calibration, images, lookups, markup, review, scoring, tensors
+from vellum.sources import contracts
 
 
 @pytest.mark.parametrize(
@@ -163,3 +164,35 @@ def test_reset_sessions(spark):
     sessions = spark.createDataFrame([(1, "h", 1)], "page_id long, base_hash string, undone int")
     hashes = spark.createDataFrame([(1, "h")], "page_id long, hash string")
     assert [r.seq for r in review.session_events(events, sessions, hashes).collect()] == [3]
+
+
+def test_corpus_loaders(spark, tmp_path):
+    (tmp_path / "manifest.json").write_text(json.dumps({"datasets": [{"dir": "f", "format": "funsd", "split": "fit", "limit": 1}, {"dir": "s", "format": "sroie", "split": "held-out"}, {"dir": "x", "format": "other", "split": "fit"}]}))
+    for doc in ("a", "b"):
+        (tmp_path / "f" / "annotations").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "f" / "annotations" / f"{doc}.json").write_text(json.dumps({"form": [{"words": [{"box": [0, 1, 2, 3], "text": f"w{doc}"}]}]}))
+    (tmp_path / "s" / "box").mkdir(parents=True)
+    (tmp_path / "s" / "box" / "r.txt").write_text("1,2,3,2,3,4,1,4,TOTAL, 5\n")
+    rows = sorted((r.domain, r.split, r.doc, r.text) for r in contracts.corpus(spark, f"file://{tmp_path}").collect())
+    assert rows == [("funsd", "fit", "a", "wa"), ("sroie", "held-out", "r", "TOTAL, 5")]
+    assert contracts.corpus(spark, f"file://{tmp_path}/none").count() == 0
+    (tmp_path / "p.fields.json").write_text(json.dumps({"fields": [{"name": "n", "value": "v", "normalize": "id", "page": 2}]}))
+    assert [tuple(r) for r in contracts.truth_fields(spark, f"file://{tmp_path}/p.fields.json").collect()] == [("p", 0, "n", "v", "id", 2)]
+    (tmp_path / "p.001.gt.md").write_text("# Title\n\ntext **bold**\n")
+    images = spark.createDataFrame([("/x/p.001.png",), ("/x/q.001.png",)], "path string")
+    assert [(r.id, r.truth) for r in contracts.transfer_pages(spark, images, f"file://{tmp_path}/*.gt.md").collect()] == [("medical/p.001", "Title\ntext bold")]
+
+
+def test_files_by_type_and_tags(spark, tmp_path):
+    files = spark.createDataFrame([("a.bin", 5, "application/pdf"), ("b.png", 5, "text/plain"), ("c", 5, "image/heic"), ("d.gif", 5, None), ("e.pdf", 5, "")], "path string, length long, mime string")
+    assert [(r.path, r.kind) for r in contracts.classified_files(files).orderBy("path").collect()] == [("a.bin", "pdf"), ("b.png", None), ("c", "image"), ("d.gif", "image"), ("e.pdf", "pdf")]
+    (tmp_path / "run-p1.json").write_text('{"schema": "g-regions/1", "tag": "p1", "page_id": 1, "regions": []}\n')
+    (tmp_path / "q.json").write_text('{"schema": "g-regions/1", "tag": "p2", "page_id": 1, "regions": []}\n')
+    assert contracts.named(contracts.export_pages(spark, f"file://{tmp_path}/run-p1.json")).first().tag == "p1"
+    with pytest.raises(Exception, match="has tag p2"):
+        contracts.named(contracts.export_pages(spark, f"file://{tmp_path}/q.json")).collect()
+    one = spark.createDataFrame([("g-vlm-replay/1", "p9", 1)], "schema string, tag string, page_id long").withColumn("opts", F.lit(None).cast("map<string,string>")).withColumn("regions", F.array().cast("array<struct<regionKey:string,text:string,truncated:boolean,repetitive:boolean>>"))
+    with pytest.raises(Exception, match="tags differ"):
+        contracts.joined_regions(contracts.export_pages(spark, f"file://{tmp_path}/run-p1.json"), one).collect()
+    with pytest.raises(Exception, match="only one contract has page"):
+        contracts.joined_regions(contracts.export_pages(spark, f"file://{tmp_path}/run-p1.json"), one.withColumn("page_id", F.lit(7).cast("long"))).collect()

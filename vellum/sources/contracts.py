@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vellum.operators.markup import document_text
+
 # Schema tags of the contracts, the largest file, and known kinds of files.
 EXPORT_TAG, REPLAY_TAG = "g-regions/1", "g-vlm-replay/1"
 MOST_BYTES = 500 << 20
-PDF_TYPES, IMAGE_TYPES = ("pdf",), ("png", "jpg", "jpeg", "webp", "tif", "tiff", "bmp")
+PDF_TYPES, IMAGE_TYPES = ("pdf",), ("png", "jpg", "jpeg", "webp", "bmp", "gif", "avif", "tif", "tiff")
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 LINE = f"struct<text:string,conf:double,box:{BOX}>"
-EXPORT_SCHEMA = f"schema string, page_id long, width double, height double, regions array<struct<regionKey:string,index:int,label:string,kind:string,box:{BOX},lines:array<{LINE}>>>, orphans array<{LINE}>"
-REPLAY_SCHEMA = "schema string, page_id long, opts map<string,string>, regions array<struct<regionKey:string,text:string,truncated:boolean,repetitive:boolean>>"
+EXPORT_SCHEMA = f"schema string, tag string, page_id long, width double, height double, regions array<struct<regionKey:string,index:int,label:string,kind:string,box:{BOX},lines:array<{LINE}>>>, orphans array<{LINE}>"
+REPLAY_SCHEMA = "schema string, tag string, page_id long, opts map<string,string>, regions array<struct<regionKey:string,text:string,truncated:boolean,repetitive:boolean>>"
 
 
 def tagged(df: DataFrame, tag: str) -> DataFrame:
@@ -31,23 +34,34 @@ def replay_files(spark: SparkSession, path: str) -> DataFrame:
     return tagged(spark.read.schema(REPLAY_SCHEMA).option("mode", "FAILFAST").json(path), REPLAY_TAG)
 
 
+def named(df: DataFrame) -> DataFrame:
+    """df, failing at the first row whose tag isn't the name of its file: <tag>.json, whatever stands before it after a dash or a dot. Rows
+    without a tag pass."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
+    wrong = F.raise_error(F.concat(F.lit("file "), name, F.lit(" has tag "), F.col("tag")))
+    return df.withColumn("tag", F.when(F.col("tag").isNull() | (F.col("tag") == name) | name.endswith(F.concat(F.lit("-"), F.col("tag"))) | name.endswith(F.concat(F.lit("."), F.col("tag"))), F.col("tag")).otherwise(wrong))
+
+
 def joined_regions(exports: DataFrame, replays: DataFrame) -> DataFrame:
     """(page_id, region_key, index, label, kind, box, lines, reading): each exported region with its reading. Fails where a page's keys
-    differ between the two contracts, either way, or where only one has the page."""
+    or tags differ between the two contracts, or where only one has the page."""
     keys = lambda c: F.transform(c, lambda r: r["regionKey"])
     both = exports.alias("e").join(replays.alias("r"), "page_id", "full")
     lone = F.col("e.schema").isNull() | F.col("r.schema").isNull()
+    drift = F.coalesce(F.col("e.tag") != F.col("r.tag"), F.lit(False))
     extra = F.concat(F.array_except(keys(F.col("e.regions")), keys(F.col("r.regions"))), F.array_except(keys(F.col("r.regions")), keys(F.col("e.regions"))))
-    checked = both.select("page_id", F.when(lone, F.raise_error(F.concat(F.lit("only one contract has page "), F.col("page_id").cast("string")))).when(F.size(extra) == 0, F.col("e.regions")).otherwise(F.raise_error(F.concat(F.lit("region keys differ: "), F.array_join(extra, ", ")))).alias("regions"), F.col("r.regions").alias("readings"))
+    checked = both.select("page_id", F.when(lone, F.raise_error(F.concat(F.lit("only one contract has page "), F.col("page_id").cast("string")))).when(drift, F.raise_error(F.concat(F.lit("tags differ: "), F.col("e.tag"), F.lit(", "), F.col("r.tag")))).when(F.size(extra) == 0, F.col("e.regions")).otherwise(F.raise_error(F.concat(F.lit("region keys differ: "), F.array_join(extra, ", ")))).alias("regions"), F.col("r.regions").alias("readings"))
     own = checked.select("page_id", F.explode("regions").alias("x"), "readings")
     reading = F.get(F.filter("readings", lambda r: r["regionKey"] == F.col("x.regionKey")), F.lit(0))
     return own.select("page_id", F.col("x.regionKey").alias("region_key"), "x.index", "x.label", "x.kind", "x.box", "x.lines", reading.alias("reading"))
 
 
 def classified_files(files: DataFrame) -> DataFrame:
-    """files(path, length, …) with kind pdf, image or null and reason: why a file isn't taken, null if it is."""
+    """files(path, length, …) with kind pdf, image or null and reason: why a file isn't taken, null if it is. Where files have a column mime,
+    it is believed before the ending of an image's name; a PDF is one by either."""
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    kind = F.when(ending.isin(*PDF_TYPES), "pdf").when(ending.isin(*IMAGE_TYPES), "image")
+    mime = F.lower(F.coalesce("mime", F.lit(""))) if "mime" in files.columns else F.lit("")
+    kind = F.when((mime == "application/pdf") | ending.isin(*PDF_TYPES), "pdf").when(mime.startswith("image/") | (mime == "") & ending.isin(*IMAGE_TYPES), "image")
     reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too large").when(kind.isNull(), "unknown type")
     return files.withColumn("kind", kind).withColumn("reason", reason)
 
@@ -81,6 +95,42 @@ def receipt_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.size(parts) == 9).select("doc", parts[8].alias("text"), F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1")).alias("box"))
 
 
+def truth_fields(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, ord, name, value, normalize, page) of files <doc>.fields.json {"fields": [{name, value, normalize, page}]}; a file that can't be
+    read as such gives no rows."""
+    schema = "fields array<struct<name:string,value:string,normalize:string,page:int>>"
+    own = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("doc", F.regexp_extract(F.input_file_name(), r"([^/]+)\.fields\.json$", 1))
+    return own.select("doc", F.posexplode("fields").alias("ord", "f")).select("doc", "ord", "f.name", "f.value", "f.normalize", "f.page")
+
+
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """(domain, split, doc, ord, text, box) of all datasets that <folder>/manifest.json declares as {"datasets": [{dir, format, split, domain,
+    limit}]}: forms (funsd) and receipts (sroie), of each the first `limit` documents by name. Without a manifest there are no rows."""
+    empty = "domain string, split string, doc string, ord int, text string, box struct<x0:double,y0:double,x1:double,y1:double>"
+    out = spark.createDataFrame([], empty)
+    try:
+        declared = spark.read.schema("datasets array<struct<dir:string,format:string,split:string,domain:string,limit:int>>").option("multiLine", True).json(f"{folder}/manifest.json").first()
+    except AnalysisException:
+        return out
+    for d in (declared.datasets or []) if declared else []:
+        place = f"{folder}/{d['dir']}"
+        rows = form_words(spark, f"{place}/annotations") if d["format"] == "funsd" else receipt_lines(spark, f"{place}/box").withColumn("ord", F.lit(None).cast("int")) if d["format"] == "sroie" else None
+        if rows is None:
+            continue
+        if d["limit"]:
+            rows = rows.join(rows.select("doc").distinct().orderBy("doc").limit(d["limit"]), "doc", "left_semi")
+        out = out.unionByName(rows.select(F.lit(d["domain"] or d["format"]).alias("domain"), F.lit(d["split"]).alias("split"), "doc", F.col("ord").cast("int").alias("ord"), "text", "box"))
+    return out
+
+
+def transfer_pages(spark: SparkSession, images: DataFrame, truth_path: str) -> DataFrame:
+    """(id, domain, split, path, truth): pages of images(path) named <doc>.<page>.png that have a Markdown truth, with its plain text."""
+    name = F.regexp_extract("path", r"([^/]+)\.png$", 1)
+    text = F.pandas_udf(lambda s: s.map(document_text), "string")
+    truth = truth_pages(spark, truth_path).select(F.concat_ws(".", "doc", F.lpad(F.col("page").cast("string"), 3, "0")).alias("tag"), text("md").alias("truth"))
+    return images.withColumn("tag", name).join(truth, "tag").select(F.concat(F.lit("medical/"), F.col("tag")).alias("id"), F.lit("medical").alias("domain"), F.lit("transfer").alias("split"), "path", "truth")
+
+
 def truth_pages(spark: SparkSession, path: str) -> DataFrame:
     """(doc, page, md) of files <doc>.<page>.gt.md."""
     name = F.input_file_name()
