@@ -25,7 +25,7 @@ from vellum.llm.common import in_slices, small_batches, table
 
 NAME = re.compile(r"[a-z][a-z0-9:-]*", re.IGNORECASE)
 STOP = re.compile(r"=\s*[\"']|[<>]")
-ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 #: A quoted value longer than this counts as a quote that isn't closed.
 VALUE = 8192
 #: Elements whose content isn't text of the page, block-level elements, elements of page furniture, and void elements.
