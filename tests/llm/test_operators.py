@@ -605,7 +605,11 @@ def test_deduplication_keeps_one_of_each_group(spark):
     assert simhash.deduplicate(documents(spark, [])).count() == 0
 
 
-def test_deduplication_is_jaccard_of_five_word_shingles(spark):
+@pytest.mark.parametrize(("chunk", "star"), [(simhash.CHUNK, simhash.STAR), (400, 3)])
+def test_deduplication_is_jaccard_of_five_word_shingles(spark, monkeypatch, chunk, star):
+    """Equal to all pairs, also where buckets and stars are cut into many parts."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "STAR", star)
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
     texts = [None, "", " \t", "one two", "One  two", "one two three"]

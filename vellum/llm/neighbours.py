@@ -27,7 +27,7 @@ from vellum.llm.common import materialize, sized, table
 #: Fit: at most so many rows, and so many bytes of vectors as doubles, of which so many serve as queries when the share of leaves is chosen for so much recall.
 SAMPLE, SAMPLE_BYTES, PROBES, RECALL = 16_384, 1 << 26, 200, 0.95
 #: So many trees; at least MIN_LEAVES leaves in each, more for tables of more than LEAF_ROWS x MIN_LEAVES rows, as far as the sample carries.
-TREES, MIN_LEAVES, LEAF_ROWS = 8, 64, 4096
+TREES, MIN_LEAVES, LEAF_ROWS = 8, 256, 4096
 #: Rows of a chunk: about a CHUNKS-th of the table, in these bounds of rows and bytes of vectors as doubles; queries of one task.
 CHUNKS, CHUNK_ROWS, CHUNK_BYTES, SALT = 16, 256, 1 << 25, 1 << 16
 #: So many more candidates than wanted are scored exactly; where that doesn't settle the order of nearly equal ones, all of these are.
