@@ -28,7 +28,7 @@ from vellum.llm.common import materialize, sized, table
 SAMPLE, SAMPLE_BYTES, PROBES, RECALL = 16_384, 1 << 26, 200, 0.95
 #: So many trees; at least MIN_LEAVES leaves in each, more for tables of more than LEAF_ROWS x MIN_LEAVES rows, as far as the sample carries.
 TREES, MIN_LEAVES, LEAF_ROWS = 8, 256, 4096
-#: Rows of a chunk: about a CHUNKS-th of the table, in these bounds of rows and bytes of vectors as doubles; queries of one task.
+#: Groups of leaves, about so many, each cut into chunks of at least so many rows and so many bytes of vectors as doubles; queries of one task.
 CHUNKS, CHUNK_ROWS, CHUNK_BYTES, SALT = 16, 256, 1 << 25, 1 << 16
 #: So many more candidates than wanted are scored exactly; where that doesn't settle the order of nearly equal ones, all of these are.
 MARGIN = 8
@@ -287,42 +287,42 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(at, pa.array(own.ravel()))], ["id", "vector", "query", "leaves"])
 
     indexed = materialize(rows.select("id", "vector", "query").mapInArrow(index, f"id long, vector {kind}, query boolean, leaves array<int>"))
-    # (leaf of the first tree, leaf, rows): the numbers of leaves are bounded by the sample
-    first = F.element_at("leaves", 1).alias("cell")
-    met = np.array([tuple(r) for r in indexed.select(first, F.explode("leaves").alias("leaf")).groupBy("cell", "leaf").agg(F.count(F.lit(1)).alias("n")).collect()], dtype=np.int64).reshape(-1, 3)
-    held = np.bincount(met[:, 1], weights=met[:, 2], minlength=leaves).astype(np.int64)
-    cells = forest.trees[0].leaves
-    # neighbouring small leaves of the first tree make up one chunk, a large one is cut into several
-    size = max(CHUNK_ROWS, min(max(CHUNK_ROWS, CHUNK_BYTES // (8 * width)), total // CHUNKS))
-    start, parts, chunk, load = np.zeros(cells, np.int64), np.ones(cells, np.int64), 0, 0
-    for cell, n in enumerate(held[:cells].tolist()):
-        if load and load + n > size:
-            chunk, load = chunk + 1, 0
-        start[cell], parts[cell] = chunk, max(1, -(-n // size))
-        chunk, load = (chunk + int(parts[cell]), 0) if n > size else (chunk, load + n)
-    chunks = chunk + 1
-    reached = np.zeros((leaves, chunks), dtype=bool)
-    for cell, leaf, _ in met.tolist():
-        reached[leaf, start[cell] : start[cell] + parts[cell]] = True
-    ways = spark.sparkContext.broadcast((held, np.packbits(reached, axis=1)))
+    # one row for each leaf: TREES times a number of leaves that the sample bounds
+    counts = indexed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()
+    held = np.zeros(leaves, np.int64)
+    held[[r["leaf"] for r in counts]] = [r["n"] for r in counts]
+    # neighbouring leaves of the first tree make up about CHUNKS groups; a group is cut into chunks of bounded size
+    group, rows_in = np.zeros(forest.trees[0].leaves, np.int64), [0]
+    for cell, n in enumerate(held[: len(group)].tolist()):
+        if rows_in[-1] and rows_in[-1] + n > max(CHUNK_ROWS, total // CHUNKS):
+            rows_in.append(0)
+        group[cell] = len(rows_in) - 1
+        rows_in[-1] += n
+    parts = np.maximum(1, -(-np.array(rows_in) // max(CHUNK_ROWS, CHUNK_BYTES // (8 * width))))
+    start = np.cumsum(parts) - parts
+    places = spark.createDataFrame([(i, int(k), int(start[k]), int(parts[k])) for i, k in enumerate(group)], "cell int, grp int, start int, parts int")
+    dealt = indexed.join(F.broadcast(places), F.element_at("leaves", 1) == F.col("cell"))
+    reached = np.zeros((leaves, len(parts)), dtype=bool)
+    for r in dealt.select("grp", F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.collect_set("grp").alias("groups")).collect():
+        reached[r["leaf"], r["groups"]] = True
+    ways = spark.sparkContext.broadcast((held, reached, start, parts))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, reached = ways.value
+        held, reached, start, parts = ways.value
         for batch in batches:
             bits, asked = [], []
             for own in shipped.value.search(matrix(batch.column(1), width), held, k + 1):
                 searched = np.zeros(leaves, dtype=bool)
                 searched[own] = True
                 bits.append(np.packbits(searched).tobytes())
-                asked.append(np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(reached[own], axis=0), count=chunks)))
+                asked.append(np.concatenate([np.arange(start[g], start[g] + parts[g]) for g in np.flatnonzero(reached[own].any(axis=0))] or [start[:0]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(asked, pa.list_(pa.int32()))], ["id", "vector", "searched", "chunks"])
 
     probes = materialize(indexed.where("query").select("id", "vector").dropDuplicates(["id"]).mapInArrow(probe, f"id long, vector {kind}, searched binary, chunks array<int>"))
-    # one row a chunk: bounded by the sample, or by the bytes of the table over CHUNK_BYTES
+    # one row a chunk: about CHUNKS, or the bytes of the table over CHUNK_BYTES
     asked = probes.select(F.explode("chunks").alias("chunk")).groupBy("chunk").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
     asked = sized(materialize(asked))
-    places = spark.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(start, parts, strict=True))], "cell int, start int, parts int")
-    dealt = indexed.join(F.broadcast(places), F.element_at("leaves", 1) == F.col("cell")).withColumn("chunk", (F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+    dealt = dealt.withColumn("chunk", (F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
     left = dealt.join(asked, "chunk").select("chunk", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("query"), "id", "vector", "leaves", F.lit(None).cast("binary").alias("searched"))
     asking = probes.select("id", "vector", "searched", F.explode("chunks").alias("chunk")).join(asked, "chunk")
     right = asking.select("chunk", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("query"), "id", "vector", F.lit(None).cast("array<int>").alias("leaves"), "searched")
