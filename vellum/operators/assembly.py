@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from math import floor
 from statistics import median
 from typing import NamedTuple
 
@@ -45,12 +47,9 @@ class Scales(NamedTuple):
 
 
 def most_common(values: list[float], step: float) -> float:
-    """The most frequent multiple of `step` that values round to, the first of equals."""
-    counts: dict[float, int] = {}
-    for v in values:
-        key = int(v / step + 0.5) * step
-        counts[key] = counts.get(key, 0) + 1
-    return max(counts, key=counts.__getitem__) if counts else 0.0
+    """The most frequent multiple of `step` that values round to, the smaller of equals."""
+    counts = Counter(floor(v / step + 0.5) * step for v in values)
+    return min(counts, key=lambda k: (-counts[k], k), default=0.0)
 
 
 def page_scales(boxes: list[Box], width: float) -> Scales:

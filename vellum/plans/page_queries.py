@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as g
+from vellum.functions import stats as st
 from vellum.functions import text as t
-from vellum.operators import audit, calibration, evaluation, lookups, readings, review, scoring, spatial, tensors
+from vellum.operators import audit, calibration, document, evaluation, lookups, readings, review, scoring, spatial, tensors
+from vellum.sources import contracts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -354,3 +356,118 @@ def uncertainty_layers(spark, sf_dir):
     out = review.uncertainty_layer(pages, lines, gaps, blocks, items)
     ids = F.array_join(F.transform("lines", lambda x: x["line_id"].cast("string")), ",")
     return out.select("page_id", F.size("lines").cast("long").alias("n_lines"), ids.alias("line_ids"), F.size("blocks").cast("long").alias("n_blocks"), F.size("items").cast("long").alias("n_items"), "calibration")
+
+
+# ---- column functions ----
+
+
+@query(
+    """SELECT p_partkey // 40 AS page_id, round(min(p_partkey % 90), 6)::DOUBLE AS x0, round(max(p_partkey % 90 + 30), 6)::DOUBLE AS x1, round(min((p_partkey % 50) + 10 - 6), 6)::DOUBLE AS y0, round(max((p_partkey % 50) + 10 + 6), 6)::DOUBLE AS y1 FROM part GROUP BY 1"""
+)
+def box_forms(spark, sf_dir):
+    """The box around the deflated boxes of quadrilaterals with their corners in any order."""
+    k = F.col("p_partkey")
+    x, y = (k % 90).cast("double"), (k % 50).cast("double")
+    corners = [F.array(x + 30, y), F.array(x, y + 20), F.array(x, y), F.array(x + 30, y + 20)]
+    own = table(spark, sf_dir, "part").select(F.floor(k / 40).cast("long").alias("page_id"), g.deflated(g.quad_to_box(F.array(*corners))).alias("b"))
+    return own.groupBy("page_id").agg(g.union_box(F.col("b")).alias("u")).select("page_id", *[F.round(f"u.{c}", 6).alias(c) for c in ("x0", "x1", "y0", "y1")])
+
+
+@query(
+    """SELECT p_partkey, round(greatest(0, least(30 + p_partkey % 7, 20 + p_size) - greatest(p_size / 10.0, 5)) / least(30 + p_partkey % 7 - p_size / 10.0, 15.0 + p_size), 6) AS h, CASE WHEN p_size % 2 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS v FROM part"""
+)
+def overlap_ratios(spark, sf_dir):
+    """Shared width and height by the smaller one, of boxes beside, above and around each other."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    a = g.box(s / 10, F.lit(0.0), 30 + k % 7, F.lit(10.0))
+    b = g.box(F.lit(5.0), F.when(s % 2 == 0, 10.0).otherwise(0.0), 20 + s, F.when(s % 2 == 0, 30.0).otherwise(40.0))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(g.h_overlap_ratio(a, b), 6).alias("h"), g.v_overlap_ratio(a, b).alias("v"))
+
+
+@query(
+    """WITH v AS (SELECT p_partkey // 30 AS k, p_retailprice AS x FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM v) SELECT k, max(CASE WHEN i = least(n - 1, floor(0.9 * n)) THEN x END) AS p90, max(CASE WHEN i = least(n - 1, floor(0.5 * n)) THEN x END) AS p50 FROM n GROUP BY 1"""
+)
+def nearest_ranks(spark, sf_dir):
+    own = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 30).cast("long").alias("k"), F.col("p_retailprice").alias("x"))
+    return own.groupBy("k").agg(st.nearest_rank(F.col("x"), 0.9).alias("p90"), st.nearest_rank(F.col("x"), 0.5).alias("p50"))
+
+
+@query(
+    """SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN n_name || ', x' WHEN 1 THEN n_name || ': x' WHEN 2 THEN n_name ELSE 'a- ' || n_name || ', b' END AS joined, CASE WHEN length(n_name) * 9 > 48 THEN left(repeat(n_name, 9), 47) || '…' ELSE repeat(n_name, 9) END AS short FROM nation"""
+)
+def value_joins(spark, sf_dir):
+    """Values in a row with commas between, and texts cut for display."""
+    k, n = F.col("n_nationkey") % 4, F.col("n_name")
+    parts = F.when(k == 0, F.array(n, F.lit("x"))).when(k == 1, F.array(F.concat(n, F.lit(":")), F.lit("x"))).when(k == 2, F.array(n)).otherwise(F.array(F.lit("a-"), n, F.lit("b")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", t.join_value_texts(parts).alias("joined"), t.shortened(F.repeat(n, F.lit(9))).alias("short"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 3 ELSE CASE WHEN p_size < 20 AND abs((p_size * 10 + 300) / 2.0 + 150 - 500) < 120 THEN 1 ELSE 2 END END AS depth, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN p_size > 8 WHEN 2 THEN p_size > 8 ELSE false END AS bullet,
+    round(CASE WHEN p_partkey % 3 = 0 THEN 0.25 ELSE (0.25 + 2 * (p_size / 50.0 - 0.5)) / 3 END, 6) AS blended FROM part"""
+)
+def line_forms(spark, sf_dir):
+    """Depths of headings, bullets that a gap sets off, and votes blended with their context."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    heading = F.when(k % 4 == 0, "Specimen 12").otherwise("Some heading")
+    x0 = F.lit(150.0)
+    depth = t.heading_depth(heading, x0 + 0.0, x0 + s * 10 + 300, s * 4.0, F.lit(1000.0), F.lit(10.0))
+    text = F.when(k % 5 == 0, "• item").when(k % 5 == 1, "e item").when(k % 5 == 2, "« item").when(k % 5 == 3, "word item").otherwise("e")
+    vote = F.struct(F.lit(0.25).alias("v"), (k % 3 == 0).alias("strong"))
+    return table(spark, sf_dir, "part").select("p_partkey", depth.alias("depth"), t.is_bullet(text, s / 2.0, F.lit(8.0)).alias("bullet"), F.round(t.blend_context(vote, s / 50.0 - 0.5), 6).alias("blended"))
+
+
+@query(
+    """WITH c AS (SELECT p_partkey // 10 AS page_id, p_partkey AS cell_id, CAST(p_partkey % 10 // 3 AS INTEGER) AS r, CAST(p_partkey % 3 AS INTEGER) AS c, CAST(p_size % 2 + 1 AS INTEGER) AS rs, CAST(p_size % 3 + 1 AS INTEGER) AS cs FROM part)
+    SELECT page_id, row, col, max(cell_id) AS cell_id FROM (SELECT page_id, cell_id, r + i AS row, c + j AS col FROM c, range(2) t(i), range(3) u(j) WHERE i < rs AND j < cs) x GROUP BY 1, 2, 3"""
+)
+def slot_covers(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    cells = table(spark, sf_dir, "part").select(F.floor(k / 10).cast("long").alias("page_id"), k.alias("cell_id"), F.floor(k % 10 / 3).cast("int").alias("row"), (k % 3).cast("int").alias("col"), (s % 2 + 1).cast("int").alias("row_span"), (s % 3 + 1).cast("int").alias("col_span"))
+    return spatial.slot_cover(cells).select("page_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "cell_id")
+
+
+@query(
+    """SELECT p_partkey, round(least(greatest(1, least(3, 2000.0 / greatest(p_size * 100, p_retailprice))), sqrt(25e6 / (p_size * 100 * p_retailprice))), 6) AS scale FROM part"""
+)
+def raster_scales(spark, sf_dir):
+    w, h = F.col("p_size") * 100.0, F.col("p_retailprice")
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(contracts.raster_scale(w, h), 6).alias("scale"))
+
+
+@query(
+    """SELECT o_custkey AS doc_id, string_agg(CASE WHEN o_orderkey % 3 = 0 THEN 'fixed ' || o_orderkey ELSE 'page ' || o_orderkey END, chr(10) || chr(10) ORDER BY o_orderkey) AS markdown FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1"""
+)
+def exported_documents(spark, sf_dir):
+    """Documents as Markdown, corrected pages instead of their results, after every fifth document was deleted."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    keys = [F.col("o_custkey").alias("doc_id"), k.alias("page")]
+    results = o.select(*keys, F.concat(F.lit("page "), k.cast("string"), F.lit("\n")).alias("markdown"))
+    corrections = o.where(k % 3 == 0).select(*keys, F.concat(F.lit("fixed "), k.cast("string"), F.lit("\n\n")).alias("markdown"))
+    gone = o.where(F.col("o_custkey") % 5 == 0).select(F.col("o_custkey").alias("doc_id"))
+    left = contracts.delete_document({"results": results, "corrections": corrections}, gone)
+    return contracts.exported_markdown(left["results"], left["corrections"])
+
+
+@query(
+    """SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 3 = 0 THEN 'quick' ELSE 'deep' END AS text, o_orderkey % 4 = 0 AS empty FROM orders"""
+)
+def routed_pages(spark, sf_dir):
+    """The deep reading of each page, or the quick one where the verdict is to fall back; and whether a value has nothing left to read."""
+    k = F.col("page_id")
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"))
+    verdicts = pages.withColumn("verdict", F.when(k % 3 == 0, "fallback").otherwise("pass"))
+    out = document.routed(pages.withColumn("text", F.lit("deep")), pages.withColumn("text", F.lit("quick")), verdicts)
+    return out.withColumn("empty", document.empty_value(F.when(k % 4 == 0, " -.,").otherwise("12 mm")))
+
+
+@query(
+    """WITH r AS (SELECT o_custkey AS page_id, o_orderkey AS region_id, lower(o_orderstatus) || ' ' || lower(trim(substr(o_orderpriority, 3))) AS key FROM orders), b AS (SELECT DISTINCT page_id, 'name' AS key FROM r WHERE page_id % 2 = 0)
+    SELECT DISTINCT page_id, region_id, key FROM (SELECT r.page_id, r.region_id, b.key FROM r JOIN b ON b.page_id = r.page_id UNION ALL SELECT r.page_id, r.region_id, o.key FROM r JOIN r o ON o.page_id = r.page_id AND o.region_id <> r.region_id) x"""
+)
+def page_lexicons(spark, sf_dir):
+    """For each region the labels that the rest of its page vouches for."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").alias("region_id"), F.concat_ws(" ", "o_orderstatus", F.trim(F.substring("o_orderpriority", 3, 100))).alias("text"))
+    base = o.where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("page_id"), F.lit("name").alias("key")).distinct()
+    return document.lexicon_without_self(rows, base)
