@@ -72,7 +72,7 @@ def colon_labels(spark, sf_dir):
     return own.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("labels"))
 
 
-READ_SQL = """WITH n AS (SELECT n_nationkey AS page_id, n_name FROM nation) SELECT page_id, 0::BIGINT AS region, 0::BIGINT AS block_id, 'heading' AS kind, 1 AS depth, n_name AS text, '' AS label, '' AS value, '' AS cells FROM n
+READ_SQL = """WITH n AS (SELECT CAST(n_nationkey AS BIGINT) AS page_id, n_name FROM nation) SELECT page_id, 0::BIGINT AS region, 0::BIGINT AS block_id, 'heading' AS kind, 1 AS depth, n_name AS text, '' AS label, '' AS value, '' AS cells FROM n
     UNION ALL SELECT page_id, 1, 0, 'paragraph', 0, 'Rows of the nation', '', '', '' FROM n UNION ALL SELECT page_id, 1, 1, 'table', 0, '', '', '', 'Key|' || CAST(page_id AS VARCHAR) || '/Name|' || n_name FROM n
     UNION ALL SELECT page_id, 2, 0, 'heading', 3, 'Part', '', '', '' FROM n UNION ALL SELECT page_id, 2, 1, 'kv', 0, '', 'Name', n_name, '' FROM n UNION ALL SELECT page_id, 2, 2, 'listItem', 0, 'one - two', '', '', '' FROM n UNION ALL SELECT page_id, 2, 3, 'rule', 0, '', '', '', '' FROM n"""
 
@@ -198,7 +198,7 @@ def table_structures(spark, sf_dir):
     return tensors.table_structures(own).select("region_id", "cell_id", "row", "col", "row_span", "col_span", "in_head", "x0")
 
 
-@query("SELECT s_suppkey AS page_id, i AS box_id, 0.9::DOUBLE AS score, round(4.5 + 20 * i, 6) AS cx, 7.0::DOUBLE AS cy FROM supplier, range(2) t(i) WHERE i <= s_suppkey % 2")
+@query("SELECT s_suppkey AS page_id, i AS box_id, 0.9::DOUBLE AS score, round(4.5 + 20 * i, 6)::DOUBLE AS cx, 7.0::DOUBLE AS cy FROM supplier, range(2) t(i) WHERE i <= s_suppkey % 2")
 def mask_boxes(spark, sf_dir):
     """One or two bars on a mask."""
     k, at = F.col("s_suppkey"), F.sequence(F.lit(0), F.lit(15 * 40 - 1))
