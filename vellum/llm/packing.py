@@ -29,7 +29,7 @@ CAPACITY = 1024
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Entries of a worker's memory of space-delimited words; it starts anew when full.
-MEMORY = 150_000
+MEMORY = 300_000
 #: Longer words aren't remembered.
 LONGEST = 64
 
