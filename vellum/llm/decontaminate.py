@@ -33,7 +33,7 @@ ENOUGH, SHARE, LEAST = 13, 0.8, 4
 #: Characters of the items of one index, which takes about ten bytes for each in a worker: a pass over the documents serves as many.
 BLOCK_CHARS = 5_000_000
 #: Entries and characters of a worker's memory of words.
-MEMORY, MEMORY_CHARS = 150_000, 4_000_000
+MEMORY, MEMORY_CHARS = 200_000, 4_000_000
 
 #: Units, as they stand after a number.
 UNITS = set(
