@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vellum.functions import geometry as g
 from vellum.functions import stats as st
@@ -165,6 +166,23 @@ def test_replay_equals_list_insertion(spark):
     assert {p: [(r.uid, r.markdown) for r in got if r.page_id == p] for p in want} == want
 
 
+def test_groups_stay_whole_where_both_sides_are_dealt_already(spark):
+    """Corrections of many pages: the side of the blocks is small and regrouped to fewer partitions than the log's."""
+    own = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        log = spark.range(20_000).select((F.col("id") % 50).alias("page_id"), F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, "block-remove").otherwise("text-edit").alias("kind"), F.lit("a").alias("uid"), F.lit(None).cast("string").alias("after_uid"), F.sha2(F.col("id").cast("string"), 512).alias("markdown"))
+        log = log.withColumn("markdown", F.concat("markdown", F.count(F.lit(1)).over(Window.partitionBy("page_id")).cast("string")))
+        blocks = log.select("page_id").distinct().select("page_id", F.lit("a").alias("uid"), F.lit(0).alias("place"), F.lit("A").alias("markdown"))
+        # even pages remove their one block, odd ones edit it
+        got = review.replay(blocks, log).collect()
+    finally:
+        for k in own:
+            spark.conf.unset(k)
+    assert sorted(r.page_id for r in got) == list(range(1, 50, 2)) and all(r.markdown != "A" for r in got)
+
+
 def test_suppression_by_label_and_kind():
     box = (0.0, 0.0, 100.0, 100.0)
     inner = (10.0, 10.0, 60.0, 60.0)

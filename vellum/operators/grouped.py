@@ -9,13 +9,15 @@ from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def map_groups(df: DataFrame, key: str, order: list[str], function: Callable[[list], list[tuple]], schema: str) -> DataFrame:
     """function(rows of one key, in order) gives the result's rows for that key.
 
     Rows are dealt and sorted by key once and stream by; only one key's rows are held at a time, and there is no call between the JVM and
-    Python for each group. Rows are named tuples.
+    Python for each group. Rows are named tuples. They are dealt by a hash of the key: where df is dealt by the key itself, as joins,
+    windows and unions of such tables leave it, Spark drops a second deal by it and may then still regroup each side on its own.
     """
     names = df.columns
     at = names.index(key)
@@ -37,4 +39,4 @@ def map_groups(df: DataFrame, key: str, order: list[str], function: Callable[[li
         if held:
             yield pd.DataFrame(function(held), columns=columns)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
