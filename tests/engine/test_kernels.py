@@ -264,6 +264,14 @@ def test_review_items_of_readings(spark):
     assert [r.text for r in readings.anchored_pages(read, lines, "flag", "blocks").orderBy("region").collect()] == ["Total 15 of 20", "20"]
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_readings_of_one_region_are_taken_in_one_order(spark, turn):
+    """12 is an edit from both 1 and 123, 1234 from 123 alone: what happens to 12 doesn't hang on how the rows lie."""
+    read = spark.createDataFrame([(1, 0, "text", x) for x in ("12", "1234")][::turn], "page_id long, region long, kind string, reading string").coalesce(1)
+    lines = spark.createDataFrame([(1, 0, 0, x) for x in ("1", "123")][::turn], "page_id long, region long, ord long, text string").coalesce(1)
+    assert sorted((r.kind, r.token) for r in readings.anchored_pages(read, lines).collect()) == [("ambiguous", "12"), ("replaced", "1234")]
+
+
 def test_markup():
     md = "# T\n\npara one\nstill one\n\n- a\n  - b\n\n| x | y |\n| --- | --- |\n| 1 | 2 |\n\n---"
     assert [(b[0], b[1]) for b in markup.parse_blocks(md)] == [("heading", 1), ("paragraph", 0), ("listItem", 0), ("listItem", 1), ("table", 0), ("rule", 0)]
