@@ -642,6 +642,38 @@ def test_deduplication_is_jaccard_of_five_word_shingles(spark, monkeypatch, chun
     assert sorted(r.doc_id for r in kept) == sorted({find(i) for i in range(len(texts))})
 
 
+def test_deduplication_has_candidates_from_ball_hashing(spark):
+    """Without band keys, near copies are found whose fingerprints ball hashing connects, and no other texts."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    texts = [None, "", "Some words", "some  words"]
+    for _ in range(10):
+        base = rng.sample(words, 400)
+        texts += [" ".join(base), *(" ".join(w if i != at else "changed" for i, w in enumerate(base)) for at in (0, 200, 399)), " ".join(base[200:] + rng.sample(words, 200))]
+    # seven words over and over decide each bit, and the few others the set: equal fingerprints, other sets
+    line = " ".join(rng.sample(words, 7))
+    texts += [" ".join([line] * 300 + rng.sample(words, 30)) for _ in range(3)]
+    sets = [set(simhash.shingle_hashes(x, simhash.SHINGLE).tolist()) for x in texts]
+    fps = [simhash.fingerprint(x, simhash.SHINGLE) & (1 << 64) - 1 for x in texts]
+    ball = brute_components(list(range(len(texts))), fps)
+    rows = simhash.materialize(simhash.signatures(documents(spark, texts)))
+    own = simhash.materialize(simhash.with_balls(rows.select("own", F.col("doc_id").alias("rep"), "fp", "size", "sketch", F.array().cast("array<long>").alias("bands"))))
+    key = {r.rep: r.bands for r in own.collect()}
+    assert all((key[i] == key[j]) == (ball[i] == ball[j]) and len(key[i]) == 1 for i, j in itertools.combinations(range(len(texts)), 2))
+    at = {r.own: r.rep for r in own.collect()}
+    got = {tuple(sorted((at[r.a], at[r.b]))) for r in simhash.similar_links(own, documents(spark, texts)).collect()}
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if ball[i] == ball[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+
+    def groups(pairs):
+        group = list(range(len(texts)))
+        for i, j in [*pairs] * len(texts):
+            group[i] = group[j] = min(group[i], group[j])
+        return group
+
+    assert got <= want and groups(got) == groups(want) and len(want) > 10
+    assert len({ball[i] for i in range(54, 57)}) < 3 and not any(i >= 54 for pair in want for i in pair)
+
+
 # op10
 
 

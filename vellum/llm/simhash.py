@@ -155,11 +155,16 @@ def links(fps: DataFrame) -> DataFrame:
     return ball_variants(fps).repartition("variant").sortWithinPartitions("variant").mapInArrow(bucket_links, "a long, b long").distinct()
 
 
+def balls(fps: DataFrame) -> DataFrame:
+    """(fp, low, n, root) of rows (doc_id, fp): each distinct fingerprint's smallest doc_id and number of rows, and the smallest fingerprint in
+    its component."""
+    own = fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    return materialize(own.join(components(links(own.select("fp"))), own.fp == F.col("node"), "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")))
+
+
 def linked(fps: DataFrame) -> DataFrame:
     """(fp, n, component_id) of rows (doc_id, fp): how many rows each distinct fingerprint has, and the smallest doc_id in its component."""
-    own = fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    rooted = own.join(components(links(own.select("fp"))), own.fp == F.col("node"), "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted)
+    rooted = balls(fps)
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("m"))
     return hot_join(rooted, least, "root", "m", rooted.count()).select("fp", "n", "component_id")
 
@@ -202,19 +207,29 @@ def sketch(least: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, own, size, sketch, bands): a hash of the text, how many distinct shingles it has, and their sketch and band keys."""
+    """(doc_id, own, fp, size, sketch, bands): a hash of the text, its fingerprint, how many distinct shingles it has, and their sketch and band
+    keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in batch.column(2).to_pylist()]
+            every = [shingle_hashes(t, SHINGLE) for t in batch.column(2).to_pylist()]
+            sets = [np.unique(h) for h in every]
             least = [minima(h) for h in sets]
             flat = pa.array(np.concatenate([band_keys(x) for x in least]).view("<i8") if sets else [], pa.int64())
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.int32()), flat)
-            more = [pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(sketch, least)), pa.binary()), bands]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], ["doc_id", "own", "size", "sketch", "bands"])
+            more = [pa.array(list(map(majority, every)), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(sketch, least)), pa.binary()), bands]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], ["doc_id", "own", "fp", "size", "sketch", "bands"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text").mapInArrow(run, "doc_id long, own long, size long, sketch binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text").mapInArrow(run, "doc_id long, own long, fp long, size long, sketch binary, bands array<long>")
+
+
+def with_balls(own: DataFrame) -> DataFrame:
+    """own(own, rep, fp, size, sketch, bands), a materialized table, with one more key in bands instead of fp: that of the texts whose
+    fingerprints ball hashing connects."""
+    found = balls(own.select(F.col("rep").alias("doc_id"), "fp")).select("fp", "n", "root")
+    keyed = hot_join(own, found, "fp", "n", own.count())
+    return keyed.select("own", "rep", "size", "sketch", F.concat("bands", F.array(F.xxhash64("root", F.lit("ball")))).alias("bands"))
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -354,13 +369,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, all columns: the one with the smallest doc_id.
 
     Near copies share 0.8 of the union of their five-word shingles or more; groups are the connected components of these pairs. Candidates
-    are texts with an equal band key, and every link is verified on the real sets (similar_links). Null and empty texts are copies of each
+    are texts whose SimHash fingerprints ball hashing connects, and for pairs that differ in more than RADIUS bits texts with an equal band
+    key; every link is verified on the real sets (similar_links). Null and empty texts are copies of each
     other, and so are repeated rows; a null id counts as the smallest. An empty table stays empty. Columns whose names begin with __vellum_
     are reserved.
     """
     rows = materialize(signatures(docs))
-    first = [F.first(c).alias(c) for c in ("size", "sketch", "bands")]
-    own = materialize(rows.groupBy("own").agg(F.min(F.struct("doc_id")).alias("k"), *first).select("own", F.col("k.doc_id").alias("rep"), "size", "sketch", "bands"))
+    first = [F.first(c).alias(c) for c in ("fp", "size", "sketch", "bands")]
+    own = materialize(rows.groupBy("own").agg(F.min(F.struct("doc_id")).alias("k"), *first).select("own", F.col("k.doc_id").alias("rep"), "fp", "size", "sketch", "bands"))
+    own = materialize(with_balls(own), replaces=(own,))
     edges = similar_links(own, docs)
     group = own.join(components(edges), F.col("own") == F.col("node"), "left").withColumn("group", F.coalesce("root", "own"))
     keep = group.groupBy("group").agg(F.min(F.struct("rep", "own")).alias("k")).select(F.col("k.rep").alias("kept"), F.col("k.own").alias("its"))
