@@ -8,9 +8,12 @@ import itertools
 import random
 import re
 import struct
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -674,6 +677,30 @@ def test_deduplication_has_candidates_from_ball_hashing(spark):
     assert len({ball[i] for i in range(54, 57)}) < 3 and not any(i >= 54 for pair in want for i in pair)
 
 
+def test_workers_give_back_what_batches_took():
+    """In a process of its own: eight batches of 17 MB leave less than 70 MB behind (they left 94 when allocators kept theirs; 43 now)."""
+    code = """
+import re
+import pyarrow as pa
+from vellum.llm.common import in_slices
+
+def anon():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+
+def made():
+    for _ in range(8):
+        yield pa.RecordBatch.from_arrays([pa.array(["x" * 4096 + str(k) for k in range(4096)])], ["t"])
+
+before = anon()
+for b in in_slices(made()):
+    b.column(0).to_pylist()
+del b
+print(anon() - before)
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout) < 70
+
+
 # op10
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -60,11 +61,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_ROWS))
 
 
+def give_back() -> None:
+    """Returns to the system what this process's allocators hold and don't use."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches cut to few rows, so that a worker holds few texts as Python objects at a time."""
+    """Batches cut to few rows, so that a worker holds few texts as Python objects at a time; what a batch took is given back after it, as
+    workers are kept between tasks."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        give_back()
 
 
 #: Rows of a table of few narrow columns that may be broadcast, some 30 MB in memory.
