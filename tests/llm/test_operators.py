@@ -677,6 +677,32 @@ def test_deduplication_has_candidates_from_ball_hashing(spark):
     assert len({ball[i] for i in range(54, 57)}) < 3 and not any(i >= 54 for pair in want for i in pair)
 
 
+def test_memory_of_words_keeps_what_comes_again(monkeypatch):
+    """When it is full, words that texts have again stay in it, and what it says is that of an empty one."""
+    monkeypatch.setattr(decontaminate, "MEMORY", 100)
+    missed = []
+
+    class Noted(decontaminate.Words):
+        def __missing__(self, word):
+            missed.append(word)
+            return super().__missing__(word)
+
+    own, often = Noted(), ["The", "cat", "5", "kg.", "can't-do", "Mary", "...", "end.)"]
+    for i in range(40):
+        words = [*often, *(f"{'Xq'[k % 2]}{i * 30 + k}{'z.'[k % 2]}" for k in range(30))]
+        assert all(np.array_equal(a, b) for a, b in zip(own.of(words), decontaminate.Words().of(words), strict=True))
+        assert len(own) < 140 and own.chars == sum(map(len, own))
+    assert all(missed.count(w) == 1 for w in often)
+
+
+def test_windows_of_all_sizes_are_those_of_each():
+    token = np.random.default_rng(2).integers(0, 1 << 63, 40).astype(np.uint64)
+    for n in (0, 1, 3, 7, 8, 40):
+        got = decontaminate.windows_of(token[:n], {3, 4, 8})
+        assert all(np.array_equal(got[k], decontaminate.window_hashes(token[:n], k)) for k in (3, 4, 8)) and len(got) == 3
+    assert decontaminate.windows_of(token, set()) == {}
+
+
 def test_workers_give_back_what_batches_took():
     """In a process of its own: eight batches of 17 MB leave less than 70 MB behind (they left 94 when allocators kept theirs; 43 now)."""
     code = """

@@ -60,10 +60,28 @@ class Words(dict):
         super().__init__()
         self.start, self.count, self.value, self.flags = array("q"), array("q"), array("Q"), array("B")
         self.chars = 0
+        self.again = np.zeros(1 << 16, bool)
 
     def __missing__(self, word: str) -> int:
         bare = word.strip(AROUND)
-        tokens = (bare,) if bare.isalpha() else TOKEN.findall(word)
+        if bare.isalpha():  # one token, as most words are: what follows says the same of it
+            low = bare.lower()
+            flags = MEANING.get(low, 0)
+            if bare[0].isupper() and not bare.isupper():
+                flags |= CAP
+            else:
+                flags &= ~GIVEN
+            if bare != word and word.rstrip(CLOSING)[-1:] in ENDS:
+                flags |= STOP
+            code = len(self.start)
+            self.start.append(len(self.value))
+            self.count.append(1)
+            self.value.append(hashed(low.encode("utf-8", "replace")))
+            self.flags.append(flags)
+            self[word] = code
+            self.chars += len(word)
+            return code
+        tokens = TOKEN.findall(word)
         self.start.append(len(self.value))
         self.count.append(len(tokens))
         for token in tokens:
@@ -81,16 +99,36 @@ class Words(dict):
         self.chars += len(word)
         return code
 
+    def forget(self) -> None:
+        """Keeps the words that a later text had again since the last time, unless they fill half the memory by themselves."""
+        kept = [w for w, again in zip(self, self.again.tolist(), strict=False) if again]
+        held = sum(map(len, kept))
+        if 2 * len(kept) > MEMORY or 2 * held > MEMORY_CHARS:
+            kept, held = [], 0
+        codes = np.fromiter(map(self.__getitem__, kept), np.int64, len(kept))
+        count = np.frombuffer(self.count, np.int64)[codes]
+        first = np.cumsum(count) - count
+        at = np.repeat(np.frombuffer(self.start, np.int64)[codes] - first, count) + np.arange(int(count.sum()))
+        tables = [first, count, np.frombuffer(self.value, np.uint64)[at], np.frombuffer(self.flags, np.uint8)[at]]
+        self.clear()
+        self.update(zip(kept, range(len(kept)), strict=True))
+        self.chars = held
+        self.again[:] = False
+        for table, rows in zip((self.start, self.count, self.value, self.flags), tables, strict=True):
+            del table[:]
+            table.frombytes(rows.tobytes())
+
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(value, flags, word): the tokens of a text's words, and which word each is of."""
         if not words:
             return np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64)
         if len(self) >= MEMORY or self.chars >= MEMORY_CHARS:  # between texts, so that no code of this one is lost
-            self.clear()
-            self.chars = 0
-            for table in (self.start, self.count, self.value, self.flags):
-                del table[:]
+            self.forget()
+        known = len(self.start)
         codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self.again) < len(self.start):
+            self.again = np.r_[self.again, np.zeros(len(self.start), bool)]
+        self.again[codes[codes < known]] = True
         count = np.frombuffer(self.count, np.int64)[codes]
         word = np.repeat(np.arange(len(words)), count)
         if not len(word):
@@ -103,6 +141,13 @@ class Words(dict):
 WORDS = Words()
 
 
+def after(flag: np.ndarray) -> np.ndarray:
+    """For each place whether the one before it has the flag."""
+    out = np.zeros(len(flag), bool)
+    out[1:] = flag[:-1]
+    return out
+
+
 def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token, value, word): canonical tokens (placeholders are 1 to 3), hashes of what stands there, and the index of the word it begins in.
 
@@ -113,10 +158,11 @@ def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(value):
         return value, value, word
     number = flags & NUMBER > 0
-    unit = np.r_[False, number[:-1]] & (flags & UNIT > 0)
-    name = ((flags & CAP > 0) & np.r_[False, flags[:-1] & STOP == 0] | (flags & GIVEN > 0)) & ~number & ~unit
+    inside = flags & STOP == 0
+    unit = after(number) & (flags & UNIT > 0)
+    name = ((flags & CAP > 0) & after(inside) | (flags & GIVEN > 0)) & ~number & ~unit
     token = np.where(number, PLACE[NUMBER], np.where(unit, PLACE[UNIT], np.where(name, PLACE[CAP], value)))
-    keep = np.flatnonzero(~(name & np.r_[False, name[:-1] & (flags[:-1] & STOP == 0)]))
+    keep = np.flatnonzero(~(name & after(name & inside)))
     return token[keep].astype(np.uint64), np.add.reduceat(value, keep), word[keep]
 
 
@@ -130,6 +176,17 @@ def window_hashes(token: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def windows_of(token: np.ndarray, sizes: set[int]) -> dict[int, np.ndarray]:
+    """window_hashes of several sizes in one pass."""
+    out, h = dict.fromkeys(sizes, np.empty(0, np.uint64)), token
+    for size in range(1, min(len(token), max(sizes, default=0)) + 1):
+        if size > 1:
+            h = h[:-1] * ODD + token[size - 1 :]
+        if size in sizes:
+            out[size] = h ^ (h >> np.uint64(29))
+    return out
+
+
 def window_size(n: int) -> int:
     """Tokens of a window of an item of n: so few that one is left whole by as many exchanged words as a short item may have."""
     need = int(np.ceil(SHARE * n))
@@ -167,8 +224,9 @@ class Index:
         """Rows (item_id, coverage, tokens, first word, last word, places, exact) of a text, one for each item found in it."""
         token, value, word = canonical(text)
         diagonals: dict[tuple[int, int], list[tuple[int, int, bool]]] = defaultdict(list)
+        hashed_windows = [windows_of(own, {size for size, is_raw in self.tables if is_raw == raw}) for raw, own in ((False, token), (True, value))]
         for (size, raw), (hashes, there, where) in self.tables.items():
-            own = window_hashes(value if raw else token, size)
+            own = hashed_windows[raw][size]
             at = np.flatnonzero(there[own >> np.uint64(44)])
             low, high = np.searchsorted(hashes, own[at]), np.searchsorted(hashes, own[at], "right")
             for d, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
